@@ -8,6 +8,7 @@ from ledgerloom.llm.common import materialize
 from ledgerloom.llm.mixing import mixed_documents
 from ledgerloom.llm.neardup import NearCopies
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.pii import Sanitiser
 from ledgerloom.llm.quality import keep_good
 from ledgerloom.llm.queries import tokenizer_path
 
@@ -22,6 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return NearCopies(docs, width=5, similarity=0.8).keep_one()
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and the terms that reveal it; no document goes."""
+    return Sanitiser(docs).clean()
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixed_documents(docs)
@@ -35,6 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_dedup),
+    ("PII", pii),
     ("mixing", mixing),
     ("best-fit packing", best_fit_packing),
 ]

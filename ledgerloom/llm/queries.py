@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import new_folder
+from .lm import held_out, score
 from .mixing import mix
 from .neardup import fingerprint_components
 from .packing import pack
+from .pii import Sanitiser
 from .quality import judge
 from .sharding import ShardStore
 from .urlfilter import judge_urls
+from .wrappers import main_text
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Hosts of the query's own blocklist.
@@ -30,6 +34,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES, BLOCKED)
 
@@ -42,6 +54,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -69,8 +85,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", F.col("__shard").alias("shard"), F.lit(store.version()).cast("long").alias("version"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Sanitiser(table(spark, sf_dir, "documents")).spans()
+
+
+OPERATORS = (
+    op1_ann, op2_lm_scoring, op3_url_filter, op4_best_fit_packing, op5_simhash_near_dedup,
+    op6_html_extraction, op7_mixing, op8_quality_rules, op9_sharding, op10_pii,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_best_fit_packing, op5_simhash_near_dedup, op7_mixing, op8_quality_rules, op9_sharding)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: Runs of word characters, as the operators define them.
