@@ -14,7 +14,7 @@ from .common import prepare
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Verdict of the method: largest share of a text's word characters that may lie in duplicated n-grams (by n), and in
 #: repeats of a line. Running prose of a small vocabulary repeats pairs and triples, so n starts at 5.
-MAX_DUPLICATED = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
+MAX_DUPLICATED = {5: 0.40, 6: 0.39, 7: 0.38, 8: 0.37, 9: 0.36, 10: 0.35}
 MAX_LINES = 0.30
 #: The base rule: least words, and largest percentage of words in duplicated windows of WINDOW words.
 MIN_WORDS, MAX_PERCENT, WINDOW = 20, 30, 8
