@@ -200,15 +200,15 @@ FROM q""",
 WITH t AS ({duck(CATEGORY_TEXTS)}),
 s AS (SELECT *, {_token_sql('requested')} AS q, {_token_sql('category')} AS o, {_token_sql('name')} AS m FROM t),
 k AS (SELECT *, len(list_intersect(q, o)) / len(q) AS share, list_intersect(q, {list(CONCEPTS)}) AS qc, list_intersect(o, {list(CONCEPTS)}) AS oc FROM s)
-SELECT id, CASE WHEN category IS NOT NULL AND {norm('requested')} = {norm('category')} THEN true WHEN category IS NOT NULL AND len(qc) > 0 AND len(oc) > 0 AND len(list_intersect(qc, oc)) = 0 THEN false
-            WHEN share >= 0.67 THEN true WHEN len(list_intersect(q, m)) = len(q) THEN true END AS category_match,
+SELECT id, CASE WHEN category IS NOT NULL AND {norm('requested')} = {norm('category')} THEN 'true' WHEN category IS NOT NULL AND len(qc) > 0 AND len(oc) > 0 AND len(list_intersect(qc, oc)) = 0 THEN 'false'
+            WHEN share >= 0.67 THEN 'true' WHEN len(list_intersect(q, m)) = len(q) THEN 'true' END AS category_match,
        CAST(CASE WHEN category IS NOT NULL AND {norm('requested')} = {norm('category')} THEN 99 WHEN category IS NOT NULL AND len(qc) > 0 AND len(oc) > 0 AND len(list_intersect(qc, oc)) = 0 THEN 95
             WHEN share = 1 THEN 96 WHEN share >= 0.67 THEN 88 WHEN len(list_intersect(q, m)) = len(q) THEN 82 ELSE 25 END AS INTEGER) AS qualification_confidence
 FROM k""",
     "category_lookup": "SELECT id, CASE " + " ".join(f"WHEN contains({norm('requested')}, '{t}') THEN '{terms[0]}'" for triggers, terms in SEMANTIC_CATEGORIES for t in triggers) + f" END AS concept FROM ({duck(CATEGORY_TEXTS)})",
     "near_exact_doc_dedup": f"WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, {norm('text')} ORDER BY doc_id) AS nth FROM documents) SELECT doc_id, source FROM d WHERE nth = 1",
     "discovery_metrics": "WITH e AS (SELECT event_type AS provider, CAST(user_id % 4 AS INTEGER) AS variation, event_id % 11 = 0 AS rejected, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) > 1 AS duplicate, user_id % 10 AS page FROM events) SELECT provider, variation, count(*) AS raw, count(*) FILTER (rejected) AS rejected, count(*) FILTER (NOT rejected AND duplicate) AS duplicates, count(*) FILTER (NOT rejected AND NOT duplicate) AS new, count(DISTINCT page) AS pages FROM e GROUP BY provider, variation",
-    "discovery_rollup": "WITH e AS (SELECT event_type AS provider, CAST(user_id % 4 AS INTEGER) AS variation, event_id % 11 = 0 AS rejected, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) > 1 AS duplicate, user_id % 10 AS page FROM events) SELECT provider, variation, count(*) AS raw, count(*) FILTER (rejected) AS rejected, count(*) FILTER (NOT rejected AND duplicate) AS duplicates, count(*) FILTER (NOT rejected AND NOT duplicate) AS new, count(DISTINCT page) AS pages FROM e GROUP BY ROLLUP (provider, variation)",
+    "discovery_rollup": "WITH e AS (SELECT event_type AS provider, CAST(user_id % 4 AS INTEGER) AS variation, event_id % 11 = 0 AS rejected, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) > 1 AS duplicate, user_id % 10 AS page FROM events) SELECT provider, CAST(variation AS VARCHAR) AS variation, count(*) AS raw, count(*) FILTER (rejected) AS rejected, count(*) FILTER (NOT rejected AND duplicate) AS duplicates, count(*) FILTER (NOT rejected AND NOT duplicate) AS new, count(DISTINCT page) AS pages FROM e GROUP BY ROLLUP (provider, variation)",
     "search_outcome": "WITH r AS (SELECT user_id AS search_id, event_type AS provider, event_id % 3 <> 0 AS succeeded, event_id % 13 = 0 AS limit_reached, CASE WHEN event_id % 3 = 0 THEN 'timeout ' || event_id % 5 END AS error FROM events) SELECT search_id, CASE WHEN NOT bool_or(succeeded) THEN 'failed' WHEN bool_or(error IS NOT NULL OR limit_reached) THEN 'partial' ELSE 'completed' END AS status, nullif(substr(string_agg(provider || ': ' || error, '; ' ORDER BY provider, error), 1, 2000), '') AS error_message FROM r GROUP BY search_id",
     "status_rollforward": "WITH s AS (SELECT user_id AS search_id, (['planning', 'discovering', 'deduplicating', 'enriching', 'qualifying', 'persisting'])[event_id % 6 + 1] AS stage, CASE WHEN event_id % 10 = 0 THEN 'completed' ELSE 'running' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) SELECT search_id, stage, status, CAST(CASE WHEN status = 'completed' THEN 100 ELSE CASE stage WHEN 'planning' THEN 5 WHEN 'discovering' THEN 55 WHEN 'deduplicating' THEN 65 WHEN 'enriching' THEN 78 WHEN 'qualifying' THEN 86 ELSE 90 END END AS INTEGER) AS progress FROM s WHERE nth = 1",
     "crash_recovery": "WITH s AS (SELECT user_id AS search_id, CASE WHEN max(event_id) % 2 = 0 THEN 'running' ELSE 'completed' END AS status, CAST(NULL AS VARCHAR) AS error_message FROM events GROUP BY user_id), h AS (SELECT DISTINCT user_id AS search_id FROM events WHERE event_id % 50 = 0) SELECT s.search_id, CASE WHEN status = 'running' AND h.search_id IS NULL THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' AND h.search_id IS NULL THEN 'interrupted' END AS error_message FROM s LEFT JOIN h ON h.search_id = s.search_id",
@@ -259,7 +259,7 @@ UNION ALL SELECT c_custkey, 'instagram', 'https://www.instagram.com/loja' || c_c
     "token_overlap": f"SELECT id, len(list_intersect(list_filter(string_split({norm('requested')}, ' '), lambda w: length(w) >= 4), list_filter(string_split({norm('coalesce(category, name)')}, ' '), lambda w: length(w) >= 4))) > 0 AS shares FROM ({duck(CATEGORY_TEXTS)})",
     "url_identity": rf"""
 WITH u AS (SELECT page_id, url, {url('url')} AS u FROM pages)
-SELECT page_id, {host('u')} AS identity, {host('u')} || coalesce(nullif(rtrim(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/') || regexp_extract(u, '(\\?.*)$', 1) AS exact,
+SELECT page_id, {host('u')} AS identity, {host('u')} || coalesce(nullif(rtrim(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/') || regexp_extract(u, '(\?.*)$', 1) AS exact,
        regexp_extract(url, '^([^#]*)', 1) AS public FROM u""",
     "nearest_phone": "SELECT s_suppkey, '55119' || lpad(CAST(s_suppkey AS VARCHAR), 8, '8') AS number FROM supplier",
     "site_crawl": """
@@ -272,7 +272,7 @@ SELECT 'osm:node:' || id AS external_id, s_name AS name, '+55 11 3' || lpad(CAST
        lpad(CAST(s_suppkey AS VARCHAR), 14, '0') AS cnpj, 'https://www.openstreetmap.org/node/' || id AS source_url FROM e WHERE nth = 1""",
     "web_leads": """
 SELECT sha256('https://site' || c_custkey || '.example.com/') AS external_id, 'Imobiliária ' || c_name AS name, 'São Paulo' AS city, 'imobiliárias' AS category,
-       '(11) 9' || lpad(CAST(c_custkey AS VARCHAR), 8, '7') AS phone, '(11) 9' || lpad(CAST(c_custkey AS VARCHAR), 8, '7') AS whatsapp, 'https://site' || c_custkey || '.example.com/' AS website FROM customer WHERE c_custkey % 4 <> 0""",
+       '(11) 9' || lpad(CAST(c_custkey AS VARCHAR), 8, '7') AS phone, '11) 9' || lpad(CAST(c_custkey AS VARCHAR), 8, '7') AS whatsapp, 'https://site' || c_custkey || '.example.com/' AS website FROM customer WHERE c_custkey % 4 <> 0""",
     "query_variations": """
 WITH kinds(kind, category, location, position, term) AS (VALUES
   (0, 'imobiliária', 'São Paulo', 0, 'imobiliária'), (0, 'imobiliária', 'São Paulo', 1, 'imobiliárias'), (0, 'imobiliária', 'São Paulo', 2, 'corretora de imóveis'), (0, 'imobiliária', 'São Paulo', 3, 'corretor de imóveis'),

@@ -186,7 +186,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_coverage_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = {x: lit(None).cast("string") for x in ("address", "city", "state")}
     rows = categories(spark, sf_dir).withColumns(none | {"source_texts": F.array().cast("array<string>")})
-    return qualify.deterministic(qualify.with_context(rows)).select("id", "category_match", "qualification_confidence")
+    return qualify.deterministic(qualify.with_context(rows)).select("id", c("category_match").cast("string").alias("category_match"), "qualification_confidence")
 
 
 @query
@@ -218,7 +218,7 @@ def discovery_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def discovery_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.discovery(discovered(spark, sf_dir), with_totals=True)
+    return metrics.discovery(discovered(spark, sf_dir), with_totals=True).withColumn("variation", c("variation").cast("string"))
 
 
 @query
