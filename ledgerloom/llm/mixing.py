@@ -11,6 +11,8 @@ from .common import WORD_PATTERN, materialize
 
 #: Repetitions of a document that a mix may take.
 EPOCHS = 2
+#: Most sources whose table (some 100 bytes each) is broadcast; more are joined by shuffling.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -54,16 +56,13 @@ def keyed(docs: DataFrame, seed: str) -> DataFrame:
     )
 
 
-def cutoffs(docs: DataFrame, weights: Sequence[float], share: float, seed: str, slices: int = 1024) -> DataFrame:
-    """One row per source: __skey, source_size, target and, for each epoch, cut<epoch>: the last place of the shuffle taken.
+def cutoffs(sized: DataFrame, weights: Sequence[float], share: float, slices: int = 1024) -> DataFrame:
+    """One row per source of sized (__size, __skey, __dealt): __skey, __source_size, __target and, for each epoch, __cut<epoch>: the last place of the shuffle taken.
 
     A source's finish times grow along its shuffle, so what a mix takes of it is a prefix of each epoch; this small
     table is all that decides about a document.
     """
-    slim = materialize(
-        keyed(docs, seed).select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), F.col("__dealt").alias("dealt")).withColumn("part", F.substring("dealt", 1, 3)),
-        "mix-sizes",
-    )
+    slim = sized.select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), F.col("__dealt").alias("dealt"), F.substring("__dealt", 1, 3).alias("part"))
     parts = materialize(slim.groupBy("skey", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     targets = materialize(source_targets(parts.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, share), "mix-targets")
     ahead = parts.select("skey", "part", (F.sum("part_size").over(Window.partitionBy("skey").orderBy("part")) - F.col("part_size")).alias("before"))
@@ -92,10 +91,17 @@ def cutoffs(docs: DataFrame, weights: Sequence[float], share: float, seed: str,
     return targets.join(found, "skey", "left").select(F.col("skey").alias("__skey"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"), *[F.col(f"cut{e}").alias(f"__cut{e}") for e in range(EPOCHS)])
 
 
-def marked(docs: DataFrame, weights: Sequence[float], share: float, seed: str) -> DataFrame:
-    """docs with __size, __source_size, __target and __epochs, the number of times that the mix takes a row."""
-    epochs = sum((F.coalesce((F.col("__dealt") <= F.col(f"__cut{e}")).cast("int"), F.lit(0)) for e in range(1, EPOCHS)), F.coalesce((F.col("__dealt") <= F.col("__cut0")).cast("int"), F.lit(0)))
-    return keyed(docs, seed).join(cutoffs(docs, weights, share, seed), "__skey").withColumn("__epochs", F.when(F.col("__size") > 0, epochs).otherwise(F.lit(0)))
+def sizes(docs: DataFrame, seed: str) -> DataFrame:
+    """What the mix knows of documents, without their texts, as a table."""
+    return materialize(keyed(docs, seed).select("doc_id", "source", "__size", "__skey", "__dealt"), "mix-sizes")
+
+
+def marked(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
+    """Keyed rows with __source_size, __target and __epochs, the number of times that the mix of `sized` takes a row."""
+    cuts = materialize(cutoffs(sized, weights, share), "mix-cutoffs")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    taken = [F.coalesce((F.col("__dealt") <= F.col(f"__cut{e}")).cast("int"), F.lit(0)) for e in range(EPOCHS)]
+    return rows.join(cuts, "__skey").withColumn("__epochs", F.when(F.col("__size") > 0, sum(taken[1:], taken[0])).otherwise(F.lit(0)))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: str = "mix") -> DataFrame:
@@ -113,8 +119,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     0. Rows of one source with equal doc_ids (null is one too) are taken or left together. Empty table: no rows.
     Other columns are ignored.
     """
-    slim = marked(docs.select("doc_id", "text", "source"), weights, share, seed)
-    return slim.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__epochs")).cast("long").alias("taken"))
+    sized = sizes(docs, seed)
+    return marked(sized, sized, weights, share).select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__epochs")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: str = "mix") -> DataFrame:
@@ -122,5 +128,5 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
     Cases are settled as in mix(); rows without words are in no mix.
     """
-    rows = marked(docs, weights, share, seed).where("__epochs > 0")
+    rows = marked(keyed(docs, seed), sizes(docs, seed), weights, share).where("__epochs > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__epochs"))).alias("__copy")).select(*docs.columns)
