@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,20 +160,25 @@ def plan_histogram(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Plan
     """Sequences for the histogram (count by length up to capacity), as few as found.
 
     The linear program's patterns are taken as many times as it says, rounded down; what this leaves, a smaller
-    histogram of much the same shape, goes by best fit. Work and result are bounded by the capacity, whatever the
-    number of documents.
+    histogram of much the same shape, goes by best fit. As patterns that it uses seldom round badly, plans that take only its
+    most used patterns are tried too, and the one of fewest sequences stands. Work and result are bounded by the
+    capacity, whatever the number of documents.
     """
     full = [Plan({capacity: 1}, int(histogram[capacity]))] if histogram[capacity] else []
-    rest = histogram.astype(np.int64).copy()
-    rest[[0, capacity]] = 0
-    made: list[Plan] = []
-    for pattern, often in sorted(solve(rest, capacity), key=lambda x: -x[1]):
-        inside = pattern > 0
-        copies = min(int(often), int((rest[inside] // pattern[inside]).min()))
-        if copies > 0:
-            made.append(Plan({int(n): int(pattern[n]) for n in np.flatnonzero(inside)}, copies))
-            rest -= copies * pattern
-    return full + made + best_fit(rest, capacity)
+    short = histogram.astype(np.int64).copy()
+    short[[0, capacity]] = 0
+    solution = sorted(solve(short, capacity), key=lambda x: (-x[1], x[0].tobytes()))
+    plans = []
+    for part in (1.0, 0.5, 0.25, 0.1):
+        rest, made = short.copy(), []
+        for pattern, often in solution[: math.ceil(part * len(solution))]:
+            inside = pattern > 0
+            copies = min(int(often), int((rest[inside] // pattern[inside]).min()))
+            if copies > 0:
+                made.append(Plan({int(n): int(pattern[n]) for n in np.flatnonzero(inside)}, copies))
+                rest -= copies * pattern
+        plans.append(made + best_fit(rest, capacity))
+    return full + min(plans, key=lambda x: sum(p.copies for p in x))
 
 
 def slots(plans: list[Plan]) -> dict[int, np.ndarray]:
