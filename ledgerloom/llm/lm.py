@@ -275,7 +275,7 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
     n_bytes = sums[0]["n"] if 0 in sums else 0
     n_train, n_words = (sums[1]["n"], sums[1]["kinds"]) if 1 in sums else (0, 0)
     levels = _levels(counts.where("kind = 0").select("key", "n"), ORDER, max(1, -(-n_bytes // NODES)))
-    frequent = counts.where((F.col("kind") == 1) & (F.col("n") >= max(1, -(-n_train // NODES)))).select("key", "n").toPandas()
+    frequent = counts.where((F.col("kind") == 1) & ((F.col("n") >= max(1, -(-n_train // NODES))) | (F.col("key") == END_WORD))).select("key", "n").toPandas()
     model = spark.sparkContext.broadcast((levels, frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.float64)))
     denominator = math.log10(n_train + n_words + 1)
 
