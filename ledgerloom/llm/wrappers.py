@@ -44,24 +44,44 @@ _MARKED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 SLOT = "#"
 
 
+def step(token: str, held: list[str]) -> None:
+    """What is open after a tag."""
+    if token[0] == "/":
+        name = token[1:]
+        at = next((i for i in range(len(held) - 1, -1, -1) if held[i].rstrip("!") == name), None)
+        if at is not None:
+            del held[at:]
+    elif token.rstrip("!") not in IMPLIED and token != "hr":
+        held.append(token)
+
+
+def is_slot(node: str | list) -> bool:
+    return isinstance(node, str) and node[0] == SLOT
+
+
 def stream(page: str | None) -> tuple[list[str], list[str]]:
     """A page's tokens, and the text of each slot among them.
 
-    Tokens are block tags (`name`, `/name`, with `!` after the name if its attributes mark it as no part of an article) and slots.
-    Inline tags, comments, scripts and styles vanish; a slot's text has its references decoded and its white space
+    Tokens are block tags (`name`, `/name`, with `!` after the name if its attributes mark it as no part of an article) and slots
+    (`#` and the element they are in). Inline tags, comments, scripts and styles vanish; a slot's text has its references decoded and its white space
     as one space.
     """
     tokens: list[str] = []
     texts: list[str] = []
     parts: list[str] = []
+    held: list[str] = []
 
     def close() -> None:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            tokens.append(SLOT)
+            tokens.append(SLOT + (held[-1] if held else ""))
             texts.append(text)
 
+    def add(token: str) -> None:
+        tokens.append(token)
+        step(token, held)
+
     for m in _TOKEN.finditer(page or ""):
         raw = m.group()
         name = m.group(3) or m.group(6)
@@ -80,14 +100,14 @@ def stream(page: str | None) -> tuple[list[str], list[str]]:
         close()
         if end:
             if name not in IMPLIED and name not in VOID:
-                tokens.append("/" + name)
+                add("/" + name)
             continue
         attributes = m.group(4) or m.group(7) or ""
         marked = "=" in attributes and name not in ("html", "body", "article", "main") and any(MARKS.search(" ".join(filter(None, x))) for x in _MARKED.findall(attributes))
         if name in ("article", "main") and "=" in attributes:  # readers' comments are often articles of their own
             marked = any(re.search(r"(?i)comment", " ".join(x)) for x in _MARKED.findall(attributes))
         if name not in VOID or name == "hr":
-            tokens.append(name + "!" if marked else name)
+            add(name + "!" if marked else name)
     close()
     return tokens, texts
 
@@ -107,7 +127,7 @@ def fold(nodes: list) -> list:
                 j = i + period
                 while len(group) == period and nodes[j : j + period] == group:
                     j += period
-                if j > i + period and group != [SLOT]:
+                if j > i + period and not all(map(is_slot, group)):
                     out.append(["+", group[0][1] if period == 1 and group[0][0] == "+" else group])
                     i, changed = j, True
                 else:
@@ -121,7 +141,7 @@ def absorb(nodes: list, groups: list) -> list:
     """Plain occurrences of what a group holds become the group; equal groups in a row become one."""
     for group in groups:
         inner, out, i = group[1], [], 0
-        if inner == [SLOT]:
+        if all(map(is_slot, inner)):
             continue
         while i < len(nodes):
             if nodes[i] == group or nodes[i : i + len(inner)] == inner:
@@ -150,7 +170,7 @@ def align(left: list, right: list) -> list:
         for part in (left[a:b], right[c:d]):
             if not part:
                 continue
-            if all(n == SLOT or not isinstance(n, str) and n[0] == "?" for n in part):
+            if all(is_slot(n) or not isinstance(n, str) and n[0] == "?" for n in part):
                 out += part  # slots may be empty and options absent as they are
             else:
                 out.append(["?", [x for n in part for x in (n[1] if not isinstance(n, str) and n[0] == "?" else [n])]])
@@ -180,24 +200,13 @@ class Wrapper:
             if isinstance(n, list):
                 inner = self._prepared(n[1], held)
                 out.append((n[0], inner, self._starts(inner)))
-            elif n == SLOT:
-                out.append((SLOT, self.role(held), None))
+            elif is_slot(n):
+                out.append((SLOT, self.role(held), n))
             else:
-                self._step(n, held)
+                step(n, held)
                 out.append(("=", n, list(held)))
         return out
 
-    @staticmethod
-    def _step(token: str, held: list[str]) -> None:
-        """What is open after a tag."""
-        if token[0] == "/":
-            name = token[1:]
-            at = next((i for i in range(len(held) - 1, -1, -1) if held[i].rstrip("!") == name), None)
-            if at is not None:
-                del held[at:]
-        elif token.rstrip("!") not in IMPLIED and token != "hr":
-            held.append(token)
-
     @classmethod
     def role(cls, held: list[str]) -> int:
         inside = False
@@ -216,7 +225,7 @@ class Wrapper:
             if kind == "=":
                 return frozenset(first | {value})
             if kind == SLOT:
-                first.add(SLOT)
+                first.add(more)
             else:
                 first |= more
                 if kind == "+":
@@ -230,8 +239,8 @@ class Wrapper:
         if at < len(tokens):
             held: list[str] = []
             for i, token in enumerate(tokens):
-                if token != SLOT:
-                    self._step(token, held)
+                if not is_slot(token):
+                    step(token, held)
                 elif i >= at:
                     out.append(self.role(held))
         return out
@@ -240,7 +249,7 @@ class Wrapper:
         """Lay the nodes over tokens from `at`; returns where the match ends. Each choice follows from the next token."""
         for kind, value, more in nodes:
             if kind == SLOT:
-                if at < len(tokens) and tokens[at] == SLOT:
+                if at < len(tokens) and tokens[at] == more:
                     out.append(value)
                     at += 1
             elif kind == "=":
