@@ -225,14 +225,10 @@ class Sanitiser:
         name = lambda k: F.element_at(F.array(*[F.lit(x) for x in KINDS]), k + 1)
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
 
-    @staticmethod
-    def _same(extra: DataFrame) -> tuple[DataFrame, Column]:
-        renamed = extra.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "extra")
-        return renamed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))
-
     def spans(self) -> DataFrame:
         """doc_id, counts by kind of pattern, base_sha256 and spans, one row per row of docs."""
-        extra, same = self._same(self.added())
+        extra = self.added().select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "extra")
+        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))
         every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
         joined = self.rows.drop("near", "values").join(extra, same, "left")
         return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(self._joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), self._joined(every).alias("spans"))
@@ -242,19 +238,13 @@ class Sanitiser:
 
         Overlapping spans are replaced as one, named after the first. Null texts stay null.
         """
-        extra = materialize(self.added(), "pii-extra")
+        extra = materialize(self.added().select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("extra").alias("__extra")), "pii-extra")
         extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-        columns = self.docs.columns
-        renamed, same = self._same(extra)
-        keyed = self.docs.withColumn("digest", F.xxhash64("text")) if "digest" not in columns else None
-        if keyed is None:
-            raise ValueError("a column named digest must be renamed before clean()")
-        joined = keyed.join(renamed, same, "left")
-        text = cleaned(F.col("text"), F.col("extra"))
-        out = joined.withColumn("text", text)
-        if "n_chars" in columns:
+        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__digest"))
+        out = self.docs.join(extra, same, "left").withColumn("text", cleaned(F.col("text"), F.col("__extra")))
+        if "n_chars" in self.docs.columns:
             out = out.withColumn("n_chars", F.char_length("text").cast(self.docs.schema["n_chars"].dataType))
-        return out.select(*columns)
+        return out.select(*self.docs.columns)
 
 
 def cleaned(text: Column, extra: Column) -> Column:
