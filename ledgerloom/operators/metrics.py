@@ -21,14 +21,20 @@ def observation_identity() -> Column:
 def first_seen(leads: DataFrame, order: list[Column], keep_flags: bool = False) -> DataFrame:
     """Leads of which each source's identity stays once, the first; with keep_flags all rows and `duplicate`."""
     w = Window.partitionBy("provider", "__identity").orderBy(*order)
-    rows = leads.withColumn("__identity", observation_identity()).withColumn("duplicate", F.row_number().over(w) > 1).drop("__identity")
-    return rows if keep_flags else rows.where("not duplicate").drop("duplicate")
+    rows = leads.withColumn("__identity", observation_identity()).withColumn("__n", F.row_number().over(w))
+    if keep_flags:
+        return rows.withColumn("duplicate", F.col("__n") > 1).drop("__identity", "__n")
+    return rows.where("__n = 1").drop("__identity", "__n")
 
 
 def capped(leads: DataFrame, order: list[Column], most: int) -> DataFrame:
-    """At most `most` leads of each source, with `limit_reached` where there were more."""
+    """At most `most` leads of each source, with `limit_reached` where there were more.
+
+    One more than that is ranked, a bound that Spark applies before the shuffle; a source of any size costs each task no more.
+    """
     w = Window.partitionBy("provider")
-    return leads.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "limit_reached": F.count(F.lit(1)).over(w) > most}).where(F.col("__n") <= most).drop("__n")
+    rows = leads.withColumn("__n", F.row_number().over(w.orderBy(*order))).where(F.col("__n") <= most + 1)
+    return rows.withColumn("limit_reached", F.max("__n").over(w) > most).where(F.col("__n") <= most).drop("__n")
 
 
 def discovery(leads: DataFrame, with_totals: bool = False) -> DataFrame:
