@@ -281,4 +281,18 @@ WITH kinds(kind, category, location, position, term) AS (VALUES
   (4, 'oficina mecânica', 'Bahia', 0, 'oficina mecânica'), (4, 'oficina mecânica', 'Bahia', 1, 'oficinas mecânicas'), (4, 'oficina mecânica', 'Bahia', 2, 'mecânica automotiva'), (4, 'oficina mecânica', 'Bahia', 3, 'reparo automotivo'))
 SELECT n_nationkey, category, location, position, term || ' em ' || location AS variation FROM nation JOIN kinds ON n_nationkey % 5 = kind
 UNION ALL SELECT n_nationkey, NULL, NULL, p, 'contador' || s FROM nation, (VALUES (0, ''), (1, ' telefone contato "site oficial"'), (2, ' WhatsApp')) t(p, s) WHERE n_nationkey % 5 = 3""",
+    "valid_leads": f"WITH obs AS ({duck(OBSERVATIONS)}) SELECT obs_id, CASE WHEN obs_id % 7 <> 3 OR (whatsapp IS NOT NULL AND whatsapp_evidence IS NOT NULL AND source_url IS NOT NULL) THEN 1 ELSE 0 END AS valid FROM obs",
+    "tax_id_check": """
+WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 AS VARCHAR), 14, '0') AS t FROM orders),
+x AS (SELECT *, list_transform(string_split(t, ''), lambda q: CAST(q AS INTEGER)) AS q FROM d),
+y AS (SELECT *, list_sum(list_transform(list_zip(q[1:12], [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]), lambda p: p[1] * p[2])) % 11 AS a, list_sum(list_transform(list_zip(q[1:13], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]), lambda p: p[1] * p[2])) % 11 AS b FROM x)
+SELECT o_orderkey, CASE WHEN q[13] = CASE WHEN a < 2 THEN 0 ELSE 11 - a END AND q[14] = CASE WHEN b < 2 THEN 0 ELSE 11 - b END AND len(list_distinct(q)) > 1 THEN t END AS tax_id FROM y""",
+    "presentation": "WITH p AS (SELECT *, '9' || lpad(CAST(c_custkey AS VARCHAR), 8, '7') AS n FROM customer) SELECT c_custkey, '+55 (11) ' || substr(n, 1, 5) || '-' || substr(n, 6) AS phone, CAST(least(100, greatest(0, c_custkey % 250 - 50)) AS INTEGER) AS confidence, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' / SP' ELSE 'SP' END AS location, CASE WHEN c_custkey % 3 = 0 THEN chr(39) || '=' || c_name ELSE c_name END AS cell FROM p",
+    "classifier_batches": "WITH r AS (SELECT c_custkey AS id, c_nationkey AS search_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT id, search_id, CAST((n - 1) // 4 AS INTEGER) AS batch, 'C' || ((n - 1) % 4 + 1) AS ref FROM r WHERE n <= 10",
+    "search_counters": "SELECT c_nationkey AS search_id, count(*) AS results, count(*) FILTER (c_custkey % 3 = 0) AS whatsapp, count(*) FILTER (c_custkey % 6 = 0) AS confirmed, count(*) FILTER (c_custkey % 4 = 0) AS enriched, count(*) FILTER (c_custkey % 5 = 0) AS classified FROM customer GROUP BY c_nationkey",
+    "enrichment_totals": "WITH r AS (SELECT s_suppkey, s_suppkey % 3 <> 0 AS attempted, CASE WHEN s_suppkey % 5 = 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, '0') || ': timeout' END AS error FROM supplier) SELECT count(*) FILTER (attempted) AS attempted, count(*) FILTER (attempted AND error IS NULL) AS enriched, count(*) FILTER (NOT attempted) AS skipped, array_to_string((list(error ORDER BY error) FILTER (error IS NOT NULL))[1:25], '|') AS errors, CASE WHEN count(*) > 50 THEN 1 ELSE 0 END AS limit_reached FROM r",
+    "robots_filter": f"WITH u AS (SELECT page_id, url, html, {url('url')} AS u FROM pages) SELECT page_id FROM u WHERE strlen(html) <= 20000 AND NOT (length({host('u')}) % 3 = 0 AND starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/'))",
+    "official_sites": "SELECT s_suppkey AS cluster FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0",
+    "preferred_phone": "SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE '3' END || s_suppkey AS phone FROM supplier",
+    "persist_results": f"SELECT rank, confidence FROM ({duck(RESULTS)})",
 }

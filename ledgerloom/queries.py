@@ -14,7 +14,7 @@ from .config import Request
 from .functions import phones, text, urls
 from .operators import contacts, metrics, page_evidence, planning, qualify, resolve, serve, storage
 from .operators.graph import connected_components, cut
-from .plans import search
+from .plans import persist, search
 from .sources import osm, places, web
 from .sources.base import Capabilities
 
@@ -453,6 +453,87 @@ def search_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("rank", "cluster", "name", "phone", "whatsapp", "whatsapp_status", "confidence", "category_match", "qualification_confidence", "qualification_reason")
 
 
+# --- predicates, batches and tables of a search
+
+
+@query
+def valid_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resolve.stripped(observed(spark, sf_dir)).withColumn("whatsapp_confirmed", c("obs_id") % 7 == 3)
+    return rows.select("obs_id", resolve.valid_confirmation(rows).alias("valid")).select("obs_id", c("valid").cast("int").alias("valid"))
+
+
+@query
+def tax_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.tax_id_checked(F.lpad((c("o_orderkey") * 7919).cast("string"), 14, "0")).alias("tax_id"))
+
+
+@query
+def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phone = F.concat(lit("55119"), F.lpad(c("c_custkey").cast("string"), 8, "7"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.display_phone(phone).alias("phone"), text.display_confidence((c("c_custkey") % 250 - 50).cast("double")).alias("confidence"), text.display_location(F.when(c("c_custkey") % 2 == 0, c("c_name")), lit("SP")).alias("location"), text.safe_cell(F.concat(F.when(c("c_custkey") % 3 == 0, "=").otherwise(""), "c_name")).alias("cell"))
+
+
+@query
+def classifier_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_nationkey").alias("search_id"))
+    return planning.chunks(rows, [c("id")], 4, 10, ["search_id"])
+
+
+@query
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("search_id"), F.when(k % 3 == 0, "n").alias("whatsapp"), F.when(k % 6 == 0, "confirmed").otherwise("not_found").alias("whatsapp_status"), (k % 4 == 0).alias("enriched"), F.when(k % 5 == 0, "model").otherwise("deterministic").alias("qualification_method"))
+    return metrics.counters(rows)
+
+
+@query
+def enrichment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("company_id"), (k % 3 != 0).alias("attempted"), F.when(k % 5 == 1, "timeout").alias("error"))
+    return metrics.enrichment_counters(rows, 50).withColumn("errors", F.array_join("errors", "|")).withColumn("limit_reached", c("limit_reached").cast("int"))
+
+
+@query
+def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    denied = pages.select(urls.website_host(c("url")).alias("host")).distinct().where(F.length("host") % 3 == 0).select("host", lit("/en/").alias("path"))
+    return web.allowed_by_robots(web.fetchable(pages, 20_000), denied).select("page_id")
+
+
+@query
+def official_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("s_suppkey")
+    none = F.array().cast("array<struct<provider:string,data:string>>")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("cluster"), F.when(k % 2 == 0, "Padaria Aurora").otherwise("Loja 24").alias("name"), F.when(k % 3 == 0, "https://www.facebook.com/aurora").otherwise(F.concat(lit("https://www.aurora-"), k, lit(".example.com"))).alias("website"), none.alias("sources"))
+    return search.attributed(rows).select("cluster")
+
+
+@query
+def preferred_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("s_suppkey")
+    kinds = ("visible_text", "tel_link", "json_ld", "tel_link")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.posexplode(F.array(*[F.struct(lit(x).alias("evidence_type"), F.concat(lit(str(i)), k).alias("value")) for i, x in enumerate(kinds)])).alias("seq", "e"))
+    rows = rows.where((c("page_id") % 2 == 0) | (c("e.evidence_type") != "json_ld")).select("page_id", "seq", lit("phone").alias("field"), "e.value", "e.evidence_type", F.when(c("seq") == 3, "https://x.example.com/contato").otherwise("https://x.example.com/").alias("url"))
+    return contacts.preferred_phone(rows)
+
+
+def persisted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    r, s = results_and_stored(spark, sf_dir)
+    none = {x: lit(None).cast("string") for x in ("category", "instagram")}
+    source = F.array(F.struct(lit("registry").alias("provider"), lit("https://registry.example.org/").alias("source_url"), c("rank").cast("string").alias("external_id")))
+    return persist.plan(r.withColumns(none | {"whatsapp_status": lit("not_found"), "sources": source}), s.withColumns(none), 1)
+
+
+@query
+def persist_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted(spark, sf_dir)["search_results"].select("rank", "confidence")
+
+
+@query
+def persist_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted(spark, sf_dir)["companies"].agg(F.count(lit(1)).alias("companies"), F.count("cnpj").alias("with_tax_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
