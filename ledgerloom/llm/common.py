@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition used by every operator here: bytes 0x20 and 0x09-0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Arrow batches hold at most this many rows; whole texts travel in them, so memory per batch stays small.
-ARROW_ROWS = 512
+#: Arrow batches hold at most this many rows, and about so many bytes: whole texts travel in them.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -27,10 +27,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session already asks for less."""
+    """Keep Arrow batches small, unless the session asks for other bounds."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None and spark.conf.isModifiable(key):
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

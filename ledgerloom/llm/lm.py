@@ -23,25 +23,34 @@ NODES = 1 << 21
 END = 0xFF
 #: Bytes of text whose n-grams are counted at once, and distinct n-grams or words a task holds before it passes them on.
 BLOCK_BYTES, FLUSH_GRAMS, FLUSH_WORDS = 8 << 20, 4_000_000, 1_000_000
+#: Bytes of text whose contexts are looked up at once.
+CHUNK_BYTES = 2 << 20
 
 
 def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def gram_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and the end of each text: the symbol in the low byte, the bytes before it above; and the length of each text with its end."""
+def gram_codes(texts: list[bytes], order: int, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each byte and the end of each text: the symbol in the low byte, the bytes before it above; and the text's place in the list.
+
+    Comes in chunks of `size` bytes, so that texts of any length need little memory beside themselves.
+    """
     pad = bytes([END]) * order
-    data = np.frombuffer(b"".join([pad + t + bytes([END]) for t in texts]), np.uint8).astype(np.uint64)
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    codes = data.copy()
-    for k in range(1, order + 1):
-        codes[k:] |= data[:-k] << np.uint64(8 * k)
-    starts = np.cumsum(lengths + order) - lengths
-    keep = np.ones(len(data), bool)
-    for k in range(1, order + 1):
-        keep[starts - k] = False
-    return codes[keep], lengths
+    data = np.frombuffer(b"".join([pad + t + bytes([END]) for t in texts]), np.uint8)
+    stops = np.cumsum(np.array([len(t) + 1 + order for t in texts], np.int64))
+    size = size or CHUNK_BYTES
+    for start in range(0, len(data), size):
+        head = min(start, order)
+        piece = data[start - head : start + size].astype(np.uint64)
+        codes = piece.copy()
+        for k in range(1, order + 1):
+            codes[k:] |= piece[:-k] << np.uint64(8 * k) if len(piece) > k else 0
+        place = np.arange(start, min(start + size, len(data)))
+        owner = np.searchsorted(stops, place, "right")
+        # the padding before a text is no part of it
+        inside = place - (stops[owner] - np.array([len(t) + 1 for t in texts], np.int64)[owner]) >= 0
+        yield codes[head:][inside], owner[inside]
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -71,9 +80,10 @@ def gather(texts: DataFrame) -> DataFrame:
             return unique, np.bincount(at, numbers, len(unique)).astype(np.int64)
 
         def count() -> None:
-            grams.append(np.unique(gram_codes(waiting, ORDER)[0], return_counts=True))
-            if len(grams) > 1:
-                grams[:] = [merged()]
+            for codes, _ in gram_codes(waiting, ORDER, BLOCK_BYTES):
+                grams.append(np.unique(codes, return_counts=True))
+                if len(grams) > 1:
+                    grams[:] = [merged()]
             waiting.clear()
 
         def words_out() -> pa.RecordBatch:
@@ -298,9 +308,9 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
             here = known[ids]
             base = np.bincount(owner[here], cost[ids[here]], n) + cost[-1]
             n_known = np.bincount(owner[here], minlength=n) + int(known[-1])
-            codes, lengths = gram_codes(texts, ORDER)
-            symbol = trie.log10(codes)
-            scores = np.add.reduceat(symbol, np.cumsum(lengths) - lengths) if n else np.zeros(0)
+            scores = np.zeros(n)
+            for codes, of in gram_codes(texts, ORDER):
+                scores += np.bincount(of, trie.log10(codes), n)
             first = np.arange(row_id, row_id + n)
             row_id += n
             pairs, times = np.unique(owner[~here] * len(hashes) + ids[~here], return_counts=True)

@@ -30,7 +30,10 @@ def test_components_of_long_paths(spark):
 
 def test_trie_probabilities_sum_to_one():
     texts = [b"abracadabra", b"abc abd", b"", b"cabbage"]
-    codes, _ = lm.gram_codes(texts, 3)
+    codes = np.concatenate([c for c, _ in lm.gram_codes(texts, 3)])
+    chunks = list(lm.gram_codes(texts, 3, 5))
+    assert (np.concatenate([c for c, _ in chunks]) == codes).all() and len(codes) == sum(len(t) + 1 for t in texts)
+    assert np.bincount(np.concatenate([o for _, o in chunks])).tolist() == [len(t) + 1 for t in texts]
     levels = []
     for k in range(4):
         grams, n = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
