@@ -21,11 +21,17 @@ DISTANCE = 2
 #: Rows of one key that are paired directly; fuller buckets go an exact way that doesn't pair all their rows.
 BUCKET = 256
 
-#: near copies: tables of keys; each key joins the indices of two segments of 24 bits, of PROBES codewords each.
+#: Near copies: tables of keys; each key joins the indices of two segments of 24 bits, of PROBES codewords each.
 TABLES, PROBES = 3, 4
-BITS = TABLES * 48
-#: Most differing bits of the BITS of two texts worth an exact look: at a similarity of 0.8 the mean is 22, the deviation 4.3.
-LOOK = 38
+#: Bits of their fingerprints, of which the first TABLES * 48 make keys.
+BITS = 192
+#: Most differing bits of two texts worth an exact look: at a similarity of 0.8 the mean is 29, the deviation 5.
+LOOK = 47
+WORDS = tuple(f"w{i}" for i in range(-(-BITS // 64)))
+#: Rows of one key that one task sees at first; fuller buckets are dealt out, and what remains meets again.
+SALT_ROWS = 10_000
+#: Classes of a candidate group that are compared in one block with those of another; small groups share tasks.
+BLOCK, TASK_ROWS = 256, 2048
 #: Most rows of a table of document numbers that is broadcast (16 bytes each); larger ones are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 
@@ -168,7 +174,7 @@ def sketch(text: Column, width: int) -> Column:
             packed = np.zeros((len(texts), n_words * 64), bool)
             packed[:, :BITS] = margins > 0
             bits = np.packbits(packed, axis=1, bitorder="little").view(np.int64)
-            codes = np.concatenate([likeliest_codewords(margins[:, s : s + 24], PROBES) for s in range(0, BITS, 24)], 1).astype(np.int16)
+            codes = np.concatenate([likeliest_codewords(margins[:, s : s + 24], PROBES) for s in range(0, TABLES * 48, 24)], 1).astype(np.int16)
             yield pd.DataFrame({"content": [content_of(t) for t in texts], "bits": list(bits), "codes": list(codes), "shingles": np.array(sizes, np.int32)})
 
     return run.asNondeterministic()(text)
@@ -189,16 +195,63 @@ def _sets(text: Column, width: int) -> Column:
     return run.asNondeterministic()(text)
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        both = np.concatenate([x, y])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        out.append(common / (len(both) - common) if len(both) else 1.0)
-    return pd.Series(out, dtype="float64")
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float, same: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets (sorted distinct heads) whose Jaccard similarity is high enough; with `same`, left is right and i < j.
+
+    Common members are counted by products of incidence matrices, some thousand distinct heads at a time.
+    """
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    heads = [np.concatenate(side) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes, strict=True)]
+    shared = np.unique(heads[0]) if same else np.intersect1d(heads[0], heads[1])
+    places = []
+    for head in heads:
+        at = np.minimum(np.searchsorted(shared, head), max(len(shared) - 1, 0))
+        places.append(np.where(shared[at] == head, at, -1) if len(shared) else np.full(len(head), -1))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - start)
+        matrix = []
+        for at, owner, n in zip(places, owners, sizes, strict=True):
+            inside = (at >= start) & (at < start + width)
+            m = np.zeros((len(n), width), np.float32)
+            m[owner[inside], at[inside] - start] = 1
+            matrix.append(m)
+        common += matrix[0] @ matrix[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    hit = common >= similarity * union - 1e-6
+    if same:
+        hit &= np.triu(np.ones_like(hit), 1)
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(hit), strict=True)]
+
+
+def _close_groups(c: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> list[dict]:
+    """Edges from the least class of each group that pairs of close fingerprints connect to its others; all rows are compared, one with many at a time."""
+    words = words.view(np.uint64)
+    group = np.arange(len(c))
+    for i in range(len(c)):
+        others = np.flatnonzero(group != group[i])
+        apart = np.bitwise_count(words[others] ^ words[i]).sum(1, dtype=np.int64)
+        close = others[(apart <= LOOK) & (np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]))]
+        group[np.isin(group, group[close])] = group[i]
+    least = {g: int(c[group == g].min()) for g in np.unique(group)}
+    return [{"a": least[g], "b": int(x)} for g, x in zip(group, c, strict=True) if x != least[g]]
+
+
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the pairs connect, as edges from the least member of each group to the others."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in root if find(x) != x]
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -210,77 +263,115 @@ class NearCopies:
     """Groups of texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, transitively.
 
     Texts of equal words are one class. Classes get keys by soft Golay decoding (a pair of similarity 0.8 shares one
-    with a probability of 0.98, of 0.85 with 0.997), keys are joined, pairs of too many differing bits fall, the rest
-    are verified on exact sets. First each class is verified against the first of its buckets; of all other pairs only
-    those that are not yet in one group, as links inside a group change nothing. Buckets of over `bucket` classes take
-    their first rows, then the next ones, as hubs that are compared with all rows of other groups, until the bucket
-    is one group or all rows have been hubs: no link is lost, and large groups of copies end after the first round.
-
-    docs: doc_id, text and any others. Null and empty texts are one class. Null doc_ids and repeated rows are allowed.
+    with a probability of 0.98, of 0.85 with 0.997). Under each key, classes are compared by their fingerprints: all with the
+    first of them, and where some are too far from it, all with all; classes close enough form candidate groups. Within a candidate
+    group all pairs are verified on exact sets, block against block, and a block passes on what it
+    connects as edges from the least class of each group to the others. So no link between classes of a candidate group is lost, while the rows that move follow
+    the number of classes: a group of m meets in (m / BLOCK)^2 / 2 blocks.
+
+    docs: doc_id, text and any others. Null and empty texts are one class. Null doc_ids and repeated rows are allowed. An
+    empty table has no groups.
     """
 
-    def __init__(self, docs: DataFrame, width: int = 5, similarity: float = 0.8, bucket: int = BUCKET):
+    def __init__(self, docs: DataFrame, width: int = 5, similarity: float = 0.8):
         prepare(docs.sparkSession)
-        self.docs, self.width, self.similarity, self.bucket = docs, width, similarity, bucket
+        self.docs, self.width, self.similarity = docs, width, similarity
         self.rows = materialize(docs.select("doc_id", sketch(F.col("text"), width).alias("s")).select("doc_id", "s.*"), "near-rows")
         slim = self.rows.groupBy("content").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bits", "codes", "shingles")])
         # numbered in order of doc_id, so that the least number of a group is its least document
         self.classes = materialize(slim.repartitionByRange("rep", "content").sortWithinPartitions("rep", "content").withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
-    def _verify(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Pairs (a, b) of class numbers that are similar."""
-        pairs = materialize(pairs.select("a", "b").distinct(), f"{label}-pairs")
-        ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        wanted = materialize(self.classes.select("c", "rep", "content").join(ids, "c"), f"{label}-wanted")
-        texts = self.docs.select("doc_id", "text").join(_bounded(materialize(wanted.select("rep").distinct(), f"{label}-ids")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        sets = texts.select(_sets(F.col("text"), self.width).alias("s")).select("s.*")
-        sets = materialize(sets.join(wanted.select("c", "content"), "content").dropDuplicates(["c"]).select("c", "members"), f"{label}-sets")
-        both = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("right")), "b")
-        return materialize(both.where(_jaccard("left", "right") >= self.similarity).select("a", "b"), f"{label}-links")
-
-    def _others(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs whose classes are in different groups so far."""
-        of = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return told.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    def groups(self) -> DataFrame:
-        """node, root: of each class in a group of two or more, the least class of the group."""
-        tables = F.explode(
+    def _close(self, x: str, y: str) -> Column:
+        """Whether the structs x and y (class, shingles, words of the fingerprint) are worth an exact look."""
+        sizes = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= self.similarity * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
+        return sizes & (_apart([F.col(f"{x}.{w}") for w in WORDS], [F.col(f"{y}.{w}") for w in WORDS]) <= LOOK)
+
+    def _meet(self, rows: DataFrame, by: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+        """Candidate edges (a, b) among rows (x, and `by`) that share `by`, and the first row of each.
+
+        Where all are close to the first, edges to it are all it takes. Else the rows of the key, at most SALT_ROWS and few
+        more, are compared with each other in one task, which passes on an edge from the least of each group to each other.
+        """
+        w = Window.partitionBy(*by)
+        told = rows.withColumn("first", F.min("x").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1")
+        told = told.withColumn("far", ~self._close("x", "first")).withColumn("crowd", (F.col("size") > 2) & F.bool_or("far").over(w))
+        told = told.select(*by, "x", F.col("first.c").alias("first"), "far", "crowd")
+        told = materialize(told.where("crowd or not far or x.c = first"), f"{label}-told")
+        edges = told.where("not far and x.c <> first").select(F.col("first").alias("a"), F.col("x.c").alias("b"))
+        crowds = told.where("crowd").groupBy(*by).agg(F.collect_list("x").alias("xs"))
+        found = crowds.select(F.explode(self._forest()("xs.c", "xs.n", *[f"xs.{word}" for word in WORDS])).alias("e")).select("e.a", "e.b")
+        return edges.union(found), told.where("x.c = first").select("x", *by)
+
+    def _forest(self):
+        similarity = self.similarity
+
+        @F.pandas_udf("array<struct<a:long,b:long>>")
+        def run(c: pd.Series, n: pd.Series, *words: pd.Series) -> pd.Series:
+            return pd.Series([_close_groups(np.asarray(ci), np.asarray(ni), np.stack([np.asarray(w) for w in ws], 1), similarity) for ci, ni, *ws in zip(c, n, *words, strict=True)])
+
+        return run
+
+    def candidates(self) -> DataFrame:
+        """node, root: of each class in a candidate group, the least class of the group."""
+        keys = F.explode(
             F.array(*[
                 F.lit(t << 24) + F.element_at("codes", 2 * t * PROBES + i + 1).cast("int") * F.lit(4096) + F.element_at("codes", (2 * t + 1) * PROBES + j + 1).cast("int")
                 for t in range(TABLES) for i in range(PROBES) for j in range(PROBES)
             ])
         )
-        words = [f"w{i}" for i in range(-(-BITS // 64))]
-        keyed = self.classes.select("c", "shingles", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)], tables.alias("key"))
-        per_key = Window.partitionBy("key")
-        keyed = keyed.withColumn("size", F.count(F.lit(1)).over(per_key)).withColumn("first", F.min("c").over(per_key)).where("size > 1")
-        side = lambda df, x: df.select("key", F.col("c").alias(x), F.col("shingles").alias(f"n_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in words])
-        close = (_apart([F.col(f"{w}_a") for w in words], [F.col(f"{w}_b") for w in words]) <= LOOK) & (F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b"))
-        few = keyed.where(F.col("size") <= self.bucket)
-        left = few.select("key", F.col("c").alias("a"), F.col("shingles").alias("n_a"), "first", *[F.col(w).alias(f"{w}_a") for w in words])
-        near = left.join(side(few, "b"), "key").where((F.col("a") < F.col("b")) & close)
-        pairs = materialize(near.groupBy("a", "b").agg(F.max(F.col("a") == F.col("first")).alias("hub")), "near-pairs")
-        links = self._verify(pairs.where("hub"), "near-hubs")
-        found = components(links, "near")
-        links = links.union(self._verify(self._others(pairs.where("not hub"), found), "near-rest"))
-        full = materialize(keyed.where(F.col("size") > self.bucket).withColumn("nth", F.row_number().over(per_key.orderBy("c"))), "near-full")
+        words = [F.col("bits")[i].alias(w) for i, w in enumerate(WORDS)]
+        rows = self.classes.select(F.struct("c", F.col("shingles").alias("n"), *words).alias("x"), keys.alias("key"))
+        full = materialize(rows.groupBy("key").count().where(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).alias("parts")), "near-full")
         if full.isEmpty():
-            return components(links, "near")
-        start, open_keys = 0, full.select("key").distinct()
-        while not open_keys.isEmpty():
-            found = components(links, "near")
-            rows = full.join(open_keys, "key")
-            hubs = rows.where((F.col("nth") > start) & (F.col("nth") <= start + self.bucket))
-            met = side(hubs, "a").join(side(rows, "b"), "key").where((F.col("a") != F.col("b")) & close)
-            ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links = materialize(links.union(self._verify(self._others(ordered, found), "near-round")), "near-links")
-            start += self.bucket
-            found = components(links, "near")
-            state = full.join(found, F.col("c") == F.col("node"), "left").groupBy("key").agg(F.max("nth").alias("rows"), F.min(F.coalesce("root", "c")).alias("low"), F.max(F.coalesce("root", "c")).alias("high"))
-            open_keys = materialize(state.where((F.col("low") != F.col("high")) & (F.col("rows") > start)).select("key"), "near-open")
-        return components(links, "near")
+            edges, _ = self._meet(rows, ["key"], "near")
+        else:
+            dealt = rows.join(_bounded(full), "key", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("x.c"), F.col("parts"))).otherwise(F.lit(0)))
+            edges, firsts = self._meet(dealt.select("x", "key", "salt"), ["key", "salt"], "near")
+            firsts = firsts.join(_bounded(full), "key", "left_semi").select("key", "x")
+            met = firsts.join(firsts.select("key", F.col("x").alias("y")), "key").where((F.col("x.c") < F.col("y.c")) & self._close("x", "y"))
+            edges = materialize(edges.union(met.select("x.c", "y.c")), "near-parts")
+            # a full key is mostly one group by now; where it isn't, rows of different groups are compared one by one
+            found = components(edges, "near-parts").select(F.col("node").alias("c"), "root")
+            hot = rows.join(_bounded(full), "key", "left_semi").withColumn("c", F.col("x.c")).join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
+            several = hot.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            hot = materialize(hot.join(several, "key", "left_semi").select("key", "root", "x"), "near-rest")
+            met = hot.join(hot.select("key", F.col("root").alias("root2"), F.col("x").alias("y")), "key").where((F.col("root") < F.col("root2")) & self._close("x", "y"))
+            edges = edges.union(met.select(F.least("x.c", "y.c"), F.greatest("x.c", "y.c")))
+        return components(materialize(edges.distinct(), "near-candidates"), "near")
+
+    def groups(self) -> DataFrame:
+        """node, root: of each class in a group of two or more, the least class of the group."""
+        found = self.candidates().withColumnRenamed("node", "c")
+        wanted = materialize(self.classes.select("c", "rep", "content").join(found, "c"), "near-wanted")
+        texts = self.docs.select("doc_id", "text").join(_bounded(materialize(wanted.select("rep").distinct(), "near-ids")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        sets = texts.select(_sets(F.col("text"), self.width).alias("s")).select("s.*")
+        sets = materialize(sets.join(wanted.select("c", "root", "content"), "content").dropDuplicates(["c"]).select("c", "root", "members"), "near-sets")
+        sizes = materialize(sets.groupBy("root").count(), "near-sizes")
+        bins = max(1, sizes.agg(F.sum("count")).first()[0] or 0) // TASK_ROWS + 1
+        blocks = F.ceil(F.col("count") / BLOCK)
+        sets = sets.join(sizes, "root").withColumn("large", F.col("count") > BLOCK)
+        sets = sets.withColumn("own", F.pmod(F.xxhash64("c"), blocks)).withColumn("part", F.when(F.col("large"), F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))))
+        # a row of a large group goes to its own block's meetings with each block
+        others = F.when(F.col("large"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long")))
+        dealt = sets.select("large", "part", "c", "root", "own", "members", F.explode(others).alias("other")).select("large", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "root", "own", "members")
+        similarity = self.similarity
+
+        def verify(rows: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple[int, int]] = []
+            for _, group in rows.groupby("root", sort=False):
+                group = group.sort_values("c")
+                first, second = group[group["own"] == group["i"]], group[group["own"] == group["j"]]
+                same = bool((group["i"] == group["j"]).all()) or not group["large"].iloc[0]
+                if same:
+                    first = second = group
+                sets = [[np.frombuffer(m, np.uint32) for m in side["members"]] for side in (first, second)]
+                if sets[0] and sets[1]:
+                    a, b = first["c"].to_numpy(), second["c"].to_numpy()
+                    out += _stars([(int(a[i]), int(b[j])) for i, j in _similar(*sets, similarity, same)])
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        links = dealt.groupBy("large", "part", "i", "j").applyInPandas(verify, "a long, b long")
+        return components(materialize(links, "near-links"), "near")
 
     def membership(self) -> DataFrame:
         """One row per class: c, content, rep (its least doc_id), root (the least class of its group) and root_rep."""
