@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word definition used by every operator here: bytes 0x20 and 0x09-0x0D.
@@ -68,17 +68,23 @@ def release() -> None:
             return
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (a < b) with the same components: each b hangs on its least a only, and its other a's on that one too."""
+    told = edges.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return told.select(F.col("least").alias("a"), "b").union(told.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the least node reachable.
 
-    Every node of an edge gets a row. Labels spread to neighbours by minimum, then jump to their label's label, so
-    the number of rounds follows the logarithm of the longest path. Each round's labels are a table in the shared
+    Every node of an edge gets a row. Edges are contracted first, so that dense groups go on with little more than one
+    edge a node. Labels spread to neighbours by minimum, then jump to their label's label, so the number of rounds
+    follows the logarithm of the longest path. Each round's labels are a table in the shared
     folder; nothing is collected but one count.
     """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        f"{label}-edges",
-    )
+    few = contract(contract(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    few = materialize(few, f"{label}-few")
+    both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")),
         f"{label}-labels",
