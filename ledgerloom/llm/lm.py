@@ -13,16 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import new_folder, prepare
 
 #: Longest context in bytes.
 ORDER = 5
-#: The model keeps n-grams and words that make up 1/NODES of the corpus or more: so NODES of each order at most, whatever its size.
+#: Distinct n-grams or words after which a block of texts ends: a bound on what a task holds, not on the model.
 NODES = 1 << 21
+#: The counts of so many orders from 0 are told to every task, 256^LOW n-grams an order at most; longer ones stay dealt out by the last LOW bytes of their context.
+LOW = 3
 #: The symbol that ends a text and pads the context before its start; no UTF-8 text holds this byte.
 END = 0xFF
-#: Bytes of text whose n-grams are counted at once, and distinct n-grams or words a task holds before it passes them on.
-BLOCK_BYTES, FLUSH_GRAMS, FLUSH_WORDS = 8 << 20, 4_000_000, 1_000_000
+#: Bytes of text whose n-grams are counted at once, and bytes after which a block of texts ends.
+COUNT_BYTES, BLOCK_BYTES = 2 << 20, 48 << 20
 #: Bytes of text whose contexts are looked up at once.
 CHUNK_BYTES = 2 << 20
 
@@ -61,61 +63,99 @@ def _word_hash(words: list[bytes]) -> np.ndarray:
 END_WORD = int(_word_hash([b" end"])[0])
 
 
-def gather(texts: DataFrame) -> DataFrame:
-    """kind (0 n-gram of ORDER + 1 bytes, 1 word), key, n: counts over all texts (column text)."""
+#: What blocks() gives: rows of texts (data), or of a block's n-grams (kind 0) and words (1), packed by `deal`, or of the short n-grams' counts (2).
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("data", pa.binary()), ("kind", pa.int32()), ("deal", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+_BLOCKS_DDL = "block long, doc_id long, held_out boolean, data binary, kind int, deal int, keys binary, numbers binary, key long, n long"
+
+
+def _batch(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+def _summed(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(at, np.concatenate(numbers), len(unique)).astype(np.int64)
+
+
+def _packed(group: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """For each group its keys and numbers as bytes."""
+    order = np.argsort(group, kind="stable")
+    group, keys, numbers = group[order], keys[order], numbers[order]
+    bounds = [*np.flatnonzero(np.diff(group, prepend=group[:1] - 1)), len(group)]
+    for i, j in zip(bounds, bounds[1:]):
+        yield int(group[i]), keys[i:j].tobytes(), numbers[i:j].tobytes()
+
+
+def _deal(kind: int, keys: np.ndarray, deals: int) -> np.ndarray:
+    """Where a key is counted: n-grams by the last LOW bytes of their context, so that all contexts that long or longer are whole there."""
+    part = keys >> np.uint64(8) & np.uint64((1 << 8 * LOW) - 1) if kind == 0 else keys
+    return ((part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % deals
+
+
+def blocks(rows: DataFrame, deals: int) -> DataFrame:
+    """The rows (doc_id, text, held_out) dealt to blocks of neighbouring texts, and each block's distinct n-grams and words.
+
+    The numbers that go with these count training texts only; those of held-out texts alone have 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         words: dict[bytes, int] = {}
-        ends = 0
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[bytes] = []
-        waiting_bytes = 0
-
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, numbers = np.concatenate([g for g, _ in grams]), np.concatenate([n for _, n in grams])
-            unique, at = np.unique(keys, return_inverse=True)
-            return unique, np.bincount(at, numbers, len(unique)).astype(np.int64)
+        waiting: tuple[list[bytes], list[bytes]] = ([], [])  # held-out texts, training texts
+        waiting_bytes = block_bytes = ends = 0
 
         def count() -> None:
-            for codes, _ in gram_codes(waiting, ORDER, BLOCK_BYTES):
-                grams.append(np.unique(codes, return_counts=True))
-                if len(grams) > 1:
-                    grams[:] = [merged()]
-            waiting.clear()
-
-        def words_out() -> pa.RecordBatch:
-            batch = out(1, _word_hash(list(words)), np.fromiter(words.values(), np.int64, len(words)))
+            for weight, texts in enumerate(waiting):
+                for codes, _ in gram_codes(texts, ORDER, COUNT_BYTES) if texts else ():
+                    unique, n = np.unique(codes, return_counts=True)
+                    grams.append((unique, n * weight))
+                    if len(grams) >= 8:
+                        grams[:] = [_summed([g for g, _ in grams], [n for _, n in grams])]
+                texts.clear()
+
+        def merge() -> None:
+            if len(grams) > 1:
+                grams[:] = [_summed([g for g, _ in grams], [n for _, n in grams])]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            found = [(1, np.append(_word_hash(list(words)), END_WORD).view(np.uint64), np.append(np.fromiter(words.values(), np.int64, len(words)), ends))]
+            merge()
+            if grams:
+                keys, n = grams.pop()
+                found.append((0, keys, n))
+                short, n = _summed([keys[n > 0] & np.uint64((1 << 8 * LOW) - 1)], [n[n > 0]])
+                yield _batch(_BLOCKS, len(short), block=np.full(len(short), block), kind=np.full(len(short), 2), key=short.view(np.int64), n=n)
+            for kind, keys, n in found:
+                packs = list(_packed(_deal(kind, keys, deals), keys, n.astype(np.int64)))
+                yield _batch(_BLOCKS, len(packs), block=[block] * len(packs), kind=[kind] * len(packs), deal=[d for d, _, _ in packs], keys=[k for _, k, _ in packs], numbers=[x for _, _, x in packs])
             words.clear()
-            return batch
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                data = lowered(t)
+            texts = [lowered(t) for t in batch.column("text").to_pylist()]
+            held = batch.column("held_out").to_pylist()
+            yield _batch(_BLOCKS, len(texts), block=[block] * len(texts), doc_id=batch.column("doc_id").cast(pa.int64()), held_out=held, data=texts)
+            for data, out in zip(texts, held, strict=True):
+                learnt = out is False
                 for w in data.split():
-                    words[w] = words.get(w, 0) + 1
-                ends += 1
-                waiting.append(data)
+                    words[w] = words.get(w, 0) + learnt
+                ends += learnt
+                waiting[learnt].append(data)
                 waiting_bytes += len(data)
-                if waiting_bytes >= BLOCK_BYTES:
+                block_bytes += len(data)
+                if waiting_bytes >= COUNT_BYTES:
                     count()
                     waiting_bytes = 0
-                    if len(grams[0][0]) > FLUSH_GRAMS:
-                        yield out(0, *grams.pop())
-                if len(words) > FLUSH_WORDS:
-                    yield words_out()
-        if waiting:
-            count()
+            if len(words) > NODES or block_bytes >= BLOCK_BYTES or grams and len(grams[0][0]) > NODES:
+                count()
+                yield from told()
+                block += 1
+                waiting_bytes = block_bytes = ends = 0
+        count()
         if grams:
-            yield out(0, *grams[0])
-        if words:
-            yield words_out()
-        if ends:
-            yield out(1, np.array([END_WORD], np.int64), np.array([ends]))
+            yield from told()
 
-    return texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, _BLOCKS_DDL)
 
 
 @dataclass
@@ -227,36 +267,71 @@ class Trie:
         return out
 
 
-def _levels(grams: DataFrame, order: int, least: int) -> list[Level]:
-    """The kept nodes of each order; the driver holds NODES of each at most."""
-    levels: list[Level] = []
-    tables = {order: grams}
-    for k in range(order - 1, -1, -1):
-        tables[k] = materialize(tables[k + 1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), f"lm-order{k}")
-    for k in range(order + 1):
-        context = F.shiftrightunsigned("key", 8)
-        kept = F.collect_list(F.when(F.col("n") >= least, F.struct("key", "n")))  # 256 symbols at most
-        rows = tables[k].groupBy(context.alias("context")).agg(F.sum("n").alias("total"), kept.alias("kept")).where(F.size("kept") > 0)
-        found = rows.select("context", "total", F.explode("kept").alias("g")).select("context", "total", "g.key", "g.n").toPandas().sort_values("key")
-        keys, n = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)
-        contexts, first, place = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
-        level = Level(keys, n, contexts, found["total"].to_numpy(np.float64)[first], np.bincount(place, minlength=len(contexts)).astype(float), np.bincount(place, n, len(contexts)))
-        if k:
-            shorter = levels[-1]
-            at = np.searchsorted(shorter.grams, keys & np.uint64((1 << 8 * k) - 1))
-            level.below = np.bincount(place, shorter.counts[at], len(contexts)) if len(keys) else np.zeros(0)
-        levels.append(level)
-    return levels
+def _level(keys: np.ndarray, n: np.ndarray, order: int, shorter: Level | None) -> Level:
+    """The nodes of one order from sorted keys and their counts."""
+    n = n.astype(np.float64)
+    contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
+    total = np.bincount(place, n, len(contexts))
+    level = Level(keys, n, contexts, total, np.bincount(place, minlength=len(contexts)).astype(float), total)
+    if shorter is not None:
+        at = np.searchsorted(shorter.grams, keys & np.uint64((1 << 8 * order) - 1))
+        level.below = np.bincount(place, shorter.counts[at], len(contexts)) if len(keys) else np.zeros(0)
+    return level
+
 
+def _levels(keys: np.ndarray, n: np.ndarray, orders: range, levels: list[Level]) -> list[Level]:
+    """levels and those of the orders that follow, from all n-grams of the last of these orders."""
+    out = list(levels)
+    for k in orders:
+        short, numbers = _summed([keys & np.uint64((1 << 8 * (k + 1)) - 1)], [n]) if len(keys) else (keys, n)
+        out.append(_level(short, numbers, k, out[-1] if out else None))
+    return out
 
-_loaded: list = []  # of this Python worker: the last model's value, trie and table of words
 
+_WORTH = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
 
-def _tables(model) -> tuple[Trie, HashTable]:
-    value = model.value
-    if not _loaded or _loaded[0] is not value:
-        _loaded[:] = [value, Trie(value[0]), HashTable(value[1])]
-    return _loaded[1], _loaded[2]
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By kind: block, key and number of all that is packed in the rows."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        for block, kind, keys, numbers in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "keys", "numbers")), strict=True):
+            found.setdefault(kind, []).append((np.full(len(keys) // 8, block, np.int64), np.frombuffer(keys, np.uint64), np.frombuffer(numbers, np.int64)))
+    return {kind: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for kind, parts in found.items()}
+
+
+def worths(packs: DataFrame, low: list[Level], parts: int) -> DataFrame:
+    """block, kind, keys, numbers: what each block's n-grams cost by all training texts (log10), and how often these have its words."""
+    spark = packs.sparkSession
+    shared = spark.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, (block, keys, n) in _unpacked(batches).items():
+            unique, at = np.unique(keys, return_inverse=True)
+            total = np.bincount(at, n, len(unique))
+            if kind == 0:
+                seen = total > 0
+                worth = Trie(_levels(unique[seen], total[seen], range(LOW, ORDER + 1), shared.value)).log10(unique)
+            else:
+                worth = total
+            rows = list(_packed(block, keys, worth[at]))
+            for i in range(0, len(rows), 64):
+                some = rows[i : i + 64]
+                yield _batch(_WORTH, len(some), block=[b for b, _, _ in some], kind=[kind] * len(some), keys=[k for _, k, _ in some], numbers=[x for _, _, x in some])
+
+    return packs.select("block", "kind", "deal", "keys", "numbers").repartition(parts, "deal").mapInArrow(run, "block long, kind int, keys binary, numbers binary")
+
+
+def known_words(packs: DataFrame, parts: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n in _unpacked(batches).values():
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(np.unique(keys[n > 0]))])], ["tokens", "kinds"])
+
+    found = packs.where("kind = 1").select("block", "kind", "deal", "keys", "numbers").repartition(parts, "deal").mapInArrow(run, "tokens long, kinds long")
+    n, kinds = found.agg(F.sum("tokens"), F.sum("kinds")).first()
+    return n or 0, kinds or 0
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -270,70 +345,76 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word unigrams) and score, the log10
     probability of the lower-cased text and its end by a byte trie of order ORDER.
 
-    Counts cover all training texts. Of n-grams and words the executors get those that make up 1/NODES of the corpus
-    or more, a number bounded by NODES; what a context loses in symbols that are left out is part of its escape. Rarer words'
-    counts are joined by hash with the documents' rare words, where no key can be frequent.
+    Counts cover all training texts, and every n-gram and word of theirs is part of the model, however rare. The model is never in
+    one place: blocks of texts tell their distinct n-grams and words, these are dealt out by context and get their
+    costs there, and each block gets its own ones back. Only n-grams of up to LOW bytes are told to all.
 
     Null and empty texts are scored as the end alone. Repeated rows each get their row. Without training texts V and
     N are 0 and all symbols are alike. Empty table: no rows. Long texts are scored whole.
     """
     spark = docs.sparkSession
     prepare(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", is_held_out.alias("held_out"))
-    counts = materialize(gather(rows.where(~F.col("held_out")).select("text")), "lm-counts")
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
-    n_bytes = sums[0]["n"] if 0 in sums else 0
-    n_train, n_words = (sums[1]["n"], sums[1]["kinds"]) if 1 in sums else (0, 0)
-    levels = _levels(counts.where("kind = 0").select("key", "n"), ORDER, max(1, -(-n_bytes // NODES)))
-    frequent = counts.where((F.col("kind") == 1) & ((F.col("n") >= max(1, -(-n_train // NODES))) | (F.col("key") == END_WORD))).select("key", "n").toPandas()
-    model = spark.sparkContext.broadcast((levels, frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.float64)))
+    path = new_folder(spark, "lm-blocks")
+    blocks(rows, 4 * parts).write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(_BLOCKS_DDL).parquet(path)
+    packs = table.where("kind < 2")
+    short = table.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    low = _levels(short["key"].to_numpy(np.int64).view(np.uint64), short["n"].to_numpy(np.int64), range(LOW), [])
+    n_train, n_words = known_words(packs, parts)
     denominator = math.log10(n_train + n_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, table = _tables(model)
-        frequencies = model.value[2]
-        row_id = TaskContext.get().partitionId() << 40
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("times", pa.int64())])
-        for batch in batches:
-            texts = [lowered(t) for t in batch.column("text").to_pylist()]
+        block, parts, tables = None, {0: [], 1: []}, {}
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+        def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+            for kind, found in parts.items():
+                if kind not in tables:
+                    keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in found])
+                    tables[kind] = HashTable(keys), np.concatenate([np.frombuffer(x, np.float64) for _, x in found])
+                    found.clear()
+            (grams, cost), (held, frequency) = tables[0], tables[1]
+            texts = batch.column("data").to_pylist()
             n = len(texts)
             split = [t.split() for t in texts]
             numbers: dict[bytes, int] = {}
             ids = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in split for w in ws), np.int64)
             owner = np.repeat(np.arange(n), [len(ws) for ws in split])
-            hashes = np.concatenate([_word_hash(list(numbers)), np.array([END_WORD], np.int64)])
-            at = table.find(hashes.view(np.uint64))
-            known = at >= 0
-            cost = np.where(known, np.log10(np.where(known, frequencies[np.maximum(at, 0)] if len(frequencies) else 0, 0) + 1), 0.0) - denominator
-            here = known[ids]
-            base = np.bincount(owner[here], cost[ids[here]], n) + cost[-1]
-            n_known = np.bincount(owner[here], minlength=n) + int(known[-1])
+            seen = frequency[held.find(np.append(_word_hash(list(numbers)), END_WORD).view(np.uint64))]
+            worth = np.log10(seen + 1) - denominator
             scores = np.zeros(n)
             for codes, of in gram_codes(texts, ORDER):
-                scores += np.bincount(of, trie.log10(codes), n)
-            first = np.arange(row_id, row_id + n)
-            row_id += n
-            pairs, times = np.unique(owner[~here] * len(hashes) + ids[~here], return_counts=True)
-            of_row, of_word = first[pairs // len(hashes)], hashes[pairs % len(hashes)]
-            m = len(pairs)
-            empty = lambda kind, size: pa.nulls(size, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(np.array([len(ws) + 1 for ws in split], np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), empty(pa.int64(), n), empty(pa.int64(), n)],
+                scores += np.bincount(of, cost[grams.find(codes)], n)
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(np.array([len(ws) + 1 for ws in split], np.int64)),
+                    pa.array(np.bincount(owner, seen[ids] > 0, n).astype(np.int64) + int(seen[-1] > 0)), pa.array(np.bincount(owner, worth[ids], n) + worth[-1]), pa.array(scores),
+                ],
                 schema=schema,
             )
-            if m:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(of_row), *(empty(schema.field(i).type, m) for i in range(1, 7)), pa.array(of_word), pa.array(times.astype(np.int64))], schema=schema,
-                )
-
-    out = materialize(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, times long"), "lm-scores")
-    whole = out.where("word is null").drop("word", "times")
-    rare = out.where("word is not null").select("row", F.col("word").alias("key"), "times")
-    # a word left out of the model is rare by definition
-    told = rare.join(counts.where("kind = 1").select("key", "n"), "key", "left")
-    extra = told.groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(denominator))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known")
-    )
-    return whole.join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
-    )
+
+        for batch in batches:
+            # a block's costs come before its texts
+            kinds, of = batch.column("kind").to_pylist(), batch.column("block").to_pylist()
+            at = 0
+            while at < len(kinds):
+                if of[at] != block:
+                    block, parts, tables = of[at], {0: [], 1: []}, {}
+                to = at + 1
+                while to < len(kinds) and of[to] == block and (kinds[to] is None) == (kinds[at] is None):
+                    to += 1
+                some = batch.slice(at, to - at)
+                if kinds[at] is None:
+                    yield scored(some)
+                else:
+                    for kind, keys, x in zip(kinds[at:to], some.column("keys").to_pylist(), some.column("numbers").to_pylist(), strict=True):
+                        parts[kind].append((keys, x))
+                at = to
+
+    texts = table.where("kind is null").select("block", "kind", "keys", "numbers", "doc_id", "held_out", "data")
+    told = worths(packs, low, parts).unionByName(texts, allowMissingColumns=True)
+    together = told.repartition(parts, "block").sortWithinPartitions("block", F.col("kind").isNull())
+    out = together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")

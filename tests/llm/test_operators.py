@@ -359,3 +359,31 @@ def test_pii(spark):
     assert clean[7].text == "visit [IP] or [CARD]" and clean[10].text == "clean text" and clean[8].text is None and clean[11].text == texts[11]
     empty = df.limit(0)
     assert pii.Sanitiser(empty).spans().count() == 0 and pii.Sanitiser(empty).clean().count() == 0
+
+
+def test_lm_counts_every_n_gram(spark, monkeypatch):
+    """Each order's counts against a plain PPM; a small NODES must not take n-grams away."""
+    monkeypatch.setattr(lm, "NODES", 50)
+    texts = [" ".join(f"{prose(3)} {i}" for _ in range(1 + i % 5)) for i in range(120)]
+    grams = [collections.defaultdict(collections.Counter) for _ in range(lm.ORDER + 1)]
+    framed = [[lm.END] * lm.ORDER + list(t.encode().lower()) + [lm.END] for t in texts]
+    for i, x in enumerate(framed):
+        for p in range(lm.ORDER, len(x)) if i % 4 else ():
+            for k in range(lm.ORDER + 1):
+                grams[k][tuple(x[p - k : p])][x[p]] += 1
+
+    def cost(x, p):
+        out, excluded = 0.0, set()
+        for k in range(lm.ORDER, -1, -1):
+            left = {s: n for s, n in grams[k].get(tuple(x[p - k : p]), {}).items() if s not in excluded}
+            whole = sum(left.values()) + len(left)
+            if x[p] in left:
+                return out + math.log10(left[x[p]] / whole)
+            out += math.log10(len(left) / whole) if left else 0.0
+            excluded |= left.keys()
+        return out - math.log10(256 - len(excluded))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 4 == 0).collect()}
+    for i, x in enumerate(framed):
+        assert abs(got[i] - sum(cost(x, p) for p in range(lm.ORDER, len(x)))) < 1e-6, i
