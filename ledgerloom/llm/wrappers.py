@@ -187,25 +187,15 @@ def infer(expressions: list[str]) -> str:
 
 
 class Wrapper:
-    """A wrapper that can be laid over pages: each slot of the expression has a role, by the elements that hold it."""
+    """A host's wrapper. Each slot's role follows from the elements that the page has open there.
+
+    The expression's alternatives open elements that a page closes but once, so it can't tell itself what is open after them.
+    """
 
     ARTICLE, OTHER, OUTSIDE = 2, 1, 0
 
     def __init__(self, expression: str):
-        self.nodes = self._prepared(json.loads(expression), [])
-
-    def _prepared(self, nodes: list, held: list[str]) -> list[tuple]:
-        out = []
-        for n in nodes:
-            if isinstance(n, list):
-                inner = self._prepared(n[1], held)
-                out.append((n[0], inner, self._starts(inner)))
-            elif is_slot(n):
-                out.append((SLOT, self.role(held), n))
-            else:
-                step(n, held)
-                out.append(("=", n, list(held)))
-        return out
+        self.nodes = json.loads(expression)
 
     @classmethod
     def role(cls, held: list[str]) -> int:
@@ -217,52 +207,16 @@ class Wrapper:
             inside = inside or name in ("article", "main")
         return cls.ARTICLE if inside else cls.OTHER
 
-    @classmethod
-    def _starts(cls, nodes: list[tuple]) -> frozenset[str]:
-        """Tokens that can begin a group."""
-        first: set[str] = set()
-        for kind, value, more in nodes:
-            if kind == "=":
-                return frozenset(first | {value})
-            if kind == SLOT:
-                first.add(more)
-            else:
-                first |= more
-                if kind == "+":
-                    return frozenset(first)
-        return frozenset(first)
-
     def roles(self, tokens: list[str]) -> list[int]:
-        """The role of each slot of a page. Where the page departs from the wrapper, its own open elements decide."""
+        """The role of each slot of a page."""
         out: list[int] = []
-        at = self._lay(self.nodes, tokens, 0, out)
-        if at < len(tokens):
-            held: list[str] = []
-            for i, token in enumerate(tokens):
-                if not is_slot(token):
-                    step(token, held)
-                elif i >= at:
-                    out.append(self.role(held))
-        return out
-
-    def _lay(self, nodes: list[tuple], tokens: list[str], at: int, out: list[int]) -> int:
-        """Lay the nodes over tokens from `at`; returns where the match ends. Each choice follows from the next token."""
-        for kind, value, more in nodes:
-            if kind == SLOT:
-                if at < len(tokens) and tokens[at] == more:
-                    out.append(value)
-                    at += 1
-            elif kind == "=":
-                if at >= len(tokens) or tokens[at] != value:
-                    return at
-                at += 1
+        held: list[str] = []
+        for token in tokens:
+            if is_slot(token):
+                out.append(self.role(held))
             else:
-                while at < len(tokens) and tokens[at] in more:
-                    before = at
-                    at = self._lay(value, tokens, at, out)
-                    if kind == "?" or at == before:
-                        break
-        return at
+                step(token, held)
+        return out
 
 
 @lru_cache(maxsize=4096)

@@ -387,3 +387,12 @@ def test_lm_counts_every_n_gram(spark, monkeypatch):
     got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 4 == 0).collect()}
     for i, x in enumerate(framed):
         assert abs(got[i] - sum(cost(x, p) for p in range(lm.ORDER, len(x)))) < 1e-6, i
+
+
+def test_layouts_that_differ_before_the_article(spark):
+    def page(mark, more):
+        return f"<body><div class='{mark}'>Before.{more}</div><article><h1>Title {mark}</h1><p>Body of {mark}.</article></body>"
+
+    rows = [(0, "http://a.example.com/0", page("banner", "")), (1, "http://a.example.com/1", page("intro", "<p>More words of it, so that this one is longer.")), (2, "http://a.example.com/2", page("topic", "<hr><p>x<p>y"))]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {m}\nBody of {m}." for i, m in enumerate(("banner", "intro", "topic"))}
