@@ -17,9 +17,9 @@ from .common import materialize, prepare
 
 #: Kinds of spans in their order; the last two are the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "removed")
-#: Words on either side of a protected value whose co-occurrence with it is counted.
+#: Words on either side that make up surroundings. Co-occurrence itself is counted over whole texts.
 WINDOW = 8
-#: A term must stand near the value in so many documents, and in so many different surroundings.
+#: A term must stand with the value in so many documents, and in so many different surroundings.
 MIN_DOCUMENTS = MIN_SURROUNDINGS = 3
 #: Share of the value's information that a term must reveal to be generalised, or removed.
 GENERALISE, REMOVE = 0.9, 0.98
@@ -115,35 +115,44 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each protected value and each term near it, one row with the places of the term and a hash of what surrounds the value."""
-    if not spans:
-        return []
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """Places of the words, which of them are no part of a span, and for each span its first word and the one after its last."""
     words = [m.span() for m in _WORD.finditer(text)]
     starts = np.array([w[0] for w in words])
     free = np.ones(len(words), bool)
     bounds = []
     for s, _, e in spans:
-        first = int(np.searchsorted(starts, s, "right")) - 1
-        last = int(np.searchsorted(starts, e, "left"))
-        bounds.append((max(first, 0), last))
-        free[max(first, 0) : last] = False
-    rows: dict[tuple[int, int], dict] = {}
+        first = max(int(np.searchsorted(starts, s, "right")) - 1, 0)
+        bounds.append((first, int(np.searchsorted(starts, e, "left"))))
+        free[first : bounds[-1][1]] = False
+    return words, free, bounds
+
+
+def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
+    """Each wanted value (hash) with each term of the text, and a hash of what surrounds them: of the value, if the term is within
+    WINDOW words of it, else of the term."""
+    spans = base_spans(text)
+    words, free, bounds = free_words(text, spans)
+    terms = [term_of(text[s:e]) if f else "" for (s, e), f in zip(words, free, strict=True)]
+    around = lambda first, last: _hash(" ".join(terms[i] for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))) if free[i]))
+    places: dict[str, int] = {}
+    for i, term in enumerate(terms):
+        if term:
+            places.setdefault(term, i)
+    far = {term: (_hash(term), around(i, i + 1)) for term, i in places.items()}
+    near: dict[int, dict[str, int]] = {}
     for (s, kind, e), (first, last) in zip(spans, bounds, strict=True):
         value = _hash(f"{kind}:{_value(text[s:e], kind)}")
-        near = [i for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))) if free[i]]
-        terms = [term_of(text[words[i][0] : words[i][1]]) for i in near]
-        around = _hash(" ".join(terms))
-        for i, term in zip(near, terms, strict=True):
-            if term:
-                row = rows.setdefault((value, _hash(term)), {"value": value, "term": _hash(term), "around": around, "places": []})
-                place = {"start": words[i][0], "end": words[i][1]}
-                if place not in row["places"]:
-                    row["places"].append(place)
-    return list(rows.values())
+        if value in wanted:
+            here, told = near.setdefault(value, {}), around(first, last)
+            for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))):
+                here.setdefault(terms[i], told)
+    for value, here in near.items():
+        for term, (key, told) in far.items():
+            yield value, key, here.get(term, told)
 
 
-_SCAN = "n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,term:long,around:long,places:array<struct<start:int,end:int>>>>, values array<long>"
+_SCAN = "n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, values array<long>"
 
 
 def scan(text: Column) -> Column:
@@ -156,8 +165,8 @@ def scan(text: Column) -> Column:
                 spans = base_spans(t)
                 kinds = [k for _, k, _ in spans]
                 values = sorted({_hash(f"{k}:{_value(t[s:e], k)}") for s, k, e in spans})
-                rows.append((*(kinds.count(k) for k in range(4)), [{"start": s, "kind": k, "end": e} for s, k, e in spans], surroundings(t, spans), values))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "near", "values"])
+                rows.append((*(kinds.count(k) for k in range(4)), [{"start": s, "kind": k, "end": e} for s, k, e in spans], values))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "values"])
 
     return run.asNondeterministic()(text)
 
@@ -186,14 +195,45 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
 
 
+def places(text: Column, telling) -> Column:
+    """Where terms of the broadcast table (hash to kind) stand in a text, outside the spans of patterns."""
+
+    @F.pandas_udf("array<struct<start:int,kind:int,end:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kinds: dict[str, int] = {}  # of words seen before; 0 if they tell nothing
+
+        def kind_of(word: str) -> int:
+            term = term_of(word)
+            kind = kinds[word] = telling.value.get(_hash(term), 0) if term else 0
+            return kind
+
+        def found(t: str) -> list[dict]:
+            hits = {w for w in set(_WORD.findall(t)) if (kinds[w] if w in kinds else kind_of(w))}
+            if not hits:
+                return []
+            words, free, _ = free_words(t, base_spans(t))
+            return [{"start": s, "kind": kinds[t[s:e]], "end": e} for (s, e), f in zip(words, free, strict=True) if f and t[s:e] in hits]
+
+        for texts in batches:
+            rows = []
+            for t in texts:
+                rows.append(found(t or ""))
+                if len(kinds) > FLUSH_TERMS:
+                    kinds.clear()
+            yield pd.Series(rows, dtype=object)
+
+    return run.asNondeterministic()(text)
+
+
 class Sanitiser:
     """Personal data of documents (doc_id, text and any others).
 
-    Patterns find e-mail addresses, IP addresses, card and phone numbers. For each such value c and each term t within
-    WINDOW words of it, the corpus gives the pointwise mutual information of c and t over the information of c, by
+    Patterns find e-mail addresses, IP addresses, card and phone numbers. For each such value c and each term t of the
+    texts that hold it, the corpus gives the pointwise mutual information of c and t over the information of c, by
     document frequencies: log(N df(c,t) / df(c) df(t)) / log(N / df(c)). It is 1 if t stands only with c. Terms that
-    reach GENERALISE become a span `term` wherever they stand near c, those that reach REMOVE a span `removed`, given
-    MIN_DOCUMENTS documents and MIN_SURROUNDINGS different surroundings as evidence. A value of all documents has no
+    reach GENERALISE become a span `term` wherever they stand in any text, those that reach REMOVE a span `removed`, given
+    MIN_DOCUMENTS documents and MIN_SURROUNDINGS different surroundings as evidence. Pairs are counted before their
+    surroundings are, and surroundings only of pairs that reach GENERALISE. A value of all documents has no
     information to reveal.
 
     Null and empty texts have no spans. Repeated rows count as documents, but equal surroundings once. Texts count
@@ -206,19 +246,49 @@ class Sanitiser:
         slim = docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("digest"), scan(F.col("text")).alias("s"))
         self.rows = materialize(slim.select("doc_id", "digest", "s.*"), "pii-rows")
 
-    def added(self) -> DataFrame:
-        """doc_id, digest (xxhash64 of the text) and extra, the method's spans: a row for each text that has any."""
-        near = self.rows.select("doc_id", "digest", F.explode("near").alias("x")).select("doc_id", "digest", "x.*")
-        pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("together"), F.countDistinct("around").alias("ways"))
-        pairs = materialize(pairs.where((F.col("together") >= MIN_DOCUMENTS) & (F.col("ways") >= MIN_SURROUNDINGS)), "pii-pairs")
-        values = self.rows.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("of_value"))
-        terms = document_frequencies(self.docs.select("text")).join(pairs.select("term").distinct(), "term")
+    def pairs(self, values: DataFrame) -> DataFrame:
+        """value, term, around: a row for each of the values that a text holds and each term of that text."""
+        held = self.rows.select("digest", "values").dropDuplicates(["digest"]).select("digest", F.explode("values").alias("value")).join(values.select("value"), "value")
+        held = materialize(held.groupBy("digest").agg(F.collect_list("value").alias("values")), "pii-held")
+        held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+        texts = self.docs.select("text", F.xxhash64("text").alias("digest")).join(held, "digest").select("text", "values")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = np.array(list(surroundings(text or "", set(wanted))), np.int64).reshape(-1, 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["value", "term", "around"])
+
+        return texts.mapInArrow(run, "value long, term long, around long")
+
+    def telling(self) -> DataFrame:
+        """term (hash) and kind of the terms that reveal a value."""
         n = self.rows.count()
-        told = pairs.join(values, "value").join(terms, "term").where(F.col("of_value") < n)
+        values = self.rows.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("of_value"))
+        values = materialize(values.where((F.col("of_value") >= MIN_DOCUMENTS) & (F.col("of_value") < n)), "pii-values")
+        pairs = self.pairs(values)
+        counts = materialize(pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= MIN_DOCUMENTS), "pii-pairs")
+        terms = document_frequencies(self.docs.select("text")).join(counts.select("term").distinct(), "term")
+        told = counts.join(values, "value").join(terms, "term")
         share = F.log(F.lit(float(n)) * F.col("together") / (F.col("of_value") * F.col("documents"))) / F.log(F.lit(float(n)) / F.col("of_value"))
-        telling = materialize(told.withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", F.when(F.col("share") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("kind")), "pii-telling")
-        places = near.join(telling, ["value", "term"]).select("doc_id", "digest", "kind", F.explode("places").alias("p")).groupBy("doc_id", "digest", "p.start", "p.end").agg(F.max("kind").alias("kind"))
-        return places.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("extra"))
+        kind = F.when(F.col("share") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("kind")
+        likely = materialize(told.withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", kind), "pii-likely")
+        ways = pairs.join(likely, ["value", "term"]).groupBy("value", "term", "kind").agg(F.countDistinct("around").alias("ways"))
+        return materialize(ways.where(F.col("ways") >= MIN_SURROUNDINGS).groupBy("term").agg(F.max("kind").alias("kind")), "pii-telling")
+
+    def added(self) -> DataFrame:
+        """doc_id, digest (xxhash64 of the text) and extra, the method's spans: a row for each text that has any."""
+        telling = self.telling()
+        spark, rounds = self.docs.sparkSession, -(-telling.count() // BROADCAST_ROWS)
+        texts = self.docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+        found = None
+        for i in range(rounds):  # each holds as many terms as fit
+            part = telling.where(F.pmod("term", F.lit(rounds)) == i).toPandas()
+            some = texts.select("doc_id", "digest", F.explode(places(F.col("text"), spark.sparkContext.broadcast(dict(zip(part["term"].tolist(), part["kind"].tolist(), strict=True))))).alias("s"))
+            found = some if found is None else found.union(some)
+        if found is None:
+            return texts.limit(0).select("doc_id", "digest", F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("extra"))
+        return found.distinct().groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list("s")).alias("extra"))
 
     @staticmethod
     def _joined(spans: Column) -> Column:
@@ -230,7 +300,7 @@ class Sanitiser:
         extra = self.added().select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "extra")
         same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))
         every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-        joined = self.rows.drop("near", "values").join(extra, same, "left")
+        joined = self.rows.drop("values").join(extra, same, "left")
         return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(self._joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), self._joined(every).alias("spans"))
 
     def clean(self) -> DataFrame:

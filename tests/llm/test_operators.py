@@ -396,3 +396,14 @@ def test_layouts_that_differ_before_the_article(spark):
     rows = [(0, "http://a.example.com/0", page("banner", "")), (1, "http://a.example.com/1", page("intro", "<p>More words of it, so that this one is longer.")), (2, "http://a.example.com/2", page("topic", "<hr><p>x<p>y"))]
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {m}\nBody of {m}." for i, m in enumerate(("banner", "intro", "topic"))}
+
+
+def test_terms_far_from_a_value_reveal_it(spark):
+    texts = [f"Zebulon {prose(40)} write to anna.k@mail.example.org {prose(30)} zebulon, {prose(12)}" for _ in range(8)] + [prose(60) for _ in range(40)] + ["nothing of Aldebaran here"]
+    texts += [f"bob@mail.example.org {prose(25)} Aldebaran {prose(9)}" for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in pii.Sanitiser(df).clean().collect()}
+    assert not any("zebulon" in t.lower() for t in clean.values())
+    # a text without the value discloses as much
+    assert not any("aldebaran" in t.lower() for t in clean.values())
+    assert all(clean[i] == texts[i] for i in range(8, 48))
