@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -46,26 +46,72 @@ SAFE_TAG_KEYS = ("amenity", "craft", "healthcare", "healthcare:speciality", "off
 MAX_EVIDENCE_CHARS, MAX_CELL_CHARS = 360, 32_767
 
 
+def _bare(ch: str) -> str:
+    """The compatibility decomposition of a character without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+
+
 @cache
-def _letters() -> tuple[str, str]:
-    """Accented Latin letters and their base letters: by rule, those that decompose into an ASCII letter and marks."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        parts = unicodedata.normalize("NFKD", chr(code))
-        base = "".join(c for c in parts if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _forms(folded: bool) -> tuple[str, str, dict[str, str]]:
+    """By rule, for every code point but Hangul syllables: those that become one character (or none), what they become, and those that become several."""
+    one, none, several = {}, [], {}
+    for code in (*range(0x41, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)):
+        ch = chr(code)
+        to = _bare(ch).casefold() if folded else _bare(ch)
+        if len(to) > 1:
+            several[ch] = to
+        elif not to:
+            none.append(ch)
+        elif to != ch:
+            one[ch] = to
+    return "".join([*one, *none]), "".join(one.values()), several
+
+
+def _hangul(x: Column) -> Column:
+    """The letters of a Hangul syllable: syllables stand in order of first letter, vowel, last letter."""
+    n = F.position(x, F.lit("".join(map(chr, range(0xAC00, 0xD7A4))))) - 1
+    letters = [F.lit("".join(map(chr, range(first, first + count)))) for first, count in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))]
+    last = (n % 28).cast("int")
+    return F.concat(
+        F.substring(letters[0], F.floor(n / 588).cast("int") + 1, F.lit(1)), F.substring(letters[1], F.floor(n % 588 / 28).cast("int") + 1, F.lit(1)),
+        F.when(last > 0, F.substring(letters[2], last, F.lit(1))).otherwise(F.lit("")),
+    )
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """A regular expression's class of these characters."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def _mapped(c: Column, folded: bool) -> Column:
+    source, target, several = _forms(folded)
+    keys, values = F.lit("".join(several)), F.split(F.lit("|".join(several.values())), "[|]")
+    letter = lambda x: F.when(x.between("\uac00", "\ud7a3"), _hangul(x)).when(F.position(x, keys) > 0, F.get(values, F.position(x, keys) - 1)).otherwise(x)
+    spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), letter), "")
+    rare = F.when(c.rlike(_ranges([*several, *map(chr, range(0xAC00, 0xD7A4))])), spread).otherwise(c)
+    plain = F.lower(c) if folded else c
+    # most texts are ASCII alone, of as many bytes as characters
+    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(F.translate(rare, source, target))
 
 
 def strip_accents(c: Column) -> Column:
-    """Base letters of accented Latin ones, without combining marks."""
-    return F.regexp_replace(F.translate(c, *_letters()), r"\p{M}+", "")
+    """The compatibility decomposition of a text (NFKD) without combining marks."""
+    return _mapped(c, False)
+
+
+#: White space as Unicode defines it, and the four separators that count as such.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def normalize_text(c: Column) -> Column:
-    """Without accents, in lower case (sharp s as ss), white space as single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(strip_accents(c)), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+    """Without accents, case-folded, white space as single spaces, trimmed."""
+    return F.trim(F.regexp_replace(_mapped(c, True), SPACES, " "))
 
 
 def fingerprint(c: Column) -> Column:
