@@ -38,19 +38,27 @@ def _distinct(ids: pd.Series, vectors: pd.Series) -> tuple[np.ndarray, np.ndarra
     return np.array([i for i, _ in ordered], np.int64), np.stack([np.frombuffer(v, np.float64) for _, v in ordered])
 
 
-def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int) -> list[tuple]:
+def scores_of(data: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in one order whatever its row: equal vectors get equal scores, in any block."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (data * query).sum(1)
+
+
+def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, longest: float, k: int) -> list[tuple]:
     """For each query its k best of a block by inner product: (query_id, vec_id, score).
 
     With a further component, sqrt(longest^2 - |x|^2) for vectors and 0 for queries, the nearest in Euclidean distance
     is the one of largest inner product. Each projection has one sorted array of the block. Around a query's own place
     in it a window opens on both sides; widening all windows by a factor is a virtual rehashing. Vectors are
-    counted by the windows that hold them; those that reach the threshold are verified on original vectors.
+    counted by the windows that hold them; those that reach the threshold are verified on original vectors. Lengths
+    are taken after division by `largest`, the largest component, so that none is too large to be squared.
     """
     n, dim = data.shape
     basis = projections(dim)
-    lift = np.sqrt(np.maximum(longest**2 - (data * data).sum(1), 0))
-    places = np.concatenate([data, lift[:, None]], 1) @ basis
-    at = np.concatenate([queries, np.zeros((len(queries), 1))], 1) @ basis
+    small, asked = data / largest, queries / largest
+    lift = np.sqrt(np.maximum(longest**2 - (small * small).sum(1), 0))
+    places = np.concatenate([small, lift[:, None]], 1) @ basis
+    at = np.concatenate([asked, np.zeros((len(asked), 1))], 1) @ basis
     order = np.argsort(places, axis=0, kind="stable").T.copy()  # one row per projection
     lines = np.take_along_axis(places.T, order, 1)
     m = len(order)
@@ -71,7 +79,7 @@ def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queri
             parts = [order[j, new_low[q, j] : low[q, j]] for j in range(m)] + [order[j, high[q, j] : new_high[q, j]] for j in range(m)]
             counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
             picked = np.flatnonzero(counts[q] >= limit)
-            if len(picked) >= need:
+            if len(picked) >= need:  # at the latest when all windows hold the whole block
                 found[q] = picked
             else:
                 still.append(q)
@@ -80,7 +88,7 @@ def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queri
     rows = []
     for q, picked in found.items():
         picked = picked[ids[picked] != query_ids[q]]
-        score = data[picked] @ queries[q]
+        score = scores_of(data[picked], queries[q])
         for i in np.lexsort((ids[picked], -score))[:k]:
             rows.append((int(query_ids[q]), int(ids[picked[i]]), float(score[i])))
     return rows
@@ -93,17 +101,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block_rows: int =
     at a time, and answers with its best, of which the best of all blocks remain. Ties go to the smaller vec_id. A
     query's own vec_id is no answer to it. Vectors that are null, zero or hold null or non-finite components, and null
     vec_ids, take no part; vectors of another length than the query's aren't compared. Rows that repeat a vec_id and
-    its vector count once; different vectors under one vec_id are all candidates, and as queries share one answer.
+    its vector count once; different vectors under one vec_id are all candidates, and as queries share one answer. A score
+    beyond the range of doubles is infinite; one that isn't a number (infinities of both signs) comes last.
     Empty table, or none but the query: no rows.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = materialize(rows.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "ann-vectors")
+    rows = materialize(rows.withColumn("dim", F.size("v")), "ann-vectors")
     total, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     blocks, query_blocks = max(1, -(-total // block_rows)), max(1, -(-(asking or 0) // query_rows))
-    longest = rows.groupBy("dim").agg(F.max("norm").alias("longest"))
-    rows = rows.join(longest, "dim").select("vec_id", "v", "asks", "dim", "longest", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("own"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).alias("own_query"))
+    # one row per length of vectors
+    largest = rows.groupBy("dim").agg(F.max(F.array_max(F.transform("v", F.abs))).alias("largest"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / F.col("largest") * (x / F.col("largest"))))
+    longest = rows.join(largest, "dim").groupBy("dim", "largest").agg(F.max(norm).alias("longest"))
+    rows = rows.join(longest, "dim").select("vec_id", "v", "asks", "dim", "largest", "longest", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("own"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).alias("own_query"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    data = rows.select("dim", F.col("own").alias("block"), every(query_blocks).alias("part"), "vec_id", "v", "longest")
+    data = rows.select("dim", F.col("own").alias("block"), every(query_blocks).alias("part"), "vec_id", "v", "largest", "longest")
     asked = rows.where("asks").select(F.col("dim").alias("of_dim"), every(blocks).alias("of_block"), F.col("own_query").alias("of_part"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -111,10 +123,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block_rows: int =
         if len(left) and len(right):
             ids, data = _distinct(left["vec_id"], left["v"])
             query_ids, queries = _distinct(right["query_id"], right["query"])
-            out = search_block(ids, data, query_ids, queries, float(left["longest"].iloc[0]), k)
+            out = search_block(ids, data, query_ids, queries, float(left["largest"].iloc[0]), float(left["longest"].iloc[0]), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     best = data.groupBy("dim", "block", "part").cogroup(asked.groupBy("of_dim", "of_block", "of_part")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = best.dropDuplicates(["query_id", "vec_id", "score"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
