@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,31 +24,41 @@ RANK_ROWS = 200_000
 
 #: Pre-tokens of the byte-level BPE (fixed value, as published with the vocabulary).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs that the fast encoder's pattern matcher may not have the stack for; texts with such go to `tokenizers` itself.
+LONG_RUN = re.compile(r"\s{10000}|\S{100000}")
 
 
 @cache
 def encoder(path: str):
     """A tiktoken encoder of a byte-level BPE in the JSON form of `tokenizers`; ids are the same, at four times the speed.
 
-    Strings of the file's special tokens become their ids, as `tokenizers` does by default.
+    Strings of the file's special tokens become their ids, as `tokenizers` does by default. A file that splits or
+    normalises texts in another way is refused. Also the encoder of `tokenizers`, for texts with LONG_RUN.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    split = spec["pre_tokenizer"] or {}
+    if (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True), spec["normalizer"], spec["model"]["type"]) != ("ByteLevel", False, True, None, "BPE") or spec["model"].get("ignore_merges"):
+        raise ValueError(f"{path}: not a byte-level BPE without normaliser and prefix space")
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     # printable stand-ins of the 256 bytes: themselves where printable in Latin-1, else from U+0100 on, in order
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     stand_in = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(stand_in[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("json", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
+    return tiktoken.Encoding("json", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special), tuple(special), Tokenizer.from_file(path)
 
 
 def encode(text: str | None, path: str, end_id: int = END_ID) -> np.ndarray:
     """Ids of a text and the end id; of a null text only the end id."""
-    bpe, special = encoder(path)
+    bpe, special, plain = encoder(path)
     text = text or ""
-    ids = bpe.encode(text, allowed_special="all") if any(s in text for s in special) else bpe.encode_ordinary(text)
+    if len(text) >= 10_000 and LONG_RUN.search(text):
+        ids = plain.encode(text, add_special_tokens=False).ids
+    else:
+        ids = bpe.encode(text, allowed_special="all") if any(s in text for s in special) else bpe.encode_ordinary(text)
     out = np.empty(len(ids) + 1, "<u4")
     out[:-1] = ids
     out[-1] = end_id
@@ -204,8 +215,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     capacity; pieces get their places by rank within their length. Ranks are counted in salted ranges of a length,
     so that no task holds all pieces of a frequent one.
 
-    Null or empty texts: a piece of the end id alone. Repeated rows and null doc_ids: packed like others. Empty table:
-    no rows. Other columns are ignored.
+    Null or empty texts: a piece of the end id alone. Repeated rows and null doc_ids: packed like others; of pieces that
+    are equal in all, any may stand in either's place. Very long texts are encoded whole. Empty table: no rows. Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     prepare(spark)
