@@ -21,10 +21,14 @@ ORDER = 5
 NODES = 1 << 21
 #: The counts of so many orders from 0 are told to every task, 256^LOW n-grams an order at most; longer ones stay dealt out by the last LOW bytes of their context.
 LOW = 3
+#: What method D takes from each symbol's count for the escape.
+ESCAPE = 0.5
 #: The symbol that ends a text and pads the context before its start; no UTF-8 text holds this byte.
 END = 0xFF
 #: Bytes of text whose n-grams are counted at once, and bytes after which a block of texts ends.
 COUNT_BYTES, BLOCK_BYTES = 2 << 20, 48 << 20
+#: Bytes of stored input for each deal of contexts, and bytes of keys that a task takes, about.
+INPUT_BYTES, DEAL_BYTES = 8 << 20, 32 << 20
 #: Bytes of text whose contexts are looked up at once.
 CHUNK_BYTES = 2 << 20
 
@@ -165,9 +169,8 @@ class Level:
     grams: np.ndarray  # context and symbol, sorted
     counts: np.ndarray
     contexts: np.ndarray  # sorted
-    total: np.ndarray  # occurrences of the context, with symbols that were left out
-    kinds: np.ndarray  # kept symbols
-    kept: np.ndarray  # their occurrences
+    total: np.ndarray  # occurrences of the context
+    kinds: np.ndarray  # symbols seen after it
     below: np.ndarray = field(default_factory=lambda: np.zeros(0))  # occurrences of these symbols after the next shorter context
 
 
@@ -211,10 +214,10 @@ class HashTable:
 
 
 class Trie:
-    """PPM code lengths: escape estimation as in method C, full exclusion of the symbols of longer contexts.
+    """PPM code lengths: escape estimation as in method D, full exclusion of the symbols of longer contexts.
 
-    At a context that holds `kinds` symbols `total` times, a symbol seen n times costs n / (total + kinds), and the
-    escape the rest. After an escape, the shorter context's counts go without the symbols that the longer one has;
+    At a context that holds `kinds` symbols `total` times, a symbol seen n times has the probability (n - 1/2) / total, and
+    the escape the rest, kinds / 2 / total. After an escape, the shorter context's counts go without the symbols that the longer one has;
     since kept symbols of a context are kept after all its suffixes, those are one sum per context. Below order 0
     all symbols not yet excluded are alike.
     """
@@ -225,7 +228,7 @@ class Trie:
         self.context_tables = [HashTable(x.contexts) for x in levels]
         top = levels[-1]
         place = np.searchsorted(top.contexts, top.grams >> np.uint64(8))
-        self.top = np.log10(top.counts / (top.total[place] + top.kinds[place])) if len(top.grams) else np.zeros(0)
+        self.top = np.log10((top.counts - ESCAPE) / top.total[place]) if len(top.grams) else np.zeros(0)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after its context."""
@@ -238,7 +241,7 @@ class Trie:
         level = self.levels[order]
         here = above >= 0
         k = above[here]
-        out[left[here]] += np.log10((level.kinds[k] + level.total[k] - level.kept[k]) / (level.total[k] + level.kinds[k]))
+        out[left[here]] += np.log10(ESCAPE * level.kinds[k] / level.total[k])
         for j in range(order - 1, -1, -1):
             if not len(left):
                 return out
@@ -253,14 +256,13 @@ class Trie:
             c = np.maximum(context, 0)
             have = len(level.contexts) > 0
             kinds = (level.kinds[c] if have else 0.0) - excluded_kinds
-            whole = (level.total[c] if have else 0.0) - excluded + kinds
+            whole = (level.total[c] if have else 0.0) - excluded
             hit = (gram >= 0) & seen
             if hit.any():
-                out[left[hit]] += np.log10(level.counts[gram[hit]] / whole[hit])
+                out[left[hit]] += np.log10((level.counts[gram[hit]] - ESCAPE) / whole[hit])
             escapes = seen & ~hit & (whole > 0)
             if escapes.any():
-                mass = kinds[escapes] + level.total[context[escapes]] - level.kept[context[escapes]]
-                out[left[escapes]] += np.log10(mass / whole[escapes])
+                out[left[escapes]] += np.log10(ESCAPE * kinds[escapes] / whole[escapes])
             left, above = left[~hit], np.where(seen, context, -1)[~hit]
         known = self.levels[0].kinds[0] if len(self.levels[0].contexts) else 0
         out[left] -= math.log10(256 - known)
@@ -272,7 +274,7 @@ def _level(keys: np.ndarray, n: np.ndarray, order: int, shorter: Level | None) -
     n = n.astype(np.float64)
     contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
     total = np.bincount(place, n, len(contexts))
-    level = Level(keys, n, contexts, total, np.bincount(place, minlength=len(contexts)).astype(float), total)
+    level = Level(keys, n, contexts, total, np.bincount(place, minlength=len(contexts)).astype(float))
     if shorter is not None:
         at = np.searchsorted(shorter.grams, keys & np.uint64((1 << 8 * order) - 1))
         level.below = np.bincount(place, shorter.counts[at], len(contexts)) if len(keys) else np.zeros(0)
@@ -349,18 +351,25 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
     one place: blocks of texts tell their distinct n-grams and words, these are dealt out by context and get their
     costs there, and each block gets its own ones back. Only n-grams of up to LOW bytes are told to all.
 
-    Null and empty texts are scored as the end alone. Repeated rows each get their row. Without training texts V and
-    N are 0 and all symbols are alike. Empty table: no rows. Long texts are scored whole.
+    Null and empty texts are scored as the end alone. Repeated rows each get their row, null doc_ids too. Without training texts V and
+    N are 0 and all symbols are alike. Empty table: no rows. Long texts are scored whole. Other columns are ignored,
+    whatever their names. Counts are sums, so that nothing hangs on order.
     """
     spark = docs.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", is_held_out.alias("held_out"))
+    stored = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a source that can't tell its size gives an absurd one
+    deals = max(4 * parts, -(-stored // INPUT_BYTES) if stored < 1 << 50 else 0)
     path = new_folder(spark, "lm-blocks")
-    blocks(rows, 4 * parts).write.option("compression", "zstd").parquet(path)
+    blocks(rows, deals).write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(_BLOCKS_DDL).parquet(path)
     packs = table.where("kind < 2")
     short = table.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    # a task gets about DEAL_BYTES of keys, so more tasks for more text
+    held = packs.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    parts = min(max(parts, -(-held // DEAL_BYTES)), deals)
     low = _levels(short["key"].to_numpy(np.int64).view(np.uint64), short["n"].to_numpy(np.int64), range(LOW), [])
     n_train, n_words = known_words(packs, parts)
     denominator = math.log10(n_train + n_words + 1)
