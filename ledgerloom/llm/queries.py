@@ -20,8 +20,17 @@ from .urlfilter import judge_urls
 from .wrappers import main_text
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Hosts of the query's own blocklist.
-BLOCKED = ("casino-win.example.com", "free-bets.example.com", "ads-track.example.com", "spam-farm.example.com", "cheap-pills.example.com", "adult-x.example.net")
+#: Hosts of the query's own blocklist: by rule, each of BLOCKED_WORDS with each other one under each of BLOCKED_ZONES.
+BLOCKED_WORDS = tuple(
+    "ads adult bets bonus cash casino cheap click coupon crack deals diet dating farm free gamble hot jackpot loans lottery lucky pills poker porn prize promo replica slots spam "
+    "streams torrent track tracker viagra warez watch win xxx".split()
+)
+BLOCKED_ZONES = ("example.com", "example.net", "example.org")
+BLOCKED = tuple(f"{a}-{b}.{zone}" for a in BLOCKED_WORDS for b in BLOCKED_WORDS if a != b for zone in BLOCKED_ZONES)
+
+
+#: Arrivals in which the query's documents come to the store.
+ARRIVALS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,20 +78,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents come in arrivals, one for each input file (in up to eight batches); every document with its shard."""
+    """Documents come in ARRIVALS, dealt by doc_id; every document with the arrival it came in and the shard that holds it in the end."""
     docs = table(spark, sf_dir, "documents")
-    files = sorted(docs.inputFiles())
-    batches = [files[i * len(files) // 8 : (i + 1) * len(files) // 8] for i in range(8)]
+    arrival = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(ARRIVALS)).cast("int")
     store = ShardStore(spark, new_folder(spark, "shards"))
-    for batch in batches:
-        if batch:
-            store.append(spark.read.schema(docs.schema).parquet(*batch))
-            store.compact()
+    store.append_each(docs, arrival, ARRIVALS, alone=True)
     store.vacuum()
-    held = store.read(schema=docs.schema)
+    held = store.read()
     if held is None:
-        return docs.select("doc_id", F.lit(None).cast("string").alias("shard"), F.lit(0).cast("long").alias("version"))
-    return held.select("doc_id", F.col("__shard").alias("shard"), F.lit(store.version()).cast("long").alias("version"))
+        return docs.select("doc_id", F.lit(0).alias("arrival"), F.lit(None).cast("string").alias("shard"), F.lit(0).cast("long").alias("version"))
+    return held.select("doc_id", arrival.alias("arrival"), F.col("__shard").alias("shard"), F.lit(store.version()).cast("long").alias("version"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,8 @@ fits AS (
   FROM (SELECT DISTINCT * FROM split) s JOIN rules r
     ON (s.host = split_part(r.rule, '/', 1) OR ends_with(s.host, '.' || split_part(r.rule, '/', 1)))
    AND starts_with(s.path, substr(r.rule, strpos(r.rule, '/')))),
-blocked(host) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED)})
+words AS (SELECT unnest({list(BLOCKED_WORDS)}) AS word),
+blocked(host) AS (SELECT a.word || '-' || b.word || '.' || zone FROM words a, words b, (SELECT unnest({list(BLOCKED_ZONES)}) AS zone) z WHERE a.word <> b.word)
 SELECT s.page_id, s.host, s.path, f.rule,
        coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked b WHERE s.host = b.host OR ends_with(s.host, '.' || b.host)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM split s LEFT JOIN fits f ON f.page_id = s.page_id AND f.host = s.host AND f.path = s.path AND f.nth = 1

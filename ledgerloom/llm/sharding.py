@@ -7,8 +7,9 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,9 @@ class ShardStore:
     version whole or not at all, and of two writers one gets ConflictError and tries again. Files that no manifest
     names (left by failed writers) are never read; vacuum() deletes them and what later versions replaced.
 
-    Shards keep the rows' columns as they are, whatever their names. An empty arrival commits a version without new
-    shards. Null values, repeated rows and very long texts are stored unchanged.
+    Shards keep the rows' columns as they are, whatever their names but `__shard` and `__arrival`, which are refused; the
+    manifest holds the schema of all of them, so that a column which only some arrivals have is null in the others' rows. Columns of one name must be of
+    one type. An empty arrival commits a version without new shards. Null values, ties, repeated rows and very long texts are stored unchanged.
     """
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, small_bytes: int = 1 << 20, fan_in: int = 4):
@@ -59,20 +61,21 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> dict:
         number = self.version() if version is None else version
         if not number:
-            return {"version": 0, "arrivals": 0, "shards": []}
+            return {"version": 0, "arrivals": 0, "schema": None, "shards": []}
         stream = self._fs.open(self._path(f"manifest/v{number:08d}.json"))
         try:
             content = json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return content | {"shards": [Shard(**x) for x in content["shards"]]}
+        return content | {"schema": content["schema"] and StructType.fromJson(content["schema"]), "shards": [Shard(**x) for x in content["shards"]]}
 
-    def _commit(self, base: dict, arrivals: int, shards: list[Shard]) -> int:
+    def _commit(self, base: dict, arrivals: int, shards: list[Shard], schema: StructType | None = None) -> int:
+        schema = schema or base["schema"]
         number = base["version"] + 1
         self._fs.mkdirs(self._path("manifest"))
         draft = self._path(f"manifest/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
-        out.write(json.dumps({"version": number, "arrivals": arrivals, "shards": [asdict(x) for x in shards]}).encode())
+        out.write(json.dumps({"version": number, "arrivals": arrivals, "schema": schema and schema.jsonValue(), "shards": [asdict(x) for x in shards]}).encode())
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf)
         none = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
@@ -88,13 +91,46 @@ class ShardStore:
     def _write(self, df: DataFrame, arrival: int) -> list[Shard]:
         folder = f"data/{uuid.uuid4().hex}"
         df.write.option("compression", "snappy").parquet(f"{self.root}/{folder}")
+        return self._shards(folder, arrival)
+
+    def _shards(self, folder: str, arrival: int) -> list[Shard]:
         files = [x for x in self._list(folder) if x.getPath().getName().startswith("part-")]
         return [Shard(f"{folder}/{x.getPath().getName()}", x.getLen(), arrival) for x in sorted(files, key=lambda x: x.getPath().getName())]
 
+    @staticmethod
+    def _union(held: StructType | None, new: StructType) -> StructType:
+        """The columns of both, all nullable: those held first."""
+        if clash := {"__shard", "__arrival"} & set(new.names):
+            raise ValueError(f"columns of the store's own names: {sorted(clash)}")
+        fields = {f.name: f for f in (held.fields if held else ())}
+        for f in new.fields:
+            if f.name in fields and fields[f.name].dataType != f.dataType:
+                raise ValueError(f"column {f.name} is held as {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+            fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+        return StructType(list(fields.values()))
+
     def append(self, arrivals: DataFrame) -> int:
         """Commit the rows as small shards, one for each partition that holds rows; returns the version."""
         base = self.manifest()
-        return self._commit(base, base["arrivals"] + 1, base["shards"] + self._write(arrivals, base["arrivals"]))
+        schema = self._union(base["schema"], arrivals.schema)
+        return self._commit(base, base["arrivals"] + 1, base["shards"] + self._write(arrivals, base["arrivals"]), schema)
+
+    def append_each(self, rows: DataFrame, arrival: Column, arrivals: int, alone: bool = False) -> int:
+        """Commit rows as `arrivals` appends of their own, those of arrival 0 first, and compact after each; returns the version.
+
+        All shards are written in one job, so that arrivals that wait together don't wait for each other's. `alone`: no
+        one else writes to the store, so what is replaced can be deleted at once.
+        """
+        schema = self._union(self.manifest()["schema"], rows.schema)
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").option("compression", "snappy").parquet(f"{self.root}/{folder}")
+        for k in range(arrivals):
+            base = self.manifest()
+            self._commit(base, base["arrivals"] + 1, base["shards"] + self._shards(f"{folder}/__arrival={k}", base["arrivals"]), schema)
+            before = self.version()
+            if self.compact() > before and alone:
+                self.vacuum({folder})
+        return self.version()
 
     def tier(self, shard: Shard) -> int | None:
         """None for final shards."""
@@ -121,30 +157,44 @@ class ShardStore:
             picked.sort(key=lambda x: (x.arrival, x.file))
             files = max(1, round(sum(x.bytes for x in picked) / self.target_bytes))
             # coalesce() joins whole input splits: no row is shuffled
-            merged = self._write(self.spark.read.parquet(*[f"{self.root}/{x.file}" for x in picked]).coalesce(files), picked[0].arrival)
+            merged = self._write(self.spark.read.schema(base["schema"]).parquet(*[f"{self.root}/{x.file}" for x in picked]).coalesce(files), picked[0].arrival)
             gone = set(picked)
             self._commit(base, base["arrivals"], [x for x in base["shards"] if x not in gone] + merged)
 
-    def read(self, version: int | None = None, schema=None) -> DataFrame | None:
+    def read(self, version: int | None = None) -> DataFrame | None:
         """Rows of a version with the file of each in `__shard`; None if it has no shards."""
-        shards = self.manifest(version)["shards"]
-        if not shards:
+        manifest = self.manifest(version)
+        if not manifest["shards"]:
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        rows = reader.parquet(*[f"{self.root}/{x.file}" for x in shards])
-        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1).alias("__shard"))
+        rows = self.spark.read.schema(manifest["schema"]).parquet(*[f"{self.root}/{x.file}" for x in manifest["shards"]])
+        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/(data/[0-9a-f]{32}/.+)$", 1).alias("__shard"))
+
+    def vacuum(self, waiting: set[str] | None = None) -> int:
+        """Delete data files that the newest version doesn't name; returns their number. Not while others write.
 
-    def vacuum(self) -> int:
-        """Delete data files that the newest version doesn't name; returns their number. Not while others write."""
+        Folders in `waiting` hold shards that are yet to be committed and stay.
+        """
         held = {x.file for x in self.manifest()["shards"]}
         gone = 0
+
+        def clear(name: str) -> bool:
+            """Whether nothing of the folder is left."""
+            nonlocal gone
+            empty = True
+            for x in self._list(name):
+                below = f"{name}/{x.getPath().getName()}"
+                if x.isDirectory():
+                    empty &= clear(below)
+                elif below in held:
+                    empty = False
+                else:
+                    gone += x.getPath().getName().startswith("part-")
+                    self._fs.delete(x.getPath(), False)
+            if empty:
+                self._fs.delete(self._path(name), True)
+            return empty
+
         for folder in self._list("data"):
-            name = f"data/{folder.getPath().getName()}"
-            files = [x.getPath() for x in self._list(name) if x.getPath().getName().startswith("part-")]
-            loose = [x for x in files if f"{name}/{x.getName()}" not in held]
-            for x in loose:
-                self._fs.delete(x, False)
-            gone += len(loose)
-            if len(loose) == len(files):
-                self._fs.delete(folder.getPath(), True)
+            if f"data/{folder.getPath().getName()}" not in (waiting or ()):
+                clear(f"data/{folder.getPath().getName()}")
         return gone
