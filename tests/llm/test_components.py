@@ -34,19 +34,8 @@ def test_trie_probabilities_sum_to_one():
     chunks = list(lm.gram_codes(texts, 3, 5))
     assert (np.concatenate([c for c, _ in chunks]) == codes).all() and len(codes) == sum(len(t) + 1 for t in texts)
     assert np.bincount(np.concatenate([o for _, o in chunks])).tolist() == [len(t) + 1 for t in texts]
-    levels = []
-    for k in range(4):
-        grams, n = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
-        contexts, place = np.unique(grams >> np.uint64(8), return_inverse=True)
-        kept = n >= 2 if k == 3 else n >= 1
-        total = np.bincount(place, n).astype(float)
-        grams, n, place = grams[kept], n[kept].astype(float), place[kept]
-        own = np.unique(place)
-        level = lm.Level(grams, n, contexts[own], total[own], np.bincount(place)[own].astype(float), np.bincount(place, n)[own])
-        if k:
-            below = levels[-1].counts[np.searchsorted(levels[-1].grams, grams & np.uint64((1 << 8 * k) - 1))]
-            level.below = np.bincount(place, below)[own]
-        levels.append(level)
+    keys, n = np.unique(codes, return_counts=True)
+    levels = lm._levels(keys, n, range(4), [])
     trie = lm.Trie(levels)
     for context in (b"abr", b"zzz", b"xab", b"bra", b"\xff\xff\xff", b"aca"):
         head = int.from_bytes(context, "big") << 8

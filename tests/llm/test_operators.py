@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, lm, mixing, neardup, packing, pii, quality, urlfilter, wrappers
+from ledgerloom.llm import ann, lm, mixing, neardup, packing, pii, quality, queries, urlfilter, wrappers
 from ledgerloom.llm.queries import BLOCKED, RULES, tokenizer_path
 from ledgerloom.llm.sharding import ConflictError, ShardStore
 
@@ -71,6 +71,25 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_ties_and_extremes(spark):
+    """Equal vectors have equal scores wherever they stand; components beyond the root of the largest double end the search too."""
+    rng = np.random.default_rng(3)
+    some = rng.standard_normal((60, 9))
+    twins = [(i, some[i % 60].tolist()) for i in range(900)]
+    got = ann.nearest(spark.createDataFrame(twins, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, block_rows=130, query_rows=16).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for mine in by.values():
+        mine.sort()
+        assert mine == [(k + 1, *m[1:]) for k, m in enumerate(sorted(mine, key=lambda m: (-m[2], m[1])))]
+        for _, v, score in mine:
+            assert all(score == y for _, w, y in mine if w % 60 == v % 60)
+    huge = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(some, [1e160, 1.0, 1e-160] * 20))] + [(60, [1.7e308] * 9), (61, [1.7e308, -1.7e308] + [1.7e308] * 7)]
+    got = ann.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+    assert len(got) == 4 * 5 and {r.query_id for r in got} == {0, 20, 40, 60}
+
+
 def test_lm(docs, nothing):
     got = lm.score(docs, lm.held_out(F.col("doc_id"))).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
@@ -115,6 +134,11 @@ def test_url_filter(spark):
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(df, RULES, BLOCKED).collect()]
     assert sorted(got, key=repr) == sorted([(i, *judge(u)) for i, u in enumerate(urls + urls[:2])], key=repr)
     assert urlfilter.judge_urls(df.limit(0), RULES).count() == 0
+    # hosts and paths of any length, and rules without a slash
+    rules = (("block", "bad.example.com"), ("allow", "bad.example.com/ok/fine"), ("block", "example.com/x"))
+    long = ["http://" + "a." * 100_000 + "bad.example.com/ok/", "http://bad.example.com/ok/fine/" + "y" * 100_000, "http://" + "." * 50_000 + "example.com/xy", "http://ad.example.com/ok/fine"]
+    rows = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in sorted(urlfilter.judge_urls(rows, rules).collect())] == [("bad.example.com", "block"), ("bad.example.com/ok/fine", "allow"), ("example.com/x", "block"), (None, "allow")]
 
 
 def test_colliding_digests_are_told_apart(monkeypatch, tmp_path):
@@ -148,6 +172,14 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "ab ", "7", "!", "\u6f22", "\u00a0"])
+def test_runs_of_any_length_have_ids(unit):
+    from tokenizers import Tokenizer
+
+    text = "x" + unit * (2_000_000 // len(unit)) + "y"
+    assert packing.encode(text, tokenizer_path())[:-1].tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
 def simhash(t):
     w = (t or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -321,6 +353,30 @@ def test_sharding(spark, docs, tmp_path):
     assert plain(store.read()) == plain(docs)
     with pytest.raises(ConflictError):
         store._commit(first, 1, [])
+    with pytest.raises(ValueError):
+        store.append(docs.withColumn("__shard", F.lit(1)))
+    with pytest.raises(ValueError):
+        store.append(docs.withColumn("source", F.lit(1)))
+
+
+def test_arrivals_of_other_columns_keep_them(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20, small_bytes=1 << 14, fan_in=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, 0.5)], "doc_id long, score double"))
+    store.compact()
+    store.vacuum()
+    assert len(store.manifest()["shards"]) == 1 and sorted(map(tuple, store.read().drop("__shard").collect())) == [(1, "a", None), (2, None, 0.5)]
+
+
+def test_sharding_query_compacts(spark, docs, tmp_path, monkeypatch):
+    """Through the query, on a table of one file: every row once, in shards of one version, fewer than arrivals came."""
+    (tmp_path / "sf").mkdir()
+    docs.coalesce(1).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    rows = queries.op9_sharding(spark, str(tmp_path / "sf")).collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((r[0] for r in ROWS), key=repr)
+    assert len({r.arrival for r in rows}) == queries.ARRIVALS and len({r.shard for r in rows}) < 4 and {r.version for r in rows} == {queries.ARRIVALS + (queries.ARRIVALS - 1) // 3}
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op9_sharding(spark, str(tmp_path / "none")).count() == 0
 
 
 def base_spans(t):
@@ -376,10 +432,10 @@ def test_lm_counts_every_n_gram(spark, monkeypatch):
         out, excluded = 0.0, set()
         for k in range(lm.ORDER, -1, -1):
             left = {s: n for s, n in grams[k].get(tuple(x[p - k : p]), {}).items() if s not in excluded}
-            whole = sum(left.values()) + len(left)
+            whole = sum(left.values())
             if x[p] in left:
-                return out + math.log10(left[x[p]] / whole)
-            out += math.log10(len(left) / whole) if left else 0.0
+                return out + math.log10((left[x[p]] - 0.5) / whole)
+            out += math.log10(len(left) / 2 / whole) if left else 0.0
             excluded |= left.keys()
         return out - math.log10(256 - len(excluded))
 
