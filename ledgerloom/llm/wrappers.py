@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,12 @@ _TOKEN = re.compile(
 )
 _MARKED = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
-SLOT = "#"
+#: Strings stay template where so large a share of a host's different pages has them, and so many of these.
+SHARE, LEAST = 0.75, 4
+#: Distinct strings that a task gathers before it passes them on.
+FLUSH_STRINGS = 100_000
+
+SLOT, STRING = "#", "="
 
 
 def step(token: str, held: list[str]) -> None:
@@ -55,15 +61,22 @@ def step(token: str, held: list[str]) -> None:
         held.append(token)
 
 
-def is_slot(node: str | list) -> bool:
-    return isinstance(node, str) and node[0] == SLOT
+def is_text(node: str | list) -> bool:
+    return isinstance(node, str) and node[0] in (SLOT, STRING)
+
+
+def string_hash(text: str) -> int:
+    """Of a text as a signed number."""
+    n = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
-def stream(page: str | None) -> tuple[list[str], list[str]]:
-    """A page's tokens, and the text of each slot among them.
+def stream(page: str | None, known: frozenset[int] = frozenset()) -> tuple[list[str], list[str]]:
+    """A page's tokens, and the text of each text token among them.
 
-    Tokens are block tags (`name`, `/name`, with `!` after the name if its attributes mark it as no part of an article) and slots
-    (`#` and the element they are in). Inline tags, comments, scripts and styles vanish; a slot's text has its references decoded and its white space
+    Tokens are block tags (`name`, `/name`, with `!` after the name if its attributes mark it as no part of an article) and texts:
+    strings (`=`, the element they are in, and their hash) if the host's pages are known to share them, else slots
+    (`#` and the element). Inline tags, comments, scripts and styles vanish; a text has its references decoded and its white space
     as one space.
     """
     tokens: list[str] = []
@@ -75,7 +88,9 @@ def stream(page: str | None) -> tuple[list[str], list[str]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            tokens.append(SLOT + (held[-1] if held else ""))
+            inside = held[-1] if held else ""
+            hashed = string_hash(text) if known else 0
+            tokens.append(f"{STRING}{inside}:{hashed}" if hashed in known else SLOT + inside)
             texts.append(text)
 
     def add(token: str) -> None:
@@ -127,7 +142,7 @@ def fold(nodes: list) -> list:
                 j = i + period
                 while len(group) == period and nodes[j : j + period] == group:
                     j += period
-                if j > i + period and not all(map(is_slot, group)):
+                if j > i + period and not all(map(is_text, group)):
                     out.append(["+", group[0][1] if period == 1 and group[0][0] == "+" else group])
                     i, changed = j, True
                 else:
@@ -141,7 +156,7 @@ def absorb(nodes: list, groups: list) -> list:
     """Plain occurrences of what a group holds become the group; equal groups in a row become one."""
     for group in groups:
         inner, out, i = group[1], [], 0
-        if all(map(is_slot, inner)):
+        if all(map(is_text, inner)):
             continue
         while i < len(nodes):
             if nodes[i] == group or nodes[i : i + len(inner)] == inner:
@@ -157,7 +172,10 @@ def absorb(nodes: list, groups: list) -> list:
 
 
 def align(left: list, right: list) -> list:
-    """The expression of both: what only one has becomes optional, and repetitions found in one hold for the other."""
+    """The expression of both: what only one has becomes optional, and repetitions found in one hold for the other.
+
+    Strings that both have stay; where strings or slots of one element stand against each other, the mismatch is a slot.
+    """
     left, right = absorb(left, [n for n in right if not isinstance(n, str)]), absorb(right, [n for n in left if not isinstance(n, str)])
     if left == right:
         return left
@@ -167,10 +185,15 @@ def align(left: list, right: list) -> list:
         if kind == "equal":
             out += left[a:b]
             continue
-        for part in (left[a:b], right[c:d]):
+        parts = [left[a:b], right[c:d]]
+        inside = [{n[1:].partition(":")[0] for n in part} for part in parts if part and all(map(is_text, part))]
+        if len(inside) == 2 and inside[0] == inside[1]:
+            out += [SLOT + x for x in sorted(inside[0])]
+            continue
+        for part in parts:
             if not part:
                 continue
-            if all(is_slot(n) or not isinstance(n, str) and n[0] == "?" for n in part):
+            if all(isinstance(n, str) and n[0] == SLOT or not isinstance(n, str) and n[0] == "?" for n in part):
                 out += part  # slots may be empty and options absent as they are
             else:
                 out.append(["?", [x for n in part for x in (n[1] if not isinstance(n, str) and n[0] == "?" else [n])]])
@@ -187,7 +210,8 @@ def infer(expressions: list[str]) -> str:
 
 
 class Wrapper:
-    """A host's wrapper. Each slot's role follows from the elements that the page has open there.
+    """A host's wrapper. Its strings are template: no part of any page's article. A slot's role follows from the elements
+    that the page has open there.
 
     The expression's alternatives open elements that a page closes but once, so it can't tell itself what is open after them.
     """
@@ -196,6 +220,15 @@ class Wrapper:
 
     def __init__(self, expression: str):
         self.nodes = json.loads(expression)
+        self.strings: set[str] = set()
+        waiting = [self.nodes]
+        while waiting:
+            for n in waiting.pop():
+                if not isinstance(n, str):
+                    waiting.append(n[1])
+                elif n[0] == STRING:
+                    self.strings.add(n)
+        self.known = frozenset(int(x.rpartition(":")[2]) for x in self.strings)
 
     @classmethod
     def role(cls, held: list[str]) -> int:
@@ -208,11 +241,13 @@ class Wrapper:
         return cls.ARTICLE if inside else cls.OTHER
 
     def roles(self, tokens: list[str]) -> list[int]:
-        """The role of each slot of a page."""
+        """The role of each text of a page."""
         out: list[int] = []
         held: list[str] = []
         for token in tokens:
-            if is_slot(token):
+            if token in self.strings:
+                out.append(self.OUTSIDE)
+            elif is_text(token):
                 out.append(self.role(held))
             else:
                 step(token, held)
@@ -224,10 +259,15 @@ def _wrapper(expression: str) -> Wrapper:
     return Wrapper(expression)
 
 
+#: The wrapper that knows nothing of a host.
+NONE = Wrapper("[]")
+
+
 def extract(page: str | None, expression: str | None) -> str:
     """The article's blocks by the wrapper, one line each; without an article, what is in no part that isn't one."""
-    tokens, texts = stream(page)
-    roles = _wrapper(expression or "[]").roles(tokens)
+    wrapper = _wrapper(expression or "[]")
+    tokens, texts = stream(page, wrapper.known)
+    roles = wrapper.roles(tokens)
     best = Wrapper.ARTICLE if Wrapper.ARTICLE in roles else Wrapper.OTHER
     return "\n".join(t for t, r in zip(texts, roles, strict=True) if r == best)
 
@@ -240,15 +280,60 @@ def host_of(url: Column) -> Column:
     return run(url)
 
 
+def shared_strings(pages: DataFrame) -> DataFrame:
+    """host, strings: hashes of the strings that a host's pages share, for hosts that have any.
+
+    Pages whose two longest texts are the same count as one, so that copies of an article don't make it a template. Only texts that would
+    otherwise be taken for content are counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[str, int, int]] = set()
+
+        def told() -> pa.RecordBatch:
+            rows = list(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["host", "string", "body"])
+
+        for batch in batches:
+            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                tokens, texts = stream(page)
+                held = {t for t, r in zip(texts, NONE.roles(tokens), strict=True) if r}
+                if held:
+                    host, body = split_url(url)[0], string_hash("\n".join(sorted(held, key=lambda t: (-len(t), t))[:2]))
+                    found.update((host, string_hash(t), body) for t in held)
+                if len(found) > FLUSH_STRINGS:
+                    yield told()
+        yield told()
+
+    rows = materialize(pages.select("url", "html").mapInArrow(run, "host string, string long, body long").distinct(), "html-strings")
+    bodies = rows.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
+    often = rows.groupBy("host", "string").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    held = often.join(bodies, "host").where(F.col("n") >= F.col("bodies") * SHARE)
+    # a page holds no more of these than it has strings, and a host at most 1 / SHARE times as many as a page
+    return materialize(held.groupBy("host").agg(F.collect_list("string").alias("strings")), "html-shared")
+
+
 def expressions(pages: DataFrame) -> DataFrame:
     """host, expression: the distinct folded expressions of each host's pages. Tasks pass on each but once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter((split_url(u)[0], json.dumps(fold(stream(h)[0]), separators=(",", ":"))) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True))
+            rows = zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("strings").to_pylist(), strict=True)
+            found = Counter((host, _folded(tuple(stream(page, frozenset(known or ()))[0]))) for host, page, known in rows)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["host", "expression"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, expression string").distinct()
+    return pages.select("host", "html", "strings").mapInArrow(run, "host string, expression string").distinct()
+
+
+@lru_cache(maxsize=16_384)
+def _folded(tokens: tuple[str, ...]) -> str:
+    return json.dumps(fold(list(tokens)), separators=(",", ":"))
+
+
+def _with(pages: DataFrame, told: DataFrame) -> DataFrame:
+    """Pages (host and others) with what is told of their hosts, a row each."""
+    return pages.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "host", "left")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -257,7 +342,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "expression": [infer(group["expression"].tolist())]})
 
-    rows = materialize(expressions(pages), "html-expressions")
+    hosted = pages.select("html", host_of(F.col("url")).alias("host"))
+    rows = materialize(expressions(_with(hosted, shared_strings(pages))), "html-expressions")
     while True:
         counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         if (counts.agg(F.max("n")).first()[0] or 1) == 1:
@@ -269,20 +355,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
-    The pages of a host give its wrapper; laid over a page it tells the article's text slots from those of menus,
-    headers, footers, sidebars, notices, adverts, forms and comments. Null and empty pages: empty text. Null urls, and
-    urls without `://`, share the host ''. Repeated rows get repeated results; pages count whole. Empty table: no
-    rows. Other columns are ignored.
+    The pages of a host give its wrapper. Laid over a page, its strings are template and its slots are what may be content; the
+    elements that are open at a slot tell the article from menus, headers, footers, sidebars, notices, adverts, forms and
+    comments. Null and empty pages: empty text. Null urls, and urls without `://`, share the host ''. Repeated rows get
+    repeated results; pages count whole, whatever their length. Hosts of fewer than LEAST different pages share no strings. Empty table:
+    no rows. Other columns are ignored, whatever their names.
     """
     prepare(pages.sparkSession)
-    found = wrappers(pages).select(F.col("host").alias("__host"), "expression")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for page, expression in batches:
             yield pd.Series([extract(p, e) for p, e in zip(page, expression, strict=True)], dtype=object)
 
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("__host")).join(found, "__host", "left")
+    rows = _with(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), wrappers(pages))
     return rows.select("page_id", "url", run.asNondeterministic()("html", "expression").alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -463,3 +463,42 @@ def test_terms_far_from_a_value_reveal_it(spark):
     # a text without the value discloses as much
     assert not any("aldebaran" in t.lower() for t in clean.values())
     assert all(clean[i] == texts[i] for i in range(8, 48))
+
+
+def unmarked_page(i, notice=True):
+    """A host's page without a telling element or class: menu, notice and imprint say the same on every page."""
+    bar = "<div class=x1><ul><li><a href=/>Home</a><li><a href=/a>About us</a><li>Contact</ul></div>"
+    body = "".join(f"<p>{prose(12)} {i} {k}.</p>" + ("<p>Read our <b>weekly</b> letter!</p>" if notice and k == 1 else "") for k in range(2 + i % 4))
+    return bar + f"<div class=x2><h1>{prose(4)} {i}</h1>{body}</div><div class=x3><p>All rights reserved.</p></div>"
+
+
+def content_of(page):
+    return [t for t in re.findall(r">([^<>]+)<", re.sub("</?(?:a|b)[^>]*>", "", page)) if t not in ("Home", "About us", "Contact", "Read our weekly letter!", "All rights reserved.")]
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_strings_that_a_host_repeats_are_template(spark, monkeypatch, group):
+    """No element or class tells the menu from the article here: only the host's wrapper does."""
+    monkeypatch.setattr(wrappers, "GROUP", group)
+    pages = [unmarked_page(i, i % 5 > 0) for i in range(30)]
+    copies = [unmarked_page(90)] * 40
+    rows = [(i, "http://a.example.com/x", p) for i, p in enumerate(pages)] + [(100 + i, "http://b.example.com/", p) for i, p in enumerate(copies)] + [(200 + i, "http://c.example.com/", p) for i, p in enumerate(pages[:3])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("clash") for n in ("host", "strings", "expression", "string", "n_chars")}).repartition(3)
+    got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+    for i, p in enumerate(pages):
+        assert got[i].split("\n") == content_of(p), i
+        assert wrappers.extract(p, None) != got[i]
+    # copies of one page, and hosts of few pages, tell nothing apart: all stays
+    assert {got[100 + i] for i in range(40)} == {wrappers.extract(copies[0], None)}
+    assert all(got[200 + i] == wrappers.extract(pages[i], None) for i in range(3))
+
+
+def test_alignment_turns_mismatches_into_slots():
+    known = frozenset(wrappers.string_hash(t) for t in ("Home", "News", "Part of"))
+    streams = [wrappers.stream(p, known)[0] for p in ("<ul><li>Home<li>News</ul><p>one<p>Part of", "<ul><li>Home<li>Shop</ul><p>two<p>Part of", "<ul><li>Home<li>News</ul><h2>More</h2><p>three<p>four<p>Part of")]
+    wrapper = wrappers.Wrapper(wrappers.infer([wrappers._folded(tuple(x)) for x in streams]))
+    of = lambda t, e: f"={e}:{wrappers.string_hash(t)}"
+    # one page says Shop where others say News
+    assert wrapper.strings == {of("Home", "ul"), of("Part of", "")}
+    assert wrappers.align(["p", of("A", "p"), "/p"], ["p", of("B", "p"), "/p"]) == ["p", "#p", "/p"]
+    assert wrappers.align(["p", "#p"], ["h1", "#h1", "p", "#p"]) == [["?", ["h1", "#h1"]], "p", "#p"]
