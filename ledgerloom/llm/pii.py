@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-#: Kinds of spans in their order; the last two are the method's own.
-KINDS = ("email", "ip", "card", "phone", "term", "removed")
+#: Kinds of spans in their order; from the fifth on they are the method's own.
+KINDS = ("email", "ip", "card", "phone", "term", "removed", "secret")
+TERM, REMOVED, SECRET = 4, 5, 6
 #: Words on either side that make up surroundings. Co-occurrence itself is counted over whole texts.
 WINDOW = 8
 #: A term must stand with the value in so many documents, and in so many different surroundings.
 MIN_DOCUMENTS = MIN_SURROUNDINGS = 3
+#: Least -log of the chance that a term which has nothing to do with a value stands in so many of its documents.
+EVIDENCE = 12.0
 #: Share of the value's information that a term must reveal to be generalised, or removed.
 GENERALISE, REMOVE = 0.9, 0.98
 #: Distinct terms that a task counts before it passes them on.
@@ -34,6 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_ASSIGNED = re.compile(r"[=:][ \t]{0,3}([\"']?)([A-Za-z0-9+/_.=~-]{12,})")
+_NAMES_SECRET = re.compile(r"(?i)(?:token|key|secret|passwd|password|pwd|bearer|credential)s?[\"']?[ \t]{0,3}$")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -102,11 +107,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, SECRET, end) of credentials: what is assigned to a name such as token, key or password, if it is quoted or holds digits."""
+    out = []
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            if (m.group(1) or sum(map(str.isdigit, m.group(2))) > 1) and _NAMES_SECRET.search(text, max(0, m.start() - 24), m.start()):
+                out.append((m.start(2), SECRET, m.end(2)))
+    return out
+
+
+def protected_spans(text: str) -> list[tuple[int, int, int]]:
+    return sorted(base_spans(text) + secret_spans(text))
+
+
+def entities(text: str, kind: int) -> list[str]:
+    """What a span's text makes known: its value and, for an address or number, whose it is (domain, network, exchange)."""
+    value = _value(text, kind)
+    if kind == 0:
+        return [f"0:{value}", f"domain:{value.rpartition('@')[2]}"]
+    if kind == 1:
+        return [f"1:{value}", f"network:{value.rpartition('.')[0]}"]
+    return [f"3:{value}", f"exchange:{value[:-4]}"] if kind == 3 else [f"{kind}:{value}"]
+
+
 def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).astype(np.int64))
 
 
 def _value(text: str, kind: int) -> str:
+    if kind == SECRET:
+        return text
     return text.lower() if kind < 2 else "".join(c for c in text if "0" <= c <= "9")
 
 
@@ -129,9 +160,9 @@ def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
 
 
 def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
-    """Each wanted value (hash) with each term of the text, and a hash of what surrounds them: of the value, if the term is within
+    """Each wanted entity (hash) with each term of the text, and a hash of what surrounds them: of the entity's span, if the term is within
     WINDOW words of it, else of the term."""
-    spans = base_spans(text)
+    spans = protected_spans(text)
     words, free, bounds = free_words(text, spans)
     terms = [term_of(text[s:e]) if f else "" for (s, e), f in zip(words, free, strict=True)]
     around = lambda first, last: _hash(" ".join(terms[i] for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))) if free[i]))
@@ -142,8 +173,7 @@ def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
     far = {term: (_hash(term), around(i, i + 1)) for term, i in places.items()}
     near: dict[int, dict[str, int]] = {}
     for (s, kind, e), (first, last) in zip(spans, bounds, strict=True):
-        value = _hash(f"{kind}:{_value(text[s:e], kind)}")
-        if value in wanted:
+        for value in wanted.intersection(map(_hash, entities(text[s:e], kind))):
             here, told = near.setdefault(value, {}), around(first, last)
             for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))):
                 here.setdefault(terms[i], told)
@@ -152,7 +182,7 @@ def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
             yield value, key, here.get(term, told)
 
 
-_SCAN = "n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, values array<long>"
+_SCAN = "n_email long, n_ip long, n_card long, n_phone long, n_secret long, base array<struct<start:int,kind:int,end:int>>, secrets array<struct<start:int,kind:int,end:int>>, values array<long>"
 
 
 def scan(text: Column) -> Column:
@@ -162,11 +192,11 @@ def scan(text: Column) -> Column:
             rows = []
             for t in texts:
                 t = t or ""
-                spans = base_spans(t)
-                kinds = [k for _, k, _ in spans]
-                values = sorted({_hash(f"{k}:{_value(t[s:e], k)}") for s, k, e in spans})
-                rows.append((*(kinds.count(k) for k in range(4)), [{"start": s, "kind": k, "end": e} for s, k, e in spans], values))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "values"])
+                base, secrets = base_spans(t), secret_spans(t)
+                kinds = [k for _, k, _ in base]
+                values = sorted({_hash(x) for s, k, e in base + secrets for x in entities(t[s:e], k)})
+                rows.append((*(kinds.count(k) for k in range(4)), len(secrets), *([{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in (base, secrets)), values))
+            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_secret", "base", "secrets", "values"])
 
     return run.asNondeterministic()(text)
 
@@ -211,7 +241,7 @@ def places(text: Column, telling) -> Column:
             hits = {w for w in set(_WORD.findall(t)) if (kinds[w] if w in kinds else kind_of(w))}
             if not hits:
                 return []
-            words, free, _ = free_words(t, base_spans(t))
+            words, free, _ = free_words(t, protected_spans(t))
             return [{"start": s, "kind": kinds[t[s:e]], "end": e} for (s, e), f in zip(words, free, strict=True) if f and t[s:e] in hits]
 
         for texts in batches:
@@ -228,16 +258,20 @@ def places(text: Column, telling) -> Column:
 class Sanitiser:
     """Personal data of documents (doc_id, text and any others).
 
-    Patterns find e-mail addresses, IP addresses, card and phone numbers. For each such value c and each term t of the
+    Patterns find e-mail addresses, IP addresses, card and phone numbers, and credentials that are assigned to a name. What
+    they make known is protected: the values, and whose they are (an address's domain, a number's exchange). For each such entity c and each term t of the
     texts that hold it, the corpus gives the pointwise mutual information of c and t over the information of c, by
     document frequencies: log(N df(c,t) / df(c) df(t)) / log(N / df(c)). It is 1 if t stands only with c. Terms that
     reach GENERALISE become a span `term` wherever they stand in any text, those that reach REMOVE a span `removed`, given
-    MIN_DOCUMENTS documents and MIN_SURROUNDINGS different surroundings as evidence. Pairs are counted before their
-    surroundings are, and surroundings only of pairs that reach GENERALISE. A value of all documents has no
+    MIN_DOCUMENTS documents and MIN_SURROUNDINGS different surroundings, and an agreement beyond chance
+    (df(c,t) log(N / df(c)) of EVIDENCE or more). Pairs are counted before their
+    surroundings are, and surroundings only of pairs that reach GENERALISE. An entity of all documents has no
     information to reveal.
 
-    Null and empty texts have no spans. Repeated rows count as documents, but equal surroundings once. Texts count
-    whole. A frequent value is counted by partial sums; no group is gathered.
+    Null and empty texts have no spans. Repeated rows count as documents, but equal surroundings once. Null doc_ids get their rows. Texts count
+    whole, whatever their length. A frequent entity is counted by partial sums; no group is gathered. Empty table: no rows. Spans stand in order of
+    start, kind, end. Other columns are kept by clean() and ignored by spans(), whatever their names but those that begin with
+    two underscores.
     """
 
     def __init__(self, docs: DataFrame):
@@ -271,8 +305,9 @@ class Sanitiser:
         terms = document_frequencies(self.docs.select("text")).join(counts.select("term").distinct(), "term")
         told = counts.join(values, "value").join(terms, "term")
         share = F.log(F.lit(float(n)) * F.col("together") / (F.col("of_value") * F.col("documents"))) / F.log(F.lit(float(n)) / F.col("of_value"))
-        kind = F.when(F.col("share") >= REMOVE, F.lit(5)).otherwise(F.lit(4)).alias("kind")
-        likely = materialize(told.withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", kind), "pii-likely")
+        kind = F.when(F.col("share") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(TERM)).alias("kind")
+        beyond = F.col("together") * F.log(F.lit(float(n)) / F.col("of_value")) >= EVIDENCE
+        likely = materialize(told.where(beyond).withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", kind), "pii-likely")
         ways = pairs.join(likely, ["value", "term"]).groupBy("value", "term", "kind").agg(F.countDistinct("around").alias("ways"))
         return materialize(ways.where(F.col("ways") >= MIN_SURROUNDINGS).groupBy("term").agg(F.max("kind").alias("kind")), "pii-telling")
 
@@ -296,12 +331,16 @@ class Sanitiser:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
 
     def spans(self) -> DataFrame:
-        """doc_id, counts by kind of pattern, base_sha256 and spans, one row per row of docs."""
+        """One row per row of docs: doc_id, counts by kind of pattern, base_sha256, spans, n_secret, n_terms, and whether there is any span."""
+        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
         extra = self.added().select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "extra")
-        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))
-        every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-        joined = self.rows.drop("values").join(extra, same, "left")
-        return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(self._joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), self._joined(every).alias("spans"))
+        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("digest").eqNullSafe(F.col("__digest"))
+        every = F.array_sort(F.concat("base", "secrets", F.coalesce("extra", none)))
+        joined = self.rows.drop("values").join(extra, same, "left").withColumn("every", every)
+        return joined.select(
+            "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(self._joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), self._joined(F.col("every")).alias("spans"),
+            "n_secret", F.size(F.coalesce("extra", none)).cast("long").alias("n_terms"), (F.size("every") > 0).alias("personal"),
+        )
 
     def clean(self) -> DataFrame:
         """docs with their texts' spans replaced by [KIND], or removed, and n_chars, where there is such a column, as it then is.
@@ -323,7 +362,7 @@ def cleaned(text: Column, extra: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, extras in batches:
-            yield pd.Series([t if t is None else replace(t, [*base_spans(t), *((s["start"], s["kind"], s["end"]) for s in (() if x is None else x))]) for t, x in zip(texts, extras, strict=True)], dtype=object)
+            yield pd.Series([t if t is None else replace(t, [*protected_spans(t), *((s["start"], s["kind"], s["end"]) for s in (() if x is None else x))]) for t, x in zip(texts, extras, strict=True)], dtype=object)
 
     return run.asNondeterministic()(text, extra)
 
@@ -332,7 +371,7 @@ def replace(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for s, kind, e in sorted(spans):
         if s >= at:
-            out += [text[at:s], "" if kind == 5 else f"[{KINDS[kind].upper()}]"]
+            out += [text[at:s], "" if kind == REMOVED else f"[{KINDS[kind].upper()}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 

@@ -399,7 +399,7 @@ def test_patterns_equal_plain_regular_expressions():
 
 
 def test_pii(spark):
-    texts = [f"{prose(30)} write to anna.k@mail.example.org {w} Zebulon {prose(30)}" for w in VOCABULARY[:6]] + [f"{prose(40)} call +49 (30) 1234567 now", "visit 10.0.0.1 or 4111 1111 1111 1111", None, "", "clean text", prose(2000), "visit 10.0.0.1 or 4111 1111 1111 1111"]
+    texts = [f"{prose(30)} write to anna.k@mail.example.org {w} Zebulon {prose(30)}" for w in VOCABULARY[:6]] + [f"{prose(40)} call +49 (30) 1234567 now", "visit 10.0.0.1 or 4111 1111 1111 1111", None, "", "clean text", prose(2000), "visit 10.0.0.1 or 4111 1111 1111 1111", 'api_token = "04dbebab91ab85687d" and token: not-a-secret-word', *(f"only {w}" for w in VOCABULARY[:90])]
     df = spark.createDataFrame([(i, t, len(t or ""), "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, value string").withColumns({n: F.lit("clash") for n in ("digest", "extra", "term")})
     got = {r.doc_id: r for r in pii.Sanitiser(df).spans().collect()}
     assert len(got) == len(texts)
@@ -407,12 +407,13 @@ def test_pii(spark):
         spans = base_spans(t or "")
         joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
         assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(x[1] == k for x in spans) for k in range(4))
-        assert {x for x in joined.split(",") if x} <= set(got[i].spans.split(","))
+        assert {x for x in joined.split(",") if x} <= set(got[i].spans.split(",")) and got[i].personal == bool(got[i].spans)
+    assert got[13].spans == "secret:13:31" and got[13].n_secret == 1
     # the name stands only beside one address, in six texts: it reveals it
     assert all("removed" in got[i].spans for i in range(6)) and all(got[i].spans == "" for i in (8, 9, 10, 11))
     clean = {r.doc_id: r for r in pii.Sanitiser(df).clean().collect()}
     assert all("Zebulon" not in clean[i].text and "anna" not in clean[i].text and "[EMAIL]" in clean[i].text and clean[i].n_chars == len(clean[i].text) for i in range(6))
-    assert clean[7].text == "visit [IP] or [CARD]" and clean[10].text == "clean text" and clean[8].text is None and clean[11].text == texts[11]
+    assert clean[7].text == "visit [IP] or [CARD]" and clean[10].text == "clean text" and clean[8].text is None and clean[11].text == texts[11] and clean[13].text == 'api_token = "[SECRET]" and token: not-a-secret-word'
     empty = df.limit(0)
     assert pii.Sanitiser(empty).spans().count() == 0 and pii.Sanitiser(empty).clean().count() == 0
 
@@ -502,3 +503,33 @@ def test_alignment_turns_mismatches_into_slots():
     assert wrapper.strings == {of("Home", "ul"), of("Part of", "")}
     assert wrappers.align(["p", of("A", "p"), "/p"], ["p", of("B", "p"), "/p"]) == ["p", "#p", "/p"]
     assert wrappers.align(["p", "#p"], ["h1", "#h1", "p", "#p"]) == [["?", ["h1", "#h1"]], "p", "#p"]
+
+
+def test_terms_equal_brute_force(spark):
+    """Which terms are generalised or removed, against the shares worked out text by text."""
+    rare = [f"qz{w}" for w in VOCABULARY[:12]]
+    texts = []
+    for k, term in enumerate(rare):
+        for j in range(7):  # the first terms stand with their address only, later ones more and more without
+            texts.append(f"{prose(20)} {term if j < 7 - k // 4 else ''} {prose(9)} user{k}@mail{k % 3}.example.org {prose(15)}")
+        texts += [f"{prose(12)} {term} {prose(12)}" for _ in range(k // 2)]
+    texts += [prose(25) for _ in range(80)] + [texts[0]] * 2
+    n, mentions, terms = len(texts), collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        spans = pii.protected_spans(t)
+        for s, k, e in spans:
+            for x in pii.entities(t[s:e], k):
+                mentions[x].add(i)
+        for m in WORD.finditer(t):
+            terms[pii.term_of(m.group())].add(i)
+    want = {}
+    for held in mentions.values():
+        for term, where in terms.items():
+            both = held & where
+            if len({texts[i] for i in both}) >= 3 and "@" not in term and len(held) < n and len(both) * math.log(n / len(held)) >= pii.EVIDENCE:
+                share = math.log(n * len(both) / (len(held) * len(where))) / math.log(n / len(held))
+                if share >= pii.GENERALISE:
+                    want[term] = max(want.get(term, 0), pii.REMOVED if share >= pii.REMOVE else pii.TERM)
+    assert pii.TERM in want.values() and pii.REMOVED in want.values() and len(want) < len(rare)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.term: r.kind for r in pii.Sanitiser(df).telling().collect()} == {pii._hash(t): k for t, k in want.items()}
