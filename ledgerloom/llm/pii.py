@@ -22,6 +22,8 @@ TERM, REMOVED, SECRET = 4, 5, 6
 WINDOW = 8
 #: A term must stand with the value in so many documents, and in so many different surroundings.
 MIN_DOCUMENTS = MIN_SURROUNDINGS = 3
+#: Largest share of the documents in which these are alike; where it is more, the documents are copies of each other.
+MAX_ALIKE = 0.5
 #: Least -log of the chance that a term which has nothing to do with a value stands in so many of its documents.
 EVIDENCE = 12.0
 #: Share of the value's information that a term must reveal to be generalised, or removed.
@@ -160,22 +162,24 @@ def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
 
 
 def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
-    """Each wanted entity (hash) with each term of the text, and a hash of what surrounds them: of the entity's span, if the term is within
-    WINDOW words of it, else of the term."""
+    """Each wanted entity (hash) with each term of the text, and the least hash of the words that surround them: the entity's span, if the
+    term is within WINDOW words of it, else the term. Surroundings that differ in few words mostly have it in common."""
     spans = protected_spans(text)
     words, free, bounds = free_words(text, spans)
     terms = [term_of(text[s:e]) if f else "" for (s, e), f in zip(words, free, strict=True)]
-    around = lambda first, last: _hash(" ".join(terms[i] for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))) if free[i]))
+    hashes = {t: _hash(t) for t in terms if t}
+    window = lambda first, last: (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW)))
+    around = lambda first, last: min((hashes[terms[i]] for i in window(first, last) if terms[i]), default=0)
     places: dict[str, int] = {}
     for i, term in enumerate(terms):
         if term:
             places.setdefault(term, i)
-    far = {term: (_hash(term), around(i, i + 1)) for term, i in places.items()}
+    far = {term: (hashes[term], around(i, i + 1)) for term, i in places.items()}
     near: dict[int, dict[str, int]] = {}
     for (s, kind, e), (first, last) in zip(spans, bounds, strict=True):
         for value in wanted.intersection(map(_hash, entities(text[s:e], kind))):
             here, told = near.setdefault(value, {}), around(first, last)
-            for i in (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW))):
+            for i in window(first, last):
                 here.setdefault(terms[i], told)
     for value, here in near.items():
         for term, (key, told) in far.items():
@@ -263,8 +267,8 @@ class Sanitiser:
     texts that hold it, the corpus gives the pointwise mutual information of c and t over the information of c, by
     document frequencies: log(N df(c,t) / df(c) df(t)) / log(N / df(c)). It is 1 if t stands only with c. Terms that
     reach GENERALISE become a span `term` wherever they stand in any text, those that reach REMOVE a span `removed`, given
-    MIN_DOCUMENTS documents and MIN_SURROUNDINGS different surroundings, and an agreement beyond chance
-    (df(c,t) log(N / df(c)) of EVIDENCE or more). Pairs are counted before their
+    MIN_DOCUMENTS documents, MIN_SURROUNDINGS different surroundings of which none makes up more than MAX_ALIKE of all (near
+    copies of one text are no evidence), and an agreement beyond chance (df(c,t) log(N / df(c)) of EVIDENCE or more). Pairs are counted before their
     surroundings are, and surroundings only of pairs that reach GENERALISE. An entity of all documents has no
     information to reveal.
 
@@ -308,8 +312,10 @@ class Sanitiser:
         kind = F.when(F.col("share") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(TERM)).alias("kind")
         beyond = F.col("together") * F.log(F.lit(float(n)) / F.col("of_value")) >= EVIDENCE
         likely = materialize(told.where(beyond).withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", kind), "pii-likely")
-        ways = pairs.join(likely, ["value", "term"]).groupBy("value", "term", "kind").agg(F.countDistinct("around").alias("ways"))
-        return materialize(ways.where(F.col("ways") >= MIN_SURROUNDINGS).groupBy("term").agg(F.max("kind").alias("kind")), "pii-telling")
+        alike = pairs.join(likely, ["value", "term"]).groupBy("value", "term", "kind", "around").agg(F.count(F.lit(1)).alias("n"))
+        ways = alike.groupBy("value", "term", "kind").agg(F.count(F.lit(1)).alias("ways"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        told = ways.where((F.col("ways") >= MIN_SURROUNDINGS) & (F.col("most") <= F.col("n") * MAX_ALIKE))
+        return materialize(told.groupBy("term").agg(F.max("kind").alias("kind")), "pii-telling")
 
     def added(self) -> DataFrame:
         """doc_id, digest (xxhash64 of the text) and extra, the method's spans: a row for each text that has any."""
