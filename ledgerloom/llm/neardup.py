@@ -22,11 +22,11 @@ DISTANCE = 2
 BUCKET = 256
 
 #: Near copies: tables of keys; each key joins the indices of two segments of 24 bits, of PROBES codewords each.
-TABLES, PROBES = 3, 4
+TABLES, PROBES = 5, 4
 #: Bits of their fingerprints, of which the first TABLES * 48 make keys.
-BITS = 192
-#: Most differing bits of two texts worth an exact look: at a similarity of 0.8 the mean is 29, the deviation 5.
-LOOK = 47
+BITS = 240
+#: Most differing bits of two texts worth an exact look: at a similarity of 0.8 the mean is 36, the deviation 5.6.
+LOOK = 60
 WORDS = tuple(f"w{i}" for i in range(-(-BITS // 64)))
 #: Rows of one key that one task sees at first; fuller buckets are dealt out, and what remains meets again.
 SALT_ROWS = 10_000
@@ -102,8 +102,8 @@ def _apart(a: list[Column], b: list[Column]) -> Column:
 def fingerprint_links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct 64-bit values (column fp) whose components are those of all links of DISTANCE bits.
 
-    Each value has a key for each segment taken as free of errors: the segment itself and an index of the next segment,
-    in which at most two errors remain. Rows of a key are paired and verified. In buckets of over `bucket` rows
+    Each value has a key for each segment taken as free of errors: the segment itself (one of three is, if two bits differ; this
+    alone would find all pairs) and an index of the next segment, in which at most two errors remain, which makes buckets small. Rows of a key are paired and verified. In buckets of over `bucket` rows
     values are tied to the words within one bit of them instead: two values lie within two bits of each other just
     if they share such a word, so this loses no link and costs 65 rows a value.
     """
@@ -184,21 +184,21 @@ _SET = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("me
 
 
 def _sets(text: Column, width: int) -> Column:
-    """Content digest and the sorted distinct 32-bit heads of the shingles' hashes, as bytes."""
+    """Content digest and the sorted distinct hashes of the shingles, as bytes."""
 
     @F.pandas_udf(_SET)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            heads = [np.unique((np.array(shingle_hashes(t, width), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts]
-            yield pd.DataFrame({"content": [content_of(t) for t in texts], "members": heads})
+            members = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in texts]
+            yield pd.DataFrame({"content": [content_of(t) for t in texts], "members": members})
 
     return run.asNondeterministic()(text)
 
 
 def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float, same: bool) -> list[tuple[int, int]]:
-    """Pairs (i, j) of sets (sorted distinct heads) whose Jaccard similarity is high enough; with `same`, left is right and i < j.
+    """Pairs (i, j) of sets (sorted distinct hashes) whose Jaccard similarity is high enough; with `same`, left is right and i < j.
 
-    Common members are counted by products of incidence matrices, some thousand distinct heads at a time.
+    Common members are counted by products of incidence matrices, some thousand distinct hashes at a time.
     """
     sizes = [np.array([len(x) for x in side]) for side in (left, right)]
     heads = [np.concatenate(side) for side in (left, right)]
@@ -263,13 +263,14 @@ class NearCopies:
     """Groups of texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, transitively.
 
     Texts of equal words are one class. Classes get keys by soft Golay decoding (a pair of similarity 0.8 shares one
-    with a probability of 0.98, of 0.85 with 0.997). Under each key, classes are compared by their fingerprints: all with the
+    with a probability of 0.998, of 0.85 with 0.9995). Under each key, classes are compared by their fingerprints: all with the
     first of them, and where some are too far from it, all with all; classes close enough form candidate groups. Within a candidate
     group all pairs are verified on exact sets, block against block, and a block passes on what it
     connects as edges from the least class of each group to the others. So no link between classes of a candidate group is lost, while the rows that move follow
     the number of classes: a group of m meets in (m / BLOCK)^2 / 2 blocks.
 
-    docs: doc_id, text and any others. Null and empty texts are one class. Null doc_ids and repeated rows are allowed. An
+    docs: doc_id, text and any others, whatever their names. Null and empty texts are one class. Null doc_ids
+    (least of all) and repeated rows are allowed; of rows equal in doc_id and words one stays, any. Very long texts count whole. An
     empty table has no groups.
     """
 
@@ -332,10 +333,14 @@ class NearCopies:
             edges = materialize(edges.union(met.select("x.c", "y.c")), "near-parts")
             # a full key is mostly one group by now; where it isn't, rows of different groups are compared one by one
             found = components(edges, "near-parts").select(F.col("node").alias("c"), "root")
-            hot = rows.join(_bounded(full), "key", "left_semi").withColumn("c", F.col("x.c")).join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
+            hot = rows.join(_bounded(full), "key").withColumn("c", F.col("x.c")).join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
             several = hot.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            hot = materialize(hot.join(several, "key", "left_semi").select("key", "root", "x"), "near-rest")
-            met = hot.join(hot.select("key", F.col("root").alias("root2"), F.col("x").alias("y")), "key").where((F.col("root") < F.col("root2")) & self._close("x", "y"))
+            hot = materialize(hot.join(several, "key", "left_semi").select("key", "root", "x", "parts", F.pmod(F.xxhash64("x.c"), F.col("parts")).alias("own")), "near-rest")
+            # block against block, so that no task has more than SALT_ROWS rows of a key and about as many others
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+            left = hot.select("key", F.col("own").alias("i"), every.alias("j"), "root", "x")
+            right = hot.select("key", every.alias("i"), F.col("own").alias("j"), F.col("root").alias("root2"), F.col("x").alias("y"))
+            met = left.join(right, ["key", "i", "j"]).where((F.col("root") < F.col("root2")) & self._close("x", "y"))
             edges = edges.union(met.select(F.least("x.c", "y.c"), F.greatest("x.c", "y.c")))
         return components(materialize(edges.distinct(), "near-candidates"), "near")
 
@@ -364,7 +369,7 @@ class NearCopies:
                 same = bool((group["i"] == group["j"]).all()) or not group["large"].iloc[0]
                 if same:
                     first = second = group
-                sets = [[np.frombuffer(m, np.uint32) for m in side["members"]] for side in (first, second)]
+                sets = [[np.frombuffer(m, np.uint64) for m in side["members"]] for side in (first, second)]
                 if sets[0] and sets[1]:
                     a, b = first["c"].to_numpy(), second["c"].to_numpy()
                     out += _stars([(int(a[i]), int(b[j])) for i, j in _similar(*sets, similarity, same)])
@@ -380,14 +385,15 @@ class NearCopies:
 
     def keep_one(self) -> DataFrame:
         """The rows of docs, columns unchanged, of which one stays of each group: that of the least doc_id."""
-        kept = self.membership().where("c = root").select(F.col("rep").alias("__rep"), F.col("content").alias("__content"))
+        kept = self.membership().where("c = root").select("rep", "content")
         # doc_ids that stand in several rows need their texts' digests to tell the rows apart; most tables have none
-        twice = materialize(self.rows.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__twice")), "near-twice")
-        same = F.col("doc_id").eqNullSafe(F.col("__rep"))
+        twice = materialize(self.rows.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("twice")), "near-twice")
+        rows = self.docs.select(F.struct("*").alias("document"))
+        same = F.col("document.doc_id").eqNullSafe(F.col("rep"))
         if twice.isEmpty():
-            return self.docs.join(_bounded(materialize(kept.select("__rep"), "near-kept")), same, "left_semi")
-        is_twice = F.col("doc_id").eqNullSafe(F.col("__twice"))
-        single = self.docs.join(_bounded(twice), is_twice, "left_anti").join(_bounded(materialize(kept.select("__rep").distinct(), "near-kept")), same, "left_semi")
-        several = self.docs.join(_bounded(twice), is_twice, "left_semi").withColumn("__digest", _sets(F.col("text"), self.width)["content"])
-        several = several.join(kept, same & (F.col("__digest") == F.col("__content")), "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-        return single.unionByName(several)
+            return rows.join(_bounded(materialize(kept.select("rep"), "near-kept")), same, "left_semi").select("document.*")
+        is_twice = F.col("document.doc_id").eqNullSafe(F.col("twice"))
+        single = rows.join(_bounded(twice), is_twice, "left_anti").join(_bounded(materialize(kept.select("rep").distinct(), "near-kept")), same, "left_semi")
+        several = rows.join(_bounded(twice), is_twice, "left_semi").withColumn("digest", _sets(F.col("document.text"), self.width)["content"])
+        several = several.withColumn("id", F.col("document.doc_id")).join(kept, same & (F.col("digest") == F.col("content")), "left_semi").dropDuplicates(["id", "digest"]).select("document")
+        return single.unionByName(several).select("document.*")
