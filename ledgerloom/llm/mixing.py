@@ -47,22 +47,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float) ->
 
 
 def keyed(docs: DataFrame, seed: str) -> DataFrame:
-    """docs with what the mix knows of a row: __size, __skey (sorts by code point, null last) and __dealt (place in the shuffle)."""
+    """Rows of docs as the struct `document`, and what the mix knows of each: size, skey (sorts by code point, null last) and dealt (place in the shuffle)."""
     return docs.select(
-        "*",
-        size_of(F.col("text")).alias("__size"),
-        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")).alias("__skey"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("__dealt"),
+        F.struct("*").alias("document"),
+        size_of(F.col("text")).alias("size"),
+        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("skey"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("dealt"),
     )
 
 
 def cutoffs(sized: DataFrame, weights: Sequence[float], share: float, slices: int = 1024) -> DataFrame:
-    """One row per source of sized (__size, __skey, __dealt): __skey, __source_size, __target and, for each epoch, __cut<epoch>: the last place of the shuffle taken.
+    """One row per source of sized (size, skey, dealt): skey, source_size, target and, for each epoch, cut<epoch>: the last place of the shuffle taken.
 
     A source's finish times grow along its shuffle, so what a mix takes of it is a prefix of each epoch; this small
     table is all that decides about a document.
     """
-    slim = sized.select(F.col("__size").alias("size"), F.col("__skey").alias("skey"), F.col("__dealt").alias("dealt"), F.substring("__dealt", 1, 3).alias("part"))
+    slim = sized.select("size", "skey", "dealt", F.substring("dealt", 1, 3).alias("part"))
     parts = materialize(slim.groupBy("skey", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     targets = materialize(source_targets(parts.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, share), "mix-targets")
     ahead = parts.select("skey", "part", (F.sum("part_size").over(Window.partitionBy("skey").orderBy("part")) - F.col("part_size")).alias("before"))
@@ -74,34 +74,41 @@ def cutoffs(sized: DataFrame, weights: Sequence[float], share: float, slices: in
         .join(targets, "skey")
         .where("target > 0")
         .select("skey", "size", "dealt", "budget", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])).alias("epoch"), ((F.col("upto") + F.col("before") + F.col("epoch") * F.col("source_size")) / F.col("target")).alias("finish"))
-        # times from 2 on are only reached where documents are longer than targets; they share the last range
-        .withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("long")),
+        # ranges of equal width up to twice the common time, where targets are met; beyond that, for documents longer than targets, by logarithm
+        .withColumn("place", F.when(F.col("finish") < 2, F.col("finish") * slices).otherwise((F.log2(F.col("finish")) + 1) * slices))
+        .withColumn("slice", F.floor("place"))
+        .withColumn("fine", F.floor((F.col("place") - F.col("slice")) * slices)),
         "mix-queued",
     )
-    sums = queued.groupBy("slice").agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
-    ends = sums.withColumn("end", F.sum("words").over(Window.orderBy("slice"))).withColumn("start", F.col("end") - F.col("words"))
-    # one row: the range in which the budget ends, null if all fits
-    last = ends.where(F.col("end") > F.col("budget")).groupBy().agg(F.min(F.struct("slice", "start")).alias("x")).select(F.col("x.slice").alias("last"), F.col("x.start").alias("start"))
-    marked = queued.join(F.broadcast(last), F.lit(True))
-    whole = marked.where(F.col("last").isNull() | (F.col("slice") < F.col("last"))).select("skey", "epoch", "dealt")
+    whole, rest, start = None, queued, F.lit(0)
+    # the range in which the budget ends is found among all, then among its own finer ones; only that is sorted copy by copy
+    for by in ("slice", "fine"):
+        sums = rest.groupBy(by).agg(F.sum("size").alias("words"), F.max("budget").alias("budget"), F.max(start).alias("before"))
+        ends = sums.withColumn("end", F.col("before") + F.sum("words").over(Window.orderBy(by))).withColumn("start", F.col("end") - F.col("words"))
+        # one row: null if all fits
+        last = ends.where(F.col("end") > F.col("budget")).groupBy().agg(F.min(F.struct(by, "start")).alias("x")).select(F.col(f"x.{by}").alias("last"), F.col("x.start").alias("start"))
+        marked = rest.drop("last", "start").join(F.broadcast(last), F.lit(True))
+        done = marked.where(F.col("last").isNull() | (F.col(by) < F.col("last"))).select("skey", "epoch", "dealt")
+        whole = done if whole is None else whole.union(done)
+        rest, start = materialize(marked.where(F.col(by) == F.col("last")), f"mix-{by}"), F.col("start")
     order = Window.orderBy("finish", "skey", "dealt", "epoch")
-    rest = marked.where(F.col("slice") == F.col("last")).withColumn("total", F.col("start") + F.sum("size").over(order)).where(F.col("total") <= F.col("budget")).select("skey", "epoch", "dealt")
+    rest = rest.withColumn("total", F.col("start") + F.sum("size").over(order)).where(F.col("total") <= F.col("budget")).select("skey", "epoch", "dealt")
     ends_at = [F.max(F.when(F.col("epoch") == e, F.col("dealt"))).alias(f"cut{e}") for e in range(EPOCHS)]
     found = whole.union(rest).groupBy("skey").agg(*ends_at)
-    return targets.join(found, "skey", "left").select(F.col("skey").alias("__skey"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"), *[F.col(f"cut{e}").alias(f"__cut{e}") for e in range(EPOCHS)])
+    return targets.join(found, "skey", "left").select("skey", F.col("source_size").cast("long").alias("source_size"), "target", *[f"cut{e}" for e in range(EPOCHS)])
 
 
 def sizes(docs: DataFrame, seed: str) -> DataFrame:
     """What the mix knows of documents, without their texts, as a table."""
-    return materialize(keyed(docs, seed).select("doc_id", "source", "__size", "__skey", "__dealt"), "mix-sizes")
+    return materialize(keyed(docs.select("doc_id", "source", "text"), seed).select("document.doc_id", "document.source", "size", "skey", "dealt"), "mix-sizes")
 
 
 def marked(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
-    """Keyed rows with __source_size, __target and __epochs, the number of times that the mix of `sized` takes a row."""
+    """Keyed rows with source_size, target and epochs, the number of times that the mix of `sized` takes a row."""
     cuts = materialize(cutoffs(sized, weights, share), "mix-cutoffs")
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    taken = [F.coalesce((F.col("__dealt") <= F.col(f"__cut{e}")).cast("int"), F.lit(0)) for e in range(EPOCHS)]
-    return rows.join(cuts, "__skey").withColumn("__epochs", F.when(F.col("__size") > 0, sum(taken[1:], taken[0])).otherwise(F.lit(0)))
+    taken = [F.coalesce((F.col("dealt") <= F.col(f"cut{e}")).cast("int"), F.lit(0)) for e in range(EPOCHS)]
+    return rows.join(cuts, "skey").withColumn("epochs", F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(F.lit(0)))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: str = "mix") -> DataFrame:
@@ -116,11 +123,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     by copy. Texts are never shuffled: a table of one row per source tells which rows are taken.
 
     Null text: size 0, never taken. Null source: a source of its own, after all others. Sources without words: target
-    0. Rows of one source with equal doc_ids (null is one too) are taken or left together. Empty table: no rows.
-    Other columns are ignored.
+    0. Rows of one source with equal doc_ids (null is one too) are taken or left together; copies that finish at one time go by
+    source, then place in the shuffle. Very long texts count whole. Empty table: no rows. Other columns are ignored, whatever their names.
+
+    The table of sources, a row each, is ordered in one task: their number is bounded by what a task sorts on disk.
     """
     sized = sizes(docs, seed)
-    return marked(sized, sized, weights, share).select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__epochs")).cast("long").alias("taken"))
+    return marked(sized, sized, weights, share).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, seed: str = "mix") -> DataFrame:
@@ -128,5 +137,5 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
     Cases are settled as in mix(); rows without words are in no mix.
     """
-    rows = marked(keyed(docs, seed), sizes(docs, seed), weights, share).where("__epochs > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__epochs"))).alias("__copy")).select(*docs.columns)
+    rows = marked(keyed(docs, seed), sizes(docs, seed), weights, share).where("epochs > 0")
+    return rows.select("document", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("copy")).select("document.*")
