@@ -274,8 +274,7 @@ class Sanitiser:
 
     Null and empty texts have no spans. Repeated rows count as documents, but equal surroundings once. Null doc_ids get their rows. Texts count
     whole, whatever their length. A frequent entity is counted by partial sums; no group is gathered. Empty table: no rows. Spans stand in order of
-    start, kind, end. Other columns are kept by clean() and ignored by spans(), whatever their names but those that begin with
-    two underscores.
+    start, kind, end. Other columns are kept by clean() and ignored by spans(), whatever their names.
     """
 
     def __init__(self, docs: DataFrame):
@@ -353,13 +352,15 @@ class Sanitiser:
 
         Overlapping spans are replaced as one, named after the first. Null texts stay null.
         """
-        extra = materialize(self.added().select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("extra").alias("__extra")), "pii-extra")
+        extra = materialize(self.added(), "pii-extra")
         extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-        same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__digest"))
-        out = self.docs.join(extra, same, "left").withColumn("text", cleaned(F.col("text"), F.col("__extra")))
+        rows = self.docs.select(F.struct("*").alias("document"), F.xxhash64("text").alias("of"))
+        same = F.col("document.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("digest"))
+        out = rows.join(extra, same, "left").select("document", cleaned(F.col("document.text"), F.col("extra")).alias("clean"))
+        changed = F.col("document").withField("text", F.col("clean"))
         if "n_chars" in self.docs.columns:
-            out = out.withColumn("n_chars", F.char_length("text").cast(self.docs.schema["n_chars"].dataType))
-        return out.select(*self.docs.columns)
+            changed = changed.withField("n_chars", F.char_length("clean").cast(self.docs.schema["n_chars"].dataType))
+        return out.select(changed.alias("document")).select("document.*")
 
 
 def cleaned(text: Column, extra: Column) -> Column:
