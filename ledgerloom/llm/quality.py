@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import WORD_PATTERN, prepare
 
+WORD = re.compile(WORD_PATTERN)
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Verdict of the method: largest share of a text's word characters that may lie in duplicated n-grams (by n), and in
-#: repeats of a line. Running prose of a small vocabulary repeats pairs and triples, so n starts at 5.
-MAX_DUPLICATED = {5: 0.40, 6: 0.39, 7: 0.38, 8: 0.37, 9: 0.36, 10: 0.35}
-MAX_LINES = 0.30
+#: repeats of a line. Running prose of a small vocabulary repeats pairs and triples, so n starts at 5. Set on the labelled rows of even
+#: doc_id of sf0.1 so that 4 of 1608 good ones beyond the base rule go; of those of odd doc_id 2 of 1694 go.
+MAX_DUPLICATED = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.18}
+MAX_LINES = 0.15
 #: The base rule: least words, and largest percentage of words in duplicated windows of WINDOW words.
 MIN_WORDS, MAX_PERCENT, WINDOW = 20, 30, 8
 
@@ -75,13 +78,13 @@ def measure(text: str | None) -> tuple:
     for line in data.split(b"\n") if b"\n" in data else ():
         if line in seen:
             dup_lines += 1
-            line_chars += sum(map(len, line.split()))
+            line_chars += len(line.decode("utf-8", "surrogatepass")) - (len(line) - len(line.translate(None, SPACE)))
         elif line.strip():
             seen.add(line)
     lengths = sorted({*MAX_DUPLICATED, WINDOW})
     covered = duplicated_words(words, lengths)
-    width = np.fromiter(map(len, words), np.int64, n_words)
-    total = max(int(width.sum()), 1)
+    width = np.fromiter(map(len, words if len(data) == len(text or "") else WORD.findall(text)), np.int64, n_words)
+    total = max(chars, 1)
     shares = [float(width[covered[n]].sum()) / total for n in sorted(MAX_DUPLICATED)]
     repeat = int(covered[WINDOW].sum())
     failed = n_words < MIN_WORDS or 100 * repeat > MAX_PERCENT * n_words
@@ -106,12 +109,15 @@ def repetition(text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `__quality`, the struct of FIELDS."""
+def judge(docs: DataFrame) -> DataFrame:
+    """Each row of docs (text and any others) as the struct `document`, with `quality`, the struct of FIELDS.
+
+    Columns of docs may have any names. Repeated rows get equal results; ties don't matter. Empty table: no rows.
+    """
     prepare(docs.sparkSession)
-    return docs.withColumn("__quality", repetition(F.col(text)))
+    return docs.select(F.struct("*").alias("document"), repetition(F.col("text")).alias("quality"))
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, columns unchanged. An empty table stays empty."""
-    return judge(docs, text).where("__quality.kept").drop("__quality")
+    return judge(docs).where("quality.kept").select("document.*")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .ann import nearest
 from .common import new_folder
 from .lm import held_out, score
@@ -72,9 +73,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = "__quality"
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[F.col(f"{q}.{f}") for f in fields])
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("document.doc_id", *[F.col(f"quality.{f}") for f in fields])
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = store.read()
     if held is None:
         return docs.select("doc_id", F.lit(0).alias("arrival"), F.lit(None).cast("string").alias("shard"), F.lit(0).cast("long").alias("version"))
-    return held.select("doc_id", arrival.alias("arrival"), F.col("__shard").alias("shard"), F.lit(store.version()).cast("long").alias("version"))
+    return held.select("doc_id", arrival.alias("arrival"), store.shard_of(held).alias("shard"), F.lit(store.version()).cast("long").alias("version"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,5 +158,30 @@ FROM sized s JOIN targets t USING (skey) LEFT JOIN chosen c ON c.skey = s.skey A
 }
 
 
+ORACLES["op8_quality_rules"] = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+words AS (SELECT rid, unnest(range(1, len(words) + 1)) AS pos, length(unnest(words)) AS chars FROM texts),
+windows AS (
+  {" UNION ALL ".join(f"SELECT rid, {n} AS n, pos, array_to_string(words[pos:pos + {n - 1}], ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - {n - 2})) AS pos FROM texts WHERE len(words) > {n})" for n in sorted({*quality.MAX_DUPLICATED, quality.WINDOW}))}),
+covered AS (
+  SELECT DISTINCT rid, n, unnest(range(pos, pos + n)) AS pos
+  FROM (SELECT *, count(*) OVER (PARTITION BY rid, n, w) AS often FROM windows) WHERE often > 1),
+ngrams AS (SELECT rid, n, count(*) AS n_words, CAST(sum(chars) AS DOUBLE) AS chars FROM covered JOIN words USING (rid, pos) GROUP BY rid, n),
+lines AS (SELECT rid, line, count(*) - 1 AS again, length(regexp_replace(line, '[ 	-]', '', 'g')) AS chars
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid, line),
+repeats AS (SELECT rid, sum(again) AS again, CAST(sum(again * chars) AS DOUBLE) AS chars FROM lines GROUP BY rid),
+counted AS (
+  SELECT t.rid, t.doc_id, len(t.words) AS n_words, length(regexp_replace(t.text, '[ 	-]', '', 'g')) AS word_chars, len(regexp_extract_all(t.text, '[#*$%&|<>]')) AS n_symbols,
+         CAST(coalesce(r.again, 0) AS BIGINT) AS n_dup_lines, coalesce(r.chars, 0) AS line_chars, coalesce(g.n_words, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN repeats r USING (rid) LEFT JOIN ngrams g ON g.rid = t.rid AND g.n = {quality.WINDOW}),
+limits(n, most) AS (VALUES {", ".join(f"({n}, CAST({x} AS DOUBLE))" for n, x in quality.MAX_DUPLICATED.items())}),
+over AS (SELECT DISTINCT c.rid FROM counted c JOIN ngrams g USING (rid) JOIN limits l ON l.n = g.n WHERE g.chars / greatest(c.word_chars, 1) > l.most),
+base AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND line_chars / greatest(word_chars, 1) <= {quality.MAX_LINES} AND rid NOT IN (SELECT rid FROM over) AS kept
+FROM base
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -35,8 +35,7 @@ class ShardStore:
     version whole or not at all, and of two writers one gets ConflictError and tries again. Files that no manifest
     names (left by failed writers) are never read; vacuum() deletes them and what later versions replaced.
 
-    Shards keep the rows' columns as they are, whatever their names but `__shard` and `__arrival`, which are refused; the
-    manifest holds the schema of all of them, so that a column which only some arrivals have is null in the others' rows. Columns of one name must be of
+    Shards keep the rows' columns as they are, whatever their names; the manifest holds the schema of all of them, so that a column which only some arrivals have is null in the others' rows. Columns of one name must be of
     one type. An empty arrival commits a version without new shards. Null values, ties, repeated rows and very long texts are stored unchanged.
     """
 
@@ -100,8 +99,6 @@ class ShardStore:
     @staticmethod
     def _union(held: StructType | None, new: StructType) -> StructType:
         """The columns of both, all nullable: those held first."""
-        if clash := {"__shard", "__arrival"} & set(new.names):
-            raise ValueError(f"columns of the store's own names: {sorted(clash)}")
         fields = {f.name: f for f in (held.fields if held else ())}
         for f in new.fields:
             if f.name in fields and fields[f.name].dataType != f.dataType:
@@ -122,11 +119,13 @@ class ShardStore:
         one else writes to the store, so what is replaced can be deleted at once.
         """
         schema = self._union(self.manifest()["schema"], rows.schema)
-        folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("__arrival", arrival).write.partitionBy("__arrival").option("compression", "snappy").parquet(f"{self.root}/{folder}")
+        folder, name = f"data/{uuid.uuid4().hex}", "arrival"
+        while name in map(str.lower, rows.columns):
+            name += "_"
+        rows.withColumn(name, arrival).write.partitionBy(name).option("compression", "snappy").parquet(f"{self.root}/{folder}")
         for k in range(arrivals):
             base = self.manifest()
-            self._commit(base, base["arrivals"] + 1, base["shards"] + self._shards(f"{folder}/__arrival={k}", base["arrivals"]), schema)
+            self._commit(base, base["arrivals"] + 1, base["shards"] + self._shards(f"{folder}/{name}={k}", base["arrivals"]), schema)
             before = self.version()
             if self.compact() > before and alone:
                 self.vacuum({folder})
@@ -162,12 +161,14 @@ class ShardStore:
             self._commit(base, base["arrivals"], [x for x in base["shards"] if x not in gone] + merged)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """Rows of a version with the file of each in `__shard`; None if it has no shards."""
+        """Rows of a version, columns as they came; None if it has no shards."""
         manifest = self.manifest(version)
-        if not manifest["shards"]:
-            return None
-        rows = self.spark.read.schema(manifest["schema"]).parquet(*[f"{self.root}/{x.file}" for x in manifest["shards"]])
-        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/(data/[0-9a-f]{32}/.+)$", 1).alias("__shard"))
+        return self.spark.read.schema(manifest["schema"]).parquet(*[f"{self.root}/{x.file}" for x in manifest["shards"]]) if manifest["shards"] else None
+
+    @staticmethod
+    def shard_of(rows: DataFrame) -> Column:
+        """The shard of each row of read()."""
+        return F.regexp_extract(rows.metadataColumn("_metadata")["file_path"], r"/(data/[0-9a-f]{32}/.+)$", 1)
 
     def vacuum(self, waiting: set[str] | None = None) -> int:
         """Delete data files that the newest version doesn't name; returns their number. Not while others write.
