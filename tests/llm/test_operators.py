@@ -37,7 +37,7 @@ ROWS = [(i, t, f"s{i % 3}" if i % 7 else None, "clash") for i, t in enumerate(TE
 @pytest.fixture(scope="module")
 def docs(spark):
     names = "doc_id long, text string, source string, size string"
-    return spark.createDataFrame(ROWS, names).withColumns({n: F.lit("clash") for n in ("key", "rank", "count", "root", "word", "length")}).repartition(3)
+    return spark.createDataFrame(ROWS, names).withColumns({n: F.lit("clash") for n in ("key", "rank", "count", "root", "word", "length", "document", "quality", "skey", "dealt", "rep", "content", "digest", "extra", "arrival", "_metadata", "shard", "twice", "x")}).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -319,7 +319,7 @@ def test_mixing(docs, nothing):
 
 
 def test_quality(docs, nothing):
-    got = quality.judge(docs).select("doc_id", "text", "__quality.*").collect()
+    got = quality.judge(docs).select("document.doc_id", "document.text", "quality.*").collect()
     assert len(got) == len(ROWS)
     for r in got:
         t, w = r.text or "", words(r.text)
@@ -329,7 +329,14 @@ def test_quality(docs, nothing):
         lines = [x for x in t.split("\n") if words(x)]
         failed = len(w) < 20 or 100 * repeat > 30 * len(w)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat, failed)
-        assert not (r.kept and failed)
+        total = max(sum(map(len, w)), 1)
+        shares = []
+        for n, most in quality.MAX_DUPLICATED.items():
+            grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            many = collections.Counter(grams)
+            shares.append(sum(len(w[k]) for k in {k for i, x in enumerate(grams) if many[x] > 1 for k in range(i, i + n)}) / total <= most)
+        again = sum(len("".join(words(x))) for i, x in enumerate(lines) if x in lines[:i]) / total
+        assert r.kept == (not failed and all(shares) and again <= quality.MAX_LINES)
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} >= {t for t in BASE if len(words(t)) >= 40}
     assert quality.keep_good(nothing).count() == 0
@@ -353,8 +360,6 @@ def test_sharding(spark, docs, tmp_path):
     assert plain(store.read()) == plain(docs)
     with pytest.raises(ConflictError):
         store._commit(first, 1, [])
-    with pytest.raises(ValueError):
-        store.append(docs.withColumn("__shard", F.lit(1)))
     with pytest.raises(ValueError):
         store.append(docs.withColumn("source", F.lit(1)))
 
@@ -365,7 +370,7 @@ def test_arrivals_of_other_columns_keep_them(spark, tmp_path):
     store.append(spark.createDataFrame([(2, 0.5)], "doc_id long, score double"))
     store.compact()
     store.vacuum()
-    assert len(store.manifest()["shards"]) == 1 and sorted(map(tuple, store.read().drop("__shard").collect())) == [(1, "a", None), (2, None, 0.5)]
+    assert len(store.manifest()["shards"]) == 1 and sorted(map(tuple, store.read().collect())) == [(1, "a", None), (2, None, 0.5)]
 
 
 def test_sharding_query_compacts(spark, docs, tmp_path, monkeypatch):
