@@ -81,13 +81,22 @@ def _summed(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarr
     return unique, np.bincount(at, np.concatenate(numbers), len(unique)).astype(np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values as bytes, their first bytes first: those of sorted keys and of small counts compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def _packed(group: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """For each group its keys and numbers as bytes."""
     order = np.argsort(group, kind="stable")
     group, keys, numbers = group[order], keys[order], numbers[order]
     bounds = [*np.flatnonzero(np.diff(group, prepend=group[:1] - 1)), len(group)]
     for i, j in zip(bounds, bounds[1:]):
-        yield int(group[i]), keys[i:j].tobytes(), numbers[i:j].tobytes()
+        yield int(group[i]), _planes(keys[i:j]), _planes(numbers[i:j])
 
 
 def _deal(kind: int, keys: np.ndarray, deals: int) -> np.ndarray:
@@ -298,7 +307,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray,
     found: dict[int, list] = {}
     for batch in batches:
         for block, kind, keys, numbers in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "keys", "numbers")), strict=True):
-            found.setdefault(kind, []).append((np.full(len(keys) // 8, block, np.int64), np.frombuffer(keys, np.uint64), np.frombuffer(numbers, np.int64)))
+            found.setdefault(kind, []).append((np.full(len(keys) // 8, block, np.int64), _values(keys, np.uint64), _values(numbers, np.int64)))
     return {kind: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for kind, parts in found.items()}
 
 
@@ -315,7 +324,7 @@ def worths(packs: DataFrame, low: list[Level], parts: int) -> DataFrame:
                 seen = total > 0
                 worth = Trie(_levels(unique[seen], total[seen], range(LOW, ORDER + 1), shared.value)).log10(unique)
             else:
-                worth = total
+                worth = total.astype(np.float64)
             rows = list(_packed(block, keys, worth[at]))
             for i in range(0, len(rows), 64):
                 some = rows[i : i + 64]
@@ -368,8 +377,8 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
     packs = table.where("kind < 2")
     short = table.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
     # a task gets about DEAL_BYTES of keys, so more tasks for more text
-    held = packs.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    parts = min(max(parts, -(-held // DEAL_BYTES)), deals)
+    held, n_blocks = packs.agg(F.sum(F.octet_length("keys")), F.count_distinct("block")).first()
+    parts = min(max(parts, -(-(held or 0) // DEAL_BYTES)), deals)
     low = _levels(short["key"].to_numpy(np.int64).view(np.uint64), short["n"].to_numpy(np.int64), range(LOW), [])
     n_train, n_words = known_words(packs, parts)
     denominator = math.log10(n_train + n_words + 1)
@@ -381,8 +390,8 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
         def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
             for kind, found in parts.items():
                 if kind not in tables:
-                    keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in found])
-                    tables[kind] = HashTable(keys), np.concatenate([np.frombuffer(x, np.float64) for _, x in found])
+                    keys = np.concatenate([_values(k, np.uint64) for k, _ in found])
+                    tables[kind] = HashTable(keys), np.concatenate([_values(x, np.float64) for _, x in found])
                     found.clear()
             (grams, cost), (held, frequency) = tables[0], tables[1]
             texts = batch.column("data").to_pylist()
@@ -424,6 +433,7 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
 
     texts = table.where("kind is null").select("block", "kind", "keys", "numbers", "doc_id", "held_out", "data")
     told = worths(packs, low, parts).unionByName(texts, allowMissingColumns=True)
-    together = told.repartition(parts, "block").sortWithinPartitions("block", F.col("kind").isNull())
+    # a task takes a block, seldom two
+    together = told.repartition(max(parts, 4 * n_blocks), "block").sortWithinPartitions("block", F.col("kind").isNull())
     out = together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
