@@ -393,25 +393,30 @@ def score(docs: DataFrame, is_held_out: Column) -> DataFrame:
                     keys = np.concatenate([_values(k, np.uint64) for k, _ in found])
                     tables[kind] = HashTable(keys), np.concatenate([_values(x, np.float64) for _, x in found])
                     found.clear()
-            (grams, cost), (held, frequency) = tables[0], tables[1]
             texts = batch.column("data").to_pylist()
+            # some texts at a time: their words and codes take many times their bytes
+            ends = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(texts)]
+            found = [measured(texts[i:j]) for i, j in zip(bounds, bounds[1:]) if j > i]
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)], schema=schema)
+
+        def measured(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+            """Of each text the number of tokens, of known ones, and both scores."""
+            (grams, cost), (held, frequency) = tables[0], tables[1]
             n = len(texts)
             split = [t.split() for t in texts]
             numbers: dict[bytes, int] = {}
             ids = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in split for w in ws), np.int64)
-            owner = np.repeat(np.arange(n), [len(ws) for ws in split])
+            sizes = np.array([len(ws) for ws in split], np.int64)
+            del split
+            owner = np.repeat(np.arange(n), sizes)
             seen = frequency[held.find(np.append(_word_hash(list(numbers)), END_WORD).view(np.uint64))]
             worth = np.log10(seen + 1) - denominator
             scores = np.zeros(n)
             for codes, of in gram_codes(texts, ORDER):
                 scores += np.bincount(of, cost[grams.find(codes)], n)
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(np.array([len(ws) + 1 for ws in split], np.int64)),
-                    pa.array(np.bincount(owner, seen[ids] > 0, n).astype(np.int64) + int(seen[-1] > 0)), pa.array(np.bincount(owner, worth[ids], n) + worth[-1]), pa.array(scores),
-                ],
-                schema=schema,
-            )
+            return sizes + 1, np.bincount(owner, seen[ids] > 0, n).astype(np.int64) + int(seen[-1] > 0), np.bincount(owner, worth[ids], n) + worth[-1], scores
 
         for batch in batches:
             # a block's costs come before its texts
