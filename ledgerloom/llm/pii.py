@@ -29,7 +29,7 @@ EVIDENCE = 12.0
 #: Share of the value's information that a term must reveal to be generalised, or removed.
 GENERALISE, REMOVE = 0.9, 0.98
 #: Distinct terms that a task counts before it passes them on.
-FLUSH_TERMS = 300_000
+FLUSH_TERMS = 200_000
 BROADCAST_ROWS = 2_000_000
 
 # possessive, so that no text makes them scan a run of digits twice
@@ -148,10 +148,10 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
-    """Places of the words, which of them are no part of a span, and for each span its first word and the one after its last."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = np.array([w[0] for w in words])
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Places (start, end) of the words, which of them are no part of a span, and for each span its first word and the one after its last."""
+    words = np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    starts = words[:, 0]
     free = np.ones(len(words), bool)
     bounds = []
     for s, _, e in spans:
@@ -161,29 +161,36 @@ def free_words(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
     return words, free, bounds
 
 
-def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, int, int]]:
-    """Each wanted entity (hash) with each term of the text, and the least hash of the words that surround them: the entity's span, if the
+def surroundings(text: str, wanted: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each wanted entity (hash) with the terms of the text, and the least hash of the words that surround each: the entity's span, if the
     term is within WINDOW words of it, else the term. Surroundings that differ in few words mostly have it in common."""
     spans = protected_spans(text)
     words, free, bounds = free_words(text, spans)
-    terms = [term_of(text[s:e]) if f else "" for (s, e), f in zip(words, free, strict=True)]
-    hashes = {t: _hash(t) for t in terms if t}
-    window = lambda first, last: (*range(max(0, first - WINDOW), first), *range(last, min(len(words), last + WINDOW)))
-    around = lambda first, last: min((hashes[terms[i]] for i in window(first, last) if terms[i]), default=0)
-    places: dict[str, int] = {}
-    for i, term in enumerate(terms):
-        if term:
-            places.setdefault(term, i)
-    far = {term: (hashes[term], around(i, i + 1)) for term, i in places.items()}
-    near: dict[int, dict[str, int]] = {}
-    for (s, kind, e), (first, last) in zip(spans, bounds, strict=True):
+    numbers: dict[str, int] = {}  # terms in order of their first places; 0 is no term
+    ids = np.fromiter((numbers.setdefault(term_of(text[s:e]), len(numbers) + 1) if f else 0 for (s, e), f in zip(words.tolist(), free.tolist(), strict=True)), np.int64, len(words))
+    empty = numbers.get("", 0)
+    hashes = np.array([0, *map(_hash, numbers)], np.int64)
+    first_place = np.full(len(hashes), -1, np.int64)
+    at = np.flatnonzero(ids)[::-1]
+    first_place[ids[at]] = at
+
+    def window(first: int, last: int) -> np.ndarray:
+        """Terms on both sides."""
+        near = np.concatenate([ids[max(0, first - WINDOW) : first], ids[last : last + WINDOW]])
+        return near[(near > 0) & (near != empty)]
+
+    def around(first: int, last: int) -> int:
+        return int(hashes[window(first, last)].min(initial=np.iinfo(np.int64).max))
+
+    known = np.array([k for k in range(1, len(hashes)) if k != empty], np.int64)
+    far = np.zeros(len(hashes), np.int64)
+    far[known] = [around(i, i + 1) for i in first_place[known].tolist()]
+    near: dict[int, np.ndarray] = {}
+    for (s, kind, e), (first, last) in zip(spans[::-1], bounds[::-1], strict=True):  # of several the first one counts
         for value in wanted.intersection(map(_hash, entities(text[s:e], kind))):
-            here, told = near.setdefault(value, {}), around(first, last)
-            for i in window(first, last):
-                here.setdefault(terms[i], told)
+            near.setdefault(value, far.copy())[window(first, last)] = around(first, last)
     for value, here in near.items():
-        for term, (key, told) in far.items():
-            yield value, key, here.get(term, told)
+        yield value, hashes[known], here[known]
 
 
 _SCAN = "n_email long, n_ip long, n_card long, n_phone long, n_secret long, base array<struct<start:int,kind:int,end:int>>, secrets array<struct<start:int,kind:int,end:int>>, values array<long>"
@@ -246,7 +253,7 @@ def places(text: Column, telling) -> Column:
             if not hits:
                 return []
             words, free, _ = free_words(t, protected_spans(t))
-            return [{"start": s, "kind": kinds[t[s:e]], "end": e} for (s, e), f in zip(words, free, strict=True) if f and t[s:e] in hits]
+            return [{"start": s, "kind": kinds[t[s:e]], "end": e} for (s, e), f in zip(words.tolist(), free.tolist(), strict=True) if f and t[s:e] in hits]
 
         for texts in batches:
             rows = []
@@ -293,8 +300,8 @@ class Sanitiser:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = np.array(list(surroundings(text or "", set(wanted))), np.int64).reshape(-1, 3)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["value", "term", "around"])
+                    for value, found, around in surroundings(text or "", set(wanted)):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), value)), pa.array(found), pa.array(around)], ["value", "term", "around"])
 
         return texts.mapInArrow(run, "value long, term long, around long")
 
