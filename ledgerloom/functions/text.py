@@ -51,6 +51,10 @@ def _bare(ch: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
 
 
+#: Code points below this one have a table of their own.
+NEAR = 0x250
+
+
 @cache
 def _forms(folded: bool) -> tuple[str, str, dict[str, str]]:
     """By rule, for every code point but Hangul syllables: those that become one character (or none), what they become, and those that become several."""
@@ -95,9 +99,15 @@ def _mapped(c: Column, folded: bool) -> Column:
     letter = lambda x: F.when(x.between("\uac00", "\ud7a3"), _hangul(x)).when(F.position(x, keys) > 0, F.get(values, F.position(x, keys) - 1)).otherwise(x)
     spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), letter), "")
     rare = F.when(c.rlike(_ranges([*several, *map(chr, range(0xAC00, 0xD7A4))])), spread).otherwise(c)
-    plain = F.lower(c) if folded else c
+    full = F.translate(rare, source, target)
+    # of the letters of European languages sharp s alone becomes several; a small table does for the rest
+    near = {k: v for k, v in zip(source, target.ljust(len(source), "\0"), strict=True) if ord(k) < NEAR and v != "\0"}
+    sharp = F.replace(c, F.lit("ß"), F.lit("ss")) if folded else c
+    quick = F.translate(sharp, "".join(near), "".join(near.values()))
+    other = c.rlike(rf"[^\x{{0}}-\x{{{NEAR - 1:x}}}]|" + _ranges(x for x in several if ord(x) < NEAR and x != "ß"))
     # most texts are ASCII alone, of as many bytes as characters
-    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(F.translate(rare, source, target))
+    plain = F.lower(c) if folded else c
+    return F.when(F.octet_length(c) == F.char_length(c), plain).when(other, full).otherwise(quick)
 
 
 def strip_accents(c: Column) -> Column:
