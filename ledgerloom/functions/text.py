@@ -243,11 +243,11 @@ def remove_locations(c: Column, *locations: Column) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(out, r"(?U)\s+", " "), F.lit(" ,;|.-")), F.lit(""))
 
 
-def safe_source_texts(data: Column, tags: Column) -> Column:
-    """Texts of a source that may reach a classifier: from maps of data and tags, those of the allowed keys."""
-    plain = F.transform(F.map_entries(F.map_filter(data, lambda k, v: F.replace(normalize_text(k), F.lit(" "), F.lit("_")).isin(*SAFE_SOURCE_KEYS))), lambda e: e["value"])
-    tagged = F.transform(F.map_entries(F.map_filter(tags, lambda k, v: k.isin(*SAFE_TAG_KEYS))), lambda e: F.concat_ws(": ", e["key"], e["value"]))
-    return F.filter(F.concat(F.coalesce(plain, F.array().cast("array<string>")), F.coalesce(tagged, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+def safe_entries(entries: Column) -> Column:
+    """Texts of a source that may reach a classifier: of (key, value) entries of its data and tags, those of the allowed keys."""
+    plain = lambda e: F.replace(normalize_text(e["key"]), F.lit(" "), F.lit("_")).isin(*SAFE_SOURCE_KEYS)
+    told = F.transform(entries, lambda e: F.when(plain(e), e["value"]).when(e["key"].isin(*SAFE_TAG_KEYS), F.concat_ws(": ", e["key"], e["value"])))
+    return F.filter(told, lambda x: x.isNotNull())
 
 
 def shares_long_token(left: Column, right: Column) -> Column:
@@ -298,10 +298,6 @@ def instagram_profile(url: Column) -> Column:
     return F.when((handle != "") & ~F.lower(handle).isin(*INSTAGRAM_RESERVED), F.concat(F.lit("https://www.instagram.com/"), handle, F.lit("/")))
 
 
-def same_text(left: Column, right: Column) -> Column:
-    return F.coalesce(normalize_text(left) == normalize_text(right), F.lit(False))
-
-
 def display_phone(c: Column) -> Column:
     """A canonical number as people write it; anything else unchanged."""
     n = F.when(c.rlike("^55[0-9]{10,11}$"), F.substring(c, F.lit(3), F.length(c)))

@@ -122,8 +122,8 @@ def first_evidence(evidence: DataFrame) -> DataFrame:
 
 def preferred_phone(evidence: DataFrame) -> DataFrame:
     """page_id and its preferred phone: by type of evidence, contact pages first, then as seen."""
-    order = {"json_ld": 0, "tel_link": 1, "structured_field": 2, "embedded_data": 3, "visible_text": 4}
-    rank = F.lit(9)
+    order = {"whatsapp_link": 0, "tel_link": 0, "structured_data": 1, "meta_tag": 2, "embedded_data": 3, "html_attribute": 4, "explicit_whatsapp_label": 4, "visible_text": 5}
+    rank = F.lit(10)
     for kind, n in order.items():
         rank = F.when(F.col("evidence_type") == kind, F.lit(n)).otherwise(rank)
     contact = T.normalize_text(F.col("url")).rlike("contato|contact|fale-conosco|atendimento")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions import text as T
 
@@ -108,21 +109,68 @@ def request_gaps(requests: DataFrame, least_seconds: float) -> DataFrame:
     return requests.withColumn("gap", F.col("ts").cast("double") - before.cast("double")).where(F.col("gap") < least_seconds)
 
 
-def fresh(entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
-    """The newest entry of each key that isn't older than ttl_seconds."""
+def fresh(entries: DataFrame, now: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The newest entry of each key that isn't older than ttl_seconds at `now`, a table of one row."""
     newest = entries.groupBy("key").agg(F.max_by(F.struct("ts", "payload"), "ts").alias("e")).select("key", "e.ts", "e.payload")
-    return newest.where(F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds)) > now)
+    return newest.join(F.broadcast(now), F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds)) > F.col("now")).drop("now")
 
 
-def enrichment_counters(rows: DataFrame, budget: int) -> DataFrame:
-    """attempted, enriched, skipped, errors (at most 25, in order of company) and whether the budget ran out."""
+def enrichment_counters(rows: DataFrame, budget: int, errors: int = 25) -> DataFrame:
+    """attempted, enriched, skipped, errors (the first ones in order of company) and whether the budget ran out.
+
+    Only as many error texts as are given out ever meet in a task.
+    """
     c = F.col
-    return rows.groupBy().agg(
-        F.count_if(c("attempted")).alias("attempted"), F.count_if(c("attempted") & c("error").isNull()).alias("enriched"), F.count_if(~c("attempted")).alias("skipped"),
-        F.slice(F.array_sort(F.collect_list(F.when(c("error").isNotNull(), F.concat_ws(": ", F.lpad(c("company_id").cast("string"), 12, "0"), "error")))), 1, 25).alias("errors"), (F.count(F.lit(1)) > budget).alias("limit_reached"),
-    )
+    said = rows.where(c("error").isNotNull()).select(F.concat_ws(": ", F.lpad(c("company_id").cast("string"), 12, "0"), "error").alias("said")).orderBy("said").limit(errors)
+    first = said.agg(F.array_sort(F.collect_list("said")).alias("errors"))
+    counts = rows.groupBy().agg(
+        F.count_if(c("attempted")).alias("attempted"), F.count_if(c("attempted") & c("error").isNull()).alias("enriched"), F.count_if(~c("attempted")).alias("skipped"), (F.count(F.lit(1)) > budget).alias("limit_reached")
+    )
+    return counts.join(F.broadcast(first), F.lit(True)).select("attempted", "enriched", "skipped", "errors", "limit_reached")
+
+
+def classifier_counters(answers: DataFrame) -> DataFrame:
+    """calls, cache_hits and diagnostics (distinct, in order of appearance) of a classifier's answers (seq, batch, cached, diagnostic)."""
+    c = F.col
+    said = answers.where(c("diagnostic").isNotNull()).groupBy("diagnostic").agg(F.min("seq").alias("seq"))
+    said = said.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "diagnostic"))), lambda x: x["diagnostic"]).alias("diagnostics"))
+    counts = answers.agg(F.count_distinct(F.when(~c("cached"), c("batch"))).alias("calls"), F.count_if("cached").alias("cache_hits"))
+    return counts.join(F.broadcast(said), F.lit(True))
+
+
+#: What names of fields hold whose values logs hide (fixed values).
+SENSITIVE = ("api_key", "authorization", "password", "secret", "token")
 
 
-def redacted(fields: Column) -> Column:
-    """A map of log fields whose sensitive keys' values are hidden."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike("authorization|api_?key|password|secret|token|cookie"), F.lit("***")).otherwise(v))
+def _sensitive(name: Column) -> Column:
+    out = F.lit(False)
+    for part in SENSITIVE:
+        out = out | F.contains(T.normalize_text(name), F.lit(part))
+    return out
+
+
+def redacted(value: Column, kind: DataType) -> Column:
+    """A value of a type as a log may show it: at any depth of structs, maps and arrays, fields and keys that name secrets are hidden."""
+    if isinstance(kind, StructType):
+        hide = {f.name: any(x in f.name.casefold() for x in SENSITIVE) for f in kind.fields}
+        fields = [(F.when(value[f.name].isNotNull(), F.lit("***")) if hide[f.name] else redacted(value[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        if isinstance(kind.valueType, StringType):
+            return F.transform_values(value, lambda k, v: F.when(_sensitive(k), F.lit("***")).otherwise(v))
+        shown = F.map_filter(value, lambda k, v: ~_sensitive(k))
+        return F.transform_values(shown, lambda k, v: redacted(v, kind.valueType))
+    return value
+
+
+def run_rows(search_id: Column, variations: DataFrame, errors: DataFrame) -> DataFrame:
+    """A row for each source of a search: its counts over all variations, whether it was cut short, its error, and its status.
+
+    variations: provider and counts (sources.paging); errors: provider, error of those that failed.
+    """
+    c = F.col
+    sums = variations.groupBy("provider").agg(*[F.sum(x).alias(x) for x in ("raw", "rejected", "duplicates", "new", "pages")], F.count(F.lit(1)).alias("variations"), F.bool_or("limit_reached").alias("limit_reached"))
+    rows = sums.join(errors.groupBy("provider").agg(F.min("error").alias("error")), "provider", "full")
+    return rows.select(search_id.alias("search_id"), "*", F.when(c("error").isNull(), "succeeded").when(F.coalesce(c("new"), F.lit(0)) > 0, "partial").otherwise("failed").alias("status"))

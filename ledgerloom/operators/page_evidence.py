@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.phones import normalize_phone, tel_link, whatsapp_link
-from ..functions.urls import website_host
+from ..functions.urls import public_url, website_host
 from ..schemas import PAGE_EVIDENCE
+from .contacts import nearest_phone
 
-#: Words of links to contact pages with their rank, and endings of paths that are no pages (fixed values).
+# fixed values from here to SCRIPT_LINK: words of links to contact pages with their rank, endings of paths that are no pages, element and attribute names, patterns
 CONTACT_TERMS = (
     ("contato", 0), ("contact", 0), ("fale conosco", 0), ("entre em contato", 0), ("atendimento", 1), ("telefone", 1), ("whatsapp", 1), ("localizacao", 2), ("onde estamos", 2),
     ("unidades", 2), ("escritorios", 2), ("sobre", 3), ("quem somos", 3), ("institucional", 3), ("nossa equipe", 4), ("corretores", 4),
@@ -27,6 +28,12 @@ ASSET_ENDINGS = ("7z", "avi", "css", "csv", "doc", "docx", "gif", "gz", "ico", "
 BLOCKS = frozenset("address article aside br div footer h1 h2 h3 h4 header li main p section td tr".split())
 HIDDEN = frozenset(("noscript", "style", "svg", "template"))
 MAX_NODES, MAX_DEPTH = 1000, 10
+DATA_TYPES = ("application/ld+json", "application/json+ld")
+CONTEXT_NAMES = ("itemprop", "property", "name", "id", "class", "aria-label", "title")
+VALUE_NAMES = ("content", "href", "value", "aria-label", "title", "itemprop")
+ADDRESS_PARTS = ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")
+MARKER = re.compile(r"(?i)\bwhats\s*app\b")
+DIRECT_LINK = re.compile(r"(?i)(?:(?:https?:)?//)?(?:wa\.me|(?:api\.|web\.)?whatsapp\.com)/[^\s\"'<>]+")
 
 PHONE = re.compile(r"(?<!\d)(?:(?:\+|00)?55[\s().-]*)?(?:\(?[1-9]\d\)?[\s.-]*)(?:9[\s.-]*\d{4}|[2-9][\s.-]*\d{3})[\s.-]*\d{4}(?!\d)")
 TAX_ID = re.compile(r"(?<!\d)(\d{2}[.\s]?\d{3}[.\s]?\d{3}\s*[/\-]\s*\d{4}[.\s-]?\d{2})(?!\d)")
@@ -41,7 +48,7 @@ SCRIPT_LINK = re.compile(r"""(?i)(?:(?:https?:)?(?:\\?/){2})?(?:wa\.me|(?:api\.|
 
 
 class _Page(HTMLParser):
-    """Visible text with a line per block, links with labels, address elements, scripts, and named attributes."""
+    """Visible text with a line per block, links with labels, address elements, scripts, and attributes that may hold contacts."""
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
@@ -50,10 +57,11 @@ class _Page(HTMLParser):
         self.addresses: list[str] = []
         self.linked_data: list[str] = []
         self.scripts: list[str] = []
-        self.named: list[tuple[str, str]] = []
+        self.attributes: list[tuple[str, str, str, str]] = []  # element, name, value, what its other attributes say
         self._hidden = 0
         self._link: list | None = None
         self._address: list[str] | None = None
+        self._in_script = False
         self._script: list[str] | None = None
         self._is_data = False
         self.feed(page)
@@ -61,25 +69,28 @@ class _Page(HTMLParser):
         self._end_link()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
+        a = {k: (v or "").strip() for k, v in attrs}
         if tag in HIDDEN:
             self._hidden += 1
         if tag == "script":
-            self._script, self._is_data = [], a.get("type", "").strip().lower() == "application/ld+json"
+            self._is_data = a.get("type", "").partition(";")[0].strip().lower() in DATA_TYPES
+            self._in_script, self._script = True, [] if self._is_data or not a.get("src") else None
+            return
+        if self._hidden:
+            return
+        told = " ".join(a[k] for k in CONTEXT_NAMES if a.get(k))[:500]
+        self.attributes += [(tag, k, v, told) for k, v in a.items() if v and len(v) <= 4096 and (k in VALUE_NAMES or k.startswith("data-"))]
         if tag in BLOCKS:
             self.parts.append("\n")
         if tag == "address":
             self._address = []
         if tag == "a":
             self._end_link()
-            self._link = [a.get("href", ""), [], "nofollow" in a.get("rel", "").lower()]
-        if tag == "img" and self._link is not None and a.get("alt"):
-            self._link[1].append(a["alt"])
-        name = a.get("itemprop") or a.get("property") or a.get("name") or ""
-        for key in ("content", "value"):
-            if name and a.get(key):
-                self.named.append((name, a[key]))
-        self.named += [(k.removeprefix("data-"), v) for k, v in a.items() if k.startswith("data-") and v]
+            self._link = [a.get("href", ""), [a[k] for k in ("aria-label", "title") if a.get(k)], "nofollow" in a.get("rel", "").lower().split()]
+        if tag == "img" and a.get("alt"):
+            self.parts.append(a["alt"])
+            if self._link is not None:
+                self._link[1].append(a["alt"])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -88,9 +99,13 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN and self._hidden:
             self._hidden -= 1
-        if tag == "script" and self._script is not None:
-            (self.linked_data if self._is_data else self.scripts).append("".join(self._script))
-            self._script = None
+        if tag == "script":
+            if self._script is not None:
+                (self.linked_data if self._is_data else self.scripts).append("".join(self._script))
+            self._in_script, self._script = False, None
+            return
+        if self._hidden:
+            return
         if tag in BLOCKS:
             self.parts.append("\n")
         if tag == "address" and self._address is not None:
@@ -105,8 +120,9 @@ class _Page(HTMLParser):
             self._link = None
 
     def handle_data(self, data: str) -> None:
-        if self._script is not None:
-            self._script.append(data)
+        if self._in_script:
+            if self._script is not None:
+                self._script.append(data)
         elif not self._hidden:
             self.parts.append(data)
             if self._link is not None:
@@ -124,16 +140,57 @@ def _around(text: str, start: int, end: int) -> str:
 
 
 def _walk(node: object) -> Iterator[dict]:
-    """The objects of a JSON-LD block, outermost first, up to MAX_NODES and MAX_DEPTH."""
+    """The objects of a JSON-LD block, each before what it holds, up to MAX_NODES and MAX_DEPTH."""
     waiting, seen = [(node, 0)], 0
     while waiting and seen < MAX_NODES:
-        item, depth = waiting.pop(0)
+        item, depth = waiting.pop()
+        if depth > MAX_DEPTH:
+            continue
         seen += 1
         if isinstance(item, dict):
             yield item
-        if depth < MAX_DEPTH:
-            inner = item.values() if isinstance(item, dict) else item if isinstance(item, list) else ()
-            waiting += [(x, depth + 1) for x in inner if isinstance(x, (dict, list))]
+        inner = item.values() if isinstance(item, dict) else item if isinstance(item, list) else ()
+        waiting += [(x, depth + 1) for x in inner if isinstance(x, (dict, list))][::-1]
+
+
+def _texts(value: object) -> list[str]:
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, str)]
+
+
+def _linked(node: dict) -> Iterator[tuple[str, str, str, str]]:
+    """What an object of linked data says."""
+    kinds = node.get("@type")
+    if any(str(k).lower() == "postaladdress" for k in (kinds if isinstance(kinds, list) else [kinds])):
+        joined = ", ".join(x.strip() for k in ADDRESS_PARTS for x in _texts(node.get(k))[:1] if x.strip() and not isinstance(node[k], list))
+        if joined:
+            yield "address", joined, "structured_data", joined
+    for key in ("telephone", "phone", "contactPhone"):
+        for v in _texts(node.get(key)):
+            yield "phone", v, "structured_data", v
+    for key in ("whatsapp", "whatsApp", "contact:whatsapp"):
+        if isinstance(v := node.get(key), str):
+            yield "whatsapp", v, "whatsapp_link" if DIRECT_LINK.search(v) else "explicit_whatsapp_label", f"Structured field {key}"
+    for key in ("taxID", "vatID", "cnpj"):
+        if isinstance(v := node.get(key), str):
+            yield "cnpj", v, "structured_data", v
+    for v in _texts(node.get("sameAs")) + [node[k] for k in ("url", "contactUrl") if isinstance(node.get(k), str)]:
+        if "instagram.com" in v.lower():
+            yield "instagram", v, "structured_data", v
+        if DIRECT_LINK.search(v):
+            yield "whatsapp", v, "whatsapp_link", v
+
+
+def _attribute(tag: str, name: str, value: str, told: str) -> Iterator[tuple[str, str, str, str]]:
+    """What an attribute says: a link, or numbers if its own or its element's names speak of a phone."""
+    decoded, context = html.unescape(value).replace("\\/", "/"), f"{name} {told}".strip()
+    about_whatsapp = bool(WHATSAPP_NAME.search(context))
+    if DIRECT_LINK.match(decoded) or decoded.lower().startswith("whatsapp:"):
+        yield "whatsapp", decoded, "whatsapp_link", context or "Public WhatsApp attribute"
+    elif decoded.lower().startswith("tel:"):
+        yield ("whatsapp", decoded, "explicit_whatsapp_label", context) if about_whatsapp else ("phone", decoded, "tel_link", context)
+    elif about_whatsapp or PHONE_NAME.search(context):
+        for m in PHONE.finditer(decoded):
+            yield ("whatsapp", m.group(), "explicit_whatsapp_label", context) if about_whatsapp else ("phone", m.group(), "meta_tag" if tag == "meta" else "html_attribute", context)
 
 
 def observed(page: str | None) -> list[tuple[str, str, str, str]]:
@@ -149,10 +206,8 @@ def observed(page: str | None) -> list[tuple[str, str, str, str]]:
             out.append(("whatsapp" if labelled else "phone", href, "explicit_whatsapp_label" if labelled else "tel_link", label or "Telephone link"))
         if "instagram.com" in href.lower():
             out.append(("instagram", href, "instagram_link", label))
-    for name, value in doc.named:
-        kind = "whatsapp" if WHATSAPP_NAME.search(name) else "phone" if PHONE_NAME.search(name) else None
-        if kind:
-            out.append((kind, value, "structured_field", f"Structured field {name}"))
+    for attribute in doc.attributes:
+        out += _attribute(*attribute)
     for block in doc.scripts:
         block = html.unescape(block).replace("\\/", "/")
         for m in SCRIPT_FIELD.finditer(block):
@@ -174,25 +229,10 @@ def observed(page: str | None) -> list[tuple[str, str, str, str]]:
     for block in doc.linked_data:
         try:
             data = json.loads(block)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         for node in _walk(data):
-            for key, value in node.items():
-                for v in value if isinstance(value, list) else [value]:
-                    if isinstance(v, str):
-                        if key.lower() in ("telephone", "phone"):
-                            out.append(("phone", v, "json_ld", "Structured field telephone"))
-                        elif "whatsapp" in key.lower():
-                            out.append(("whatsapp", v, "explicit_whatsapp_label", f"Structured field {key}"))
-                        elif key in ("taxID", "vatID", "cnpj"):
-                            out.append(("cnpj", v, "json_ld", f"Structured field {key}"))
-                        elif key == "sameAs" and "instagram.com" in v.lower():
-                            out.append(("instagram", v, "json_ld", "Structured field sameAs"))
-                    elif isinstance(v, dict) and key == "address":
-                        parts = [v.get(k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
-                        joined = ", ".join(p for p in parts if isinstance(p, str) and p.strip())
-                        if joined:
-                            out.append(("address", joined, "json_ld", "Structured field address"))
+            out += _linked(node)
     return out
 
 
@@ -221,6 +261,43 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def marker_evidence(pages: DataFrame, source: str, official: Column, max_chars: int = 1_000_000) -> DataFrame:
+    """WhatsApp evidence (schemas.EVIDENCE, with page_id for the company) of pages (page_id, url, html) that says so itself.
+
+    Links to WhatsApp count, in attributes and in the text; and, near each mention of the name that is no denial, the
+    number nearest to it. One row per kind and number of a page, the first. Pages without a public address give none.
+    """
+    schema = "page_id long, source_url string, seq int, evidence_type string, link string, context string, place int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for p, u, h in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                doc = _Page((h or "")[:max_chars])
+                text = html.unescape(" ".join(x for x in doc.parts if x != "\n"))
+                found = [("direct_link", x, "Public WhatsApp contact link", None) for x in [*(href for href, _, _ in doc.links if href), *(m.group() for m in DIRECT_LINK.finditer(text))]]
+                for m in MARKER.finditer(text):
+                    start = max(0, m.start() - 80)
+                    near = " ".join(text[start : m.end() + 100].split())
+                    if not NEGATIVE.search(near):
+                        found.append(("explicit_label", None, near, m.start() - start))
+                rows += [(p, u, i, *x) for i, x in enumerate(found)]
+            out = pd.DataFrame(rows, columns=["page_id", "source_url", "seq", "evidence_type", "link", "context", "place"])
+            yield out.astype({"place": "Int32"})
+
+    c = F.col
+    rows = pages.where(public_url(c("url")).isNotNull()).withColumn("__official", F.coalesce(official, F.lit(False)))
+    found = rows.select("page_id", "url", "html").mapInPandas(run, schema)
+    number = F.when(c("link").isNotNull(), F.concat(F.lit("55"), whatsapp_link(c("link")))).otherwise(nearest_phone(c("context"), c("place")))
+    found = found.withColumn("number", number).where(c("number").isNotNull())
+    first = found.groupBy("page_id", "source_url", "evidence_type", "number").agg(F.min_by(F.struct("link", "context"), "seq").alias("e"))
+    first = first.join(rows.select("page_id", F.col("url").alias("source_url"), "__official").distinct(), ["page_id", "source_url"])
+    return first.select(
+        "page_id", F.coalesce("e.link", "number").alias("value"), "evidence_type", "source_url", F.lit(source).alias("source"), c("__official").alias("official_source"), c("e.context").alias("context"),
+        F.when(c("evidence_type") == "explicit_label", F.lit("WhatsApp")).alias("field_name"), "number",
+    )
+
+
 def visible_text(pages: DataFrame) -> DataFrame:
     """page_id and the text of each page with a line per block."""
 

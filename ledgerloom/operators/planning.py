@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Request
 from ..functions import text as T
 
 #: Triggers found in a normalised category, and the terms it stands for (fixed values).
@@ -59,6 +60,12 @@ def query_variations(requests: DataFrame, limit: int = 4) -> DataFrame:
     return rows.select("*", F.posexplode(found).alias("position", "variation"))
 
 
+def variations(spark: SparkSession, request: Request, limit: int) -> list[str]:
+    """The queries of one request, in order."""
+    asked = spark.createDataFrame([(request.query, request.category, request.location)], "query string, category string, location string")
+    return [r.variation for r in query_variations(asked, limit).select("position", "variation").orderBy("position").collect()] or [request.query]
+
+
 def first_match(rows: DataFrame, text: Column, stems: tuple[tuple[str, str], ...], name: str) -> DataFrame:
     """rows with column `name`: of the (stem, value) pairs, in order, the value of the first whose stem the normalised text holds."""
     plain = T.normalize_text(text)

@@ -19,6 +19,7 @@ REASONS = {
     "all": "all words appear in the observed category",
     "most": "most words appear in the observed category",
     "evidence": "all words appear in public evidence",
+    "model": "decided by the classifier from the evidence cited",
     "unknown": "evidence neither confirms nor excludes the category",
 }
 
@@ -78,6 +79,29 @@ def refs_valid(refs: Column, allowed: Column, decided: Column) -> Column:
     return (F.size(F.array_except(refs, allowed)) == 0) & (~decided | F.coalesce(F.arrays_overlap(refs, about), F.lit(False)))
 
 
+def source_texts(sources: Column) -> Column:
+    """What a company's sources say of it that a classifier may see; their data is a JSON array of (key, value)."""
+    entries = F.flatten(F.transform(sources, lambda s: F.coalesce(F.from_json(s["data"], "array<struct<key:string,value:string>>"), F.array().cast("array<struct<key:string,value:string>>"))))
+    return T.safe_entries(entries)
+
+
+def with_classifier(judged: DataFrame, classifier: Callable[[pd.DataFrame], pd.DataFrame], budget: int, batch: int) -> DataFrame:
+    """Ranked rows of deterministic() (cluster, rank and its columns), of which the first `budget` that the rules leave open are put to a classifier.
+
+    Its answer stands where it decides; at most `budget` rows ever reach it.
+    """
+    c = F.col
+    wanted = judged.where(needs_classifier(budget)).orderBy("rank").limit(budget).select(c("cluster").alias("key"), "q", "c", "n", "s")
+    answers = classify(wanted, classifier, batch).where(c("category_match").isNotNull())
+    answers = answers.select(c("key").alias("cluster"), c("category_match").alias("a_match"), c("confidence").alias("a_confidence"), F.array_join("refs", ",").alias("a_refs"))
+    said = c("a_match").isNotNull()
+    rows = judged.join(F.broadcast(answers), "cluster", "left")
+    return rows.withColumns({
+        "category_match": F.coalesce("a_match", "category_match"), "qualification_confidence": F.when(said, c("a_confidence")).otherwise(c("qualification_confidence")),
+        "qualification_method": F.when(said, F.lit("model")).otherwise(c("qualification_method")), "qualification_reason": F.when(said, F.lit(REASONS["model"])).otherwise(c("qualification_reason")), "refs": F.coalesce("a_refs", "refs"),
+    }).drop("a_match", "a_confidence", "a_refs")
+
+
 def classify(rows: DataFrame, classifier: Callable[[pd.DataFrame], pd.DataFrame], batch: int = 10) -> DataFrame:
     """Rows with key, batch and context put through a pluggable classifier, batch by batch: key, category_match, confidence, refs.
 

@@ -119,11 +119,6 @@ def within_budget(entries: DataFrame, max_entries: int, max_bytes: int, by: list
     return entries.withColumns({"__n": F.row_number().over(w), "__b": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("__n") <= max_entries) & (F.col("__b") <= max_bytes)).drop("__n", "__b")
 
 
-def request_key(provider: Column, request: Column) -> Column:
-    """The key under which a source's answer to a request is kept."""
-    return F.concat_ws(":", provider, F.sha2(F.to_json(request).cast("binary"), 256))
-
-
 def blocks(scores: DataFrame) -> DataFrame:
     """rank and the block of candidates in which it competes."""
     edges = scores.select(F.concat(F.lit("r"), "rank").alias("a"), F.concat(F.lit("s"), "company_id").alias("b"))

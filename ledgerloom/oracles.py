@@ -173,6 +173,20 @@ SELECT p_partkey AS id, (['Restaurante italiano', 'Clínica odontológica', 'Ser
 FROM {part}
 """
 
+PAGED = """
+WITH leads AS (SELECT event_type AS provider, CAST(user_id % 4 AS INTEGER) AS variation, CAST(event_id % 7 AS INTEGER) AS page, event_id AS position, user_id * 8 + event_id % 8 AS identity FROM events),
+pages AS (SELECT provider, variation, page, count(*) AS raw, count(*) FILTER (position % 5 = 0) AS rejected,
+          CASE WHEN variation = 0 AND page = 3 THEN NULL WHEN variation = 1 AND page = 2 THEN 'c1' ELSE 'c' || page END AS cursor FROM leads GROUP BY provider, variation, page),
+stops AS (SELECT *, cursor IS NULL OR row_number() OVER (PARTITION BY provider, variation, cursor ORDER BY page) > 1 AS stop, row_number() OVER (PARTITION BY provider, variation ORDER BY page) AS nth FROM pages),
+reached AS (SELECT * FROM (SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY provider, variation ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM stops) WHERE NOT stopped AND nth <= 6),
+seen AS (SELECT l.*, row_number() OVER (PARTITION BY provider, identity ORDER BY variation, page, position) = 1 AS first FROM leads l SEMI JOIN reached r ON r.provider = l.provider AND r.variation = l.variation AND r.page = l.page),
+new AS (SELECT *, count(*) OVER (PARTITION BY provider) AS news, row_number() OVER (PARTITION BY provider ORDER BY variation, page, position) AS nth FROM seen WHERE first),
+ends AS (SELECT provider, variation, page, position, news FROM new WHERE nth = least(news, 300)),
+counted AS (SELECT s.provider, s.variation, count(*) FILTER (first) AS fresh, count(*) FILTER (NOT first) AS duplicates FROM seen s JOIN ends e USING (provider)
+            WHERE e.news < 300 OR (s.variation, s.page, s.position) <= (e.variation, e.page, e.position) GROUP BY s.provider, s.variation)
+"""
+
+
 ORACLES: dict[str, str] = {
     "norm_text": f"SELECT doc_id, {norm('text')} AS text_norm FROM documents",
     "norm_fingerprint": f"SELECT doc_id, sha256({norm('text')}) AS fp FROM documents",
@@ -180,7 +194,7 @@ ORACLES: dict[str, str] = {
     "phone_normalize": f"WITH obs AS ({duck(OBSERVATIONS)}) SELECT obs_id, '55' || {phone('phone')} AS phone, CASE length({phone('phone')}) WHEN 11 THEN 'mobile' WHEN 10 THEN 'landline' END AS kind, '55' || {phone('whatsapp')} AS whatsapp FROM obs",
     "url_normalize": f"WITH u AS (SELECT page_id, {url('url')} AS url_norm FROM pages) SELECT page_id, url_norm, {host('url_norm')} AS host FROM u",
     "url_export": rf"""
-WITH u AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=' || page_id || '&lang=pt&Api-Key=x&page=' || page_id % 7 AS u FROM pages WHERE NOT contains(url, '#')),
+WITH u AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=' || page_id || '&lang=pt&Api-Key=x&page=' || page_id % 7 AS u FROM (SELECT page_id, regexp_extract(url, '^([^#]*)', 1) AS url FROM pages)),
 q AS (SELECT page_id, u, string_split(regexp_extract(u, '\?(.*)$', 1), '&') AS items FROM u)
 SELECT page_id, regexp_extract(u, '^([^?]*)', 1) || coalesce('?' || nullif(array_to_string(list_filter(items, lambda p: p <> '' AND regexp_replace(lower(string_split(p, '=')[1]), '[^a-z0-9]+', '', 'g') NOT IN {_list(SENSITIVE_COMPACT)}
          AND NOT list_has_any(regexp_extract_all(lower(string_split(p, '=')[1]), '[a-z0-9]+'), [{", ".join(f"'{t}'" for t in SENSITIVE_TERMS)}])), '&'), ''), '') AS export_url
@@ -291,8 +305,51 @@ SELECT o_orderkey, CASE WHEN q[13] = CASE WHEN a < 2 THEN 0 ELSE 11 - a END AND
     "classifier_batches": "WITH r AS (SELECT c_custkey AS id, c_nationkey AS search_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT id, search_id, CAST((n - 1) // 4 AS INTEGER) AS batch, 'C' || ((n - 1) % 4 + 1) AS ref FROM r WHERE n <= 10",
     "search_counters": "SELECT c_nationkey AS search_id, count(*) AS results, count(*) FILTER (c_custkey % 3 = 0) AS whatsapp, count(*) FILTER (c_custkey % 6 = 0) AS confirmed, count(*) FILTER (c_custkey % 4 = 0) AS enriched, count(*) FILTER (c_custkey % 5 = 0) AS classified FROM customer GROUP BY c_nationkey",
     "enrichment_totals": "WITH r AS (SELECT s_suppkey, s_suppkey % 3 <> 0 AS attempted, CASE WHEN s_suppkey % 5 = 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 12, '0') || ': timeout' END AS error FROM supplier) SELECT count(*) FILTER (attempted) AS attempted, count(*) FILTER (attempted AND error IS NULL) AS enriched, count(*) FILTER (NOT attempted) AS skipped, array_to_string((list(error ORDER BY error) FILTER (error IS NOT NULL))[1:25], '|') AS errors, CASE WHEN count(*) > 50 THEN 1 ELSE 0 END AS limit_reached FROM r",
-    "robots_filter": f"WITH u AS (SELECT page_id, url, html, {url('url')} AS u FROM pages) SELECT page_id FROM u WHERE strlen(html) <= 20000 AND NOT (length({host('u')}) % 3 = 0 AND starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/'))",
+    "robots_filter": f"WITH u AS (SELECT page_id, url, html, {url('url')} AS u FROM pages) SELECT page_id FROM u WHERE strlen(html) <= 512000 AND NOT (length({host('u')}) % 3 = 0 AND starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/'))",
     "official_sites": "SELECT s_suppkey AS cluster FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0",
     "preferred_phone": "SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE '3' END || s_suppkey AS phone FROM supplier",
     "persist_results": f"SELECT rank, confidence FROM ({duck(RESULTS)})",
+    "html_links_ranked": """
+WITH l AS (SELECT s_suppkey AS k, unnest([
+    {'p': '/sobre', 'r': 3}, CASE WHEN s_suppkey % 2 = 0 THEN {'p': '/fale-conosco', 'r': 0} ELSE {'p': '/a', 'r': 0} END, CASE WHEN s_suppkey % 3 = 0 THEN {'p': '/x', 'r': 2} END]) AS l FROM supplier)
+SELECT k AS page_id, 'https://site' || k || '.example.com' || l.p AS target, l.r AS rank, CAST(row_number() OVER (PARTITION BY k ORDER BY l.r, length(l.p), l.p) AS INTEGER) AS place FROM l WHERE l IS NOT NULL""",
+    "paged_collection": PAGED + "SELECT provider, variation, page, position, CASE WHEN news >= 300 THEN 1 ELSE 0 END AS limit_reached FROM new WHERE nth <= 300",
+    "paged_metrics": PAGED + """
+SELECT r.provider, r.variation, sum(r.raw)::BIGINT AS raw, sum(r.rejected)::BIGINT AS rejected, coalesce(any_value(d.duplicates), 0) AS duplicates, coalesce(any_value(d.fresh), 0) AS new, count(*) AS pages, CASE WHEN any_value(e.news) >= 300 THEN 1 ELSE 0 END AS limit_reached
+FROM reached r JOIN ends e USING (provider) LEFT JOIN counted d ON d.provider = r.provider AND d.variation = r.variation
+WHERE e.news < 300 OR (r.variation, r.page) <= (e.variation, e.page) GROUP BY r.provider, r.variation""",
+    "finished_searches": PAGED + """,
+m AS (SELECT r.provider, r.variation, count(*) AS pages FROM reached r JOIN ends e USING (provider) WHERE e.news < 300 OR (r.variation, r.page) <= (e.variation, e.page) GROUP BY r.provider, r.variation),
+s AS (SELECT m.provider, sum(coalesce(d.fresh, 0))::BIGINT AS new, sum(m.pages)::BIGINT AS pages, count(*) AS variations FROM m LEFT JOIN counted d USING (provider, variation) GROUP BY m.provider)
+SELECT 7 AS search_id, coalesce(s.provider, f.provider) AS provider, new, pages, variations, CASE WHEN f.provider IS NULL THEN 'succeeded' WHEN coalesce(new, 0) > 0 THEN 'partial' ELSE 'failed' END AS status
+FROM s FULL JOIN (VALUES ('click'), ('nowhere')) f(provider) ON f.provider = s.provider""",
+    "geocode_areas": """
+SELECT 'Á ' || n_name AS location, 'Á ' || n_name || ', Brasil' AS query,
+       CASE WHEN ok THEN n_nationkey - 10.0 END AS south, CASE WHEN ok THEN CAST(n_nationkey AS DOUBLE) END AS north, CASE WHEN ok THEN -46.5 END AS west, CASE WHEN ok THEN -40.0 END AS east, CASE WHEN ok THEN n_name END AS city, CASE WHEN ok THEN 'SP' END AS state
+FROM (SELECT *, n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AS ok FROM nation)""",
+    "robots_policy": r"""
+WITH u AS (SELECT page_id, url, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '')) AS origin, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT *, CASE WHEN length(origin) % 11 > 0 THEN ([200, 200, 403, 404, 429, 503, 200])[length(origin) % 7 + 1] END AS status FROM u)
+SELECT page_id, CASE WHEN status IS NULL OR status = 404 THEN 'allowed' WHEN status = 403 THEN 'denied' WHEN status IN (429, 503) THEN 'error'
+  WHEN starts_with(path, '/en/1') THEN 'allowed' WHEN starts_with(path, '/en/') OR starts_with(path, '/de') THEN 'denied' ELSE 'allowed' END AS robots FROM s""",
+    "marker_evidence": """
+WITH n AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 8, '5') AS five, lpad(CAST(s_suppkey AS VARCHAR), 8, '6') AS six, lpad(CAST(s_suppkey AS VARCHAR), 8, '7') AS seven, lpad(CAST(s_suppkey AS VARCHAR), 8, '8') AS eight FROM supplier WHERE s_suppkey % 9 <> 0),
+e AS (SELECT k, 'direct_link' AS evidence_type, '55119' || seven AS number FROM n WHERE k % 4 = 0 UNION ALL SELECT k, 'explicit_label', '55119' || eight FROM n WHERE k % 4 = 1
+  UNION ALL SELECT k, 'direct_link', '55119' || six FROM n WHERE k % 4 = 3 UNION ALL SELECT k, 'explicit_label', unnest(list_distinct(['55119' || five, '55119' || six])) FROM n WHERE k % 4 = 3)
+SELECT k AS page_id, evidence_type, number, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS official FROM e""",
+    "retry_delays": """
+WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 100 AS DOUBLE) WHEN c_custkey % 4 = 1 THEN greatest(0.0, c_custkey % 60 * 60.0 - 30) END AS asked FROM customer)
+SELECT c_custkey, asked, least(60.0, coalesce(asked, 0.5 * pow(2, c_custkey % 9))) AS wait FROM r""",
+    "redacted_fields": "SELECT c_custkey AS id, c_name AS name, '***' AS api_key, '***' AS token, c_custkey AS n, '***' AS auth, c_name AS page FROM customer",
+    "classifier_counters": """
+SELECT (SELECT count(DISTINCT event_id % 1000) FROM events WHERE event_id % 3 <> 0) AS calls, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS cache_hits,
+  (SELECT string_agg(d, '|' ORDER BY seq) FROM (SELECT 'refused ' || event_id % 4 AS d, min(event_id) AS seq FROM events WHERE event_id % 100 = 7 GROUP BY 1)) AS diagnostics""",
+    "hydrated_results": """
+SELECT o_orderkey AS result_id, c_name AS name, s.providers, coalesce(e.n, 0)::INTEGER AS evidence FROM orders JOIN customer ON c_custkey = o_custkey
+LEFT JOIN (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS providers FROM lineitem GROUP BY 1) s ON s.l_orderkey = o_orderkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) e ON e.l_orderkey = o_orderkey""",
+    "persist_evidence": f"""
+WITH r AS ({duck(RESULTS)})
+SELECT rank * 10 AS result_id, rank * 100 AS company_id, 'whatsapp' AS contact_type, unnest(['direct_link', 'explicit_label']) AS evidence_type, CASE WHEN rank % 2 = 0 THEN 1 ELSE 0 END AS official FROM r WHERE rank % 3 > 0
+UNION ALL SELECT rank * 10, rank * 100, 'phone', 'tel_link', 1 FROM r WHERE phone = CASE WHEN rank % 2 = 0 THEN phone ELSE '551130001111' END""",
 }

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Request, Settings
 from ..functions import text as T
 from ..functions.urls import DIRECTORY_HOSTS, host_of, normalize_url, website_host
-from ..operators import contacts, metrics, qualify, resolve
+from ..operators import contacts, metrics, planning, qualify, resolve
+from ..operators.cache import Cache, remembered
 from ..operators.graph import cut
-from ..operators.page_evidence import page_evidence
+from ..operators.page_evidence import crawl, page_evidence
 from ..sources.base import Source
 
 #: Words of names that don't tell a company from others (fixed values).
 GENERIC_TOKENS = ("brasil", "clinica", "contabilidade", "empresa", "grupo", "mecanica", "odontologia", "oficina", "restaurante", "servicos")
 
 
-def scan(spark: SparkSession, request: Request, sources: list[Source], settings: Settings = Settings()) -> DataFrame:
-    """Leads of all sources, each source's identities once and capped."""
+def asked(spark: SparkSession, request: Request, source: Source, settings: Settings) -> list[Request]:
+    """The request, or for a source that knows them its variations, of which the driver holds a handful."""
+    if not source.capabilities.query_variations:
+        return [request]
+    return [replace(request, query=q) for q in planning.variations(spark, request, settings.query_variations)]
+
+
+def scan(spark: SparkSession, request: Request, sources: list[Source], settings: Settings = Settings(), cache: Cache | None = None) -> DataFrame:
+    """Leads of all sources and their variations, each source's identities once and capped."""
     leads = None
     for source in sources:
-        part = source.read(spark, request)
-        leads = part if leads is None else leads.unionByName(part)
+        for position, one in enumerate(asked(spark, request, source, settings)):
+            part = remembered(cache, spark, source, one) if cache is not None else source.read(spark, one)
+            part = part.withColumn("__variation", F.lit(position))
+            leads = part if leads is None else leads.unionByName(part)
     if leads is None:
         raise ValueError("no source is configured")
-    order = [F.col("external_id"), F.col("source_url"), F.col("name"), F.col("obs_id")]
-    return metrics.capped(metrics.first_seen(leads, order), order, settings.max_items_per_source)
+    order = [F.col("__variation"), F.col("external_id"), F.col("source_url"), F.col("name"), F.col("obs_id")]
+    leads = metrics.first_seen(leads, order)
+    return metrics.capped(leads, order, settings.max_items_per_source).drop("__variation")
 
 
 def needs_enrichment(companies: DataFrame) -> DataFrame:
@@ -63,14 +78,24 @@ def site_observations(companies: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, request: Request, sources: list[Source], pages: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """Ranked companies of a search, with contact decisions and qualification."""
-    leads = cut(scan(spark, request, sources, settings).drop("limit_reached"))
+def run(
+    spark: SparkSession, request: Request, sources: list[Source], pages: DataFrame | None = None, settings: Settings = Settings(),
+    classifier: Callable[[pd.DataFrame], pd.DataFrame] | None = None, cache: Cache | None = None,
+) -> DataFrame:
+    """Ranked companies of a search, with contact decisions and qualification.
+
+    Sources that know query variations are asked for each; a cache keeps their answers. Of stored pages those that a crawl of
+    enrichment_pages reaches from a company's website give evidence. What the rules leave open goes to the classifier, if there
+    is one, within classifier_rows.
+    """
+    leads = cut(scan(spark, request, sources, settings, cache).drop("limit_reached"))
     companies = resolve.resolve(leads, settings.host_block_rows)
     evidence = None
     if pages is not None:
         wanted = resolve.ranked(attributed(needs_enrichment(companies))).where(F.col("rank") <= settings.enrichment_companies)
-        evidence = cut(page_evidence(pages))
+        starts = wanted.select(normalize_url(F.col("website")).alias("start")).distinct()
+        near = crawl(pages.withColumn("url", normalize_url(F.col("url"))), starts, settings.enrichment_pages).select("url").distinct()
+        evidence = cut(page_evidence(pages.withColumn("url", normalize_url(F.col("url"))).join(near, "url", "left_semi")))
         extra = cut(site_observations(wanted, evidence))
         leads = leads.unionByName(extra)
         companies = resolve.resolve(leads, settings.host_block_rows)
@@ -86,6 +111,8 @@ def run(spark: SparkSession, request: Request, sources: list[Source], pages: Dat
         records = records.unionByName(more.select("company_id", "value", contacts.bridged_type(F.col("evidence_type")).alias("evidence_type"), F.col("url").alias("source_url"), F.lit("official_website").alias("source"), F.lit(True).alias("official_source"), F.col("excerpt").alias("context"), F.lit("WhatsApp").alias("field_name")))
     decided = contacts.decisions(companies.select(F.col("cluster").alias("company_id"), "phone"), records).withColumnRenamed("company_id", "cluster")
     told = companies.drop("phone", "whatsapp").join(decided.select("cluster", "phone", "whatsapp", F.col("status").alias("whatsapp_status")), "cluster")
-    asked = told.withColumns({"requested": F.lit(request.category), "source_texts": F.array().cast("array<string>")})
-    judged = qualify.deterministic(qualify.with_context(asked)).drop("q", "c", "n", "s", "requested", "source_texts", "refs")
-    return resolve.ranked(judged)
+    context = qualify.with_context(told.withColumns({"requested": F.lit(request.category), "source_texts": qualify.source_texts(F.col("sources"))}))
+    judged = resolve.ranked(qualify.deterministic(context))
+    if classifier is not None and settings.classifier_rows:
+        judged = qualify.with_classifier(cut(judged), classifier, settings.classifier_rows, settings.classifier_batch)
+    return judged.drop("q", "c", "n", "s", "requested", "source_texts", "refs")

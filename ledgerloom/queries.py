@@ -12,10 +12,10 @@ from pyspark.sql.functions import lit
 from . import fixtures, oracles
 from .config import Request
 from .functions import phones, text, urls
-from .operators import contacts, metrics, page_evidence, planning, qualify, resolve, serve, storage
+from .operators import cache, contacts, metrics, page_evidence, planning, qualify, resolve, serve, storage
 from .operators.graph import connected_components, cut
 from .plans import persist, search
-from .sources import osm, places, web
+from .sources import geocode, osm, paging, places, web
 from .sources.base import Capabilities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +84,9 @@ def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").where(~F.contains(c("url"), lit("#")))
-    u = F.concat(c("url"), F.when(F.contains(c("url"), lit("?")), "&").otherwise("?"), lit("token="), c("page_id"), lit("&lang=pt&Api-Key=x&page="), c("page_id") % 7)
+    rows = table(spark, sf_dir, "pages")
+    plain, end = F.regexp_extract("url", "^([^#]*)", 1), F.regexp_extract("url", "(#.*)?$", 1)
+    u = F.concat(plain, F.when(F.contains(plain, lit("?")), "&").otherwise("?"), lit("token="), c("page_id"), lit("&lang=pt&Api-Key=x&page="), c("page_id") % 7, end)
     return rows.select("page_id", urls.export_url(u).alias("export_url"))
 
 
@@ -250,8 +251,8 @@ def cache_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ttl_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(c("user_id").alias("key"), "ts", c("props").alias("payload"))
-    now = e.agg(F.max("ts").alias("now"))
-    return metrics.fresh(e, lit(now.first()["now"]), 7 * 86_400).select("key", "ts")
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))
+    return metrics.fresh(e, now, 7 * 86_400).select("key", "ts")
 
 
 @query
@@ -337,7 +338,10 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "company_id": c("cluster"), "result_id": c("cluster"), "search_id": lit(1), "whatsapp_status": F.when(c("whatsapp").isNull(), "not_found").otherwise("unconfirmed"), "category_match": lit(None).cast("boolean"),
         "qualification_confidence": lit(25), "qualification_method": lit("deterministic"), "qualification_reason": lit(None).cast("string"), "collected_at": lit("2026-01-01 00:00:00").cast("timestamp"),
         "sources": F.transform("sources", lambda s: F.struct(F.initcap(s["provider"]).alias("display_name"), s["provider"].alias("provider"), s["source_url"].alias("source_url"))),
-        "evidence": F.array().cast("array<struct<contact_type:string,evidence_type:string,source_provider:string,source_url:string,normalized_value:string,official_source:boolean,excerpt:string>>"),
+        "evidence": F.when(c("whatsapp").isNotNull(), F.array(*[
+            F.struct(lit("whatsapp").alias("contact_type"), lit(kind).alias("evidence_type"), lit(by).alias("source_provider"), F.concat(lit("https://a.example.com/?token=x&n="), c("whatsapp")).alias("source_url"), c("whatsapp").alias("normalized_value"), lit(official).alias("official_source"), lit(said).alias("excerpt"))
+            for kind, by, official, said in (("claimed_number", "tavily", False, ""), ("explicit_label", "official_website", True, "WhatsApp"))
+        ])),
     })
     return serve.export_rows(rows)
 
@@ -387,7 +391,14 @@ def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_links_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_evidence.ranked_contact_links(page_evidence.page_links(table(spark, sf_dir, "pages")))
+    k = c("s_suppkey")
+    link = lambda href, label, more="": F.concat(lit(f'<a {more} href="{href}">'), label, lit("</a>"))
+    body = F.concat(
+        link("/sobre", lit("Sobre")), F.when(k % 2 == 0, link("/fale-conosco", lit("Escreva"))).otherwise(link("/a", lit("Contato"))), link("/contato.pdf", lit("contato")),
+        link("https://other.example.org/contato", lit("contato")), link("/contato", lit("contato"), 'rel="nofollow"'), F.when(k % 3 == 0, link("/x", lit("<img alt='Nossas unidades'>"))).otherwise(link("/blog", lit("Blog"))),
+    )
+    pages = table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.concat(lit("https://site"), k, lit(".example.com/")).alias("url"), body.alias("html"))
+    return page_evidence.ranked_contact_links(page_evidence.page_links(pages)).select("page_id", "target", c("rank").cast("int").alias("rank"), "place")
 
 
 @query
@@ -497,7 +508,7 @@ def enrichment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     denied = pages.select(urls.website_host(c("url")).alias("host")).distinct().where(F.length("host") % 3 == 0).select("host", lit("/en/").alias("path"))
-    return web.allowed_by_robots(web.fetchable(pages, 20_000), denied).select("page_id")
+    return web.allowed_by_robots(web.fetchable(pages), denied).select("page_id")
 
 
 @query
@@ -511,9 +522,9 @@ def official_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def preferred_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = c("s_suppkey")
-    kinds = ("visible_text", "tel_link", "json_ld", "tel_link")
+    kinds = ("visible_text", "meta_tag", "structured_data", "meta_tag")
     rows = table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.posexplode(F.array(*[F.struct(lit(x).alias("evidence_type"), F.concat(lit(str(i)), k).alias("value")) for i, x in enumerate(kinds)])).alias("seq", "e"))
-    rows = rows.where((c("page_id") % 2 == 0) | (c("e.evidence_type") != "json_ld")).select("page_id", "seq", lit("phone").alias("field"), "e.value", "e.evidence_type", F.when(c("seq") == 3, "https://x.example.com/contato").otherwise("https://x.example.com/").alias("url"))
+    rows = rows.where((c("page_id") % 2 == 0) | (c("e.evidence_type") != "structured_data")).select("page_id", "seq", lit("phone").alias("field"), "e.value", "e.evidence_type", F.when(c("seq") == 3, "https://x.example.com/contato").otherwise("https://x.example.com/").alias("url"))
     return contacts.preferred_phone(rows)
 
 
@@ -534,6 +545,116 @@ def persist_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persisted(spark, sf_dir)["companies"].agg(F.count(lit(1)).alias("companies"), F.count("cnpj").alias("with_tax_id"))
 
 
+# --- answers of sources
+
+
+def paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as leads on pages of four variations; page 3 ends a variation, page 5 repeats the cursor of page 1 in one."""
+    e = table(spark, sf_dir, "events")
+    leads = e.select(c("event_type").alias("provider"), (c("user_id") % 4).cast("int").alias("variation"), (c("event_id") % 7).cast("int").alias("page"), c("event_id").alias("position"), (c("user_id") * 8 + c("event_id") % 8).cast("string").alias("external_id"), *[lit(None).cast("string").alias(x) for x in ("source_url", "name", "phone", "address")])
+    cursor = F.when((c("variation") == 0) & (c("page") == 3), lit(None)).when((c("variation") == 1) & (c("page") == 2), lit("c1")).otherwise(F.concat(lit("c"), c("page")))
+    pages = leads.groupBy("provider", "variation", "page").agg(F.count(lit(1)).alias("raw"), F.count_if(c("position") % 5 == 0).alias("rejected")).withColumn("next_cursor", cursor)
+    return leads, pages
+
+
+@query
+def paged_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.collected(*paged(spark, sf_dir), 6, 300).where(~c("duplicate")).select("provider", "variation", "page", "position", c("limit_reached").cast("int").alias("limit_reached"))
+
+
+@query
+def paged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.variation_metrics(*paged(spark, sf_dir), 6, 300).withColumn("limit_reached", c("limit_reached").cast("int"))
+
+
+@query
+def geocode_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("n_nationkey").cast("double")
+    box = F.array((k - 10).cast("string"), F.when(c("n_nationkey") % 5 == 0, k - 20).otherwise(k).cast("string"), lit("-46.5"), F.when(c("n_nationkey") % 7 == 0, lit("x")).otherwise(lit("-40")))
+    address = F.create_map(lit("state"), lit(" SP "), F.when(c("n_nationkey") % 2 == 0, "town").otherwise("city"), c("n_name"))
+    answers = table(spark, sf_dir, "nation").select(F.concat(lit("Á "), "n_name").alias("location"), F.array(F.struct(box.alias("boundingbox"), address.alias("address"), c("n_name").alias("display_name"))).alias("results"))
+    asked = answers.select("location", geocode.geocode_query(F.when(F.length("location") % 2 == 0, F.concat("location", lit(", Brasil"))).otherwise(c("location"))).alias("query"))
+    return geocode.located(asked, geocode.areas(answers)).select("location", "query", "south", "north", "west", "east", "city", "state")
+
+
+@query
+def robots_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    statuses = F.array(*[lit(x) for x in (200, 200, 403, 404, 429, 503, 200)])
+    body = lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en/\nDisallow: /de\n")
+    origins = pages.select(web.origin_of(c("url")).alias("origin")).where("origin is not null").distinct()
+    robots = origins.where(F.length("origin") % 11 > 0).select("origin", F.get(statuses, F.length("origin") % 7).alias("status"), body.alias("body"))
+    return web.robots_verdicts(pages, robots, "ledgerloom").select("page_id", "robots")
+
+
+@query
+def marker_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("s_suppkey")
+    number = lambda d: F.concat(lit("9"), F.lpad(k.cast("string"), 8, d))
+    body = (
+        F.when(k % 4 == 0, F.concat(lit('<a href="https://wa.me/5511'), number("7"), lit('">Fale</a>')))
+        .when(k % 4 == 1, F.concat(lit("<p>Fixo (11) 3456-7890. WhatsApp (11) "), number("8"), lit("</p>")))
+        .when(k % 4 == 2, F.concat(lit("<p>Não temos WhatsApp (11) "), number("8"), lit("</p>")))
+        .otherwise(F.concat(lit("<p>Veja https://api.whatsapp.com/send?phone=5511"), number("6"), lit(" e WhatsApp: (11) "), number("5"), lit("</p><script>WhatsApp (11) 91111-2222</script>")))
+    )
+    pages = table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.when(k % 9 == 0, "http://localhost/").otherwise(F.concat(lit("https://site"), k, lit(".example.com/"))).alias("url"), body.alias("html"))
+    return page_evidence.marker_evidence(pages, "site", c("page_id") % 2 == 0).select("page_id", "evidence_type", "number", c("official_source").cast("int").alias("official"))
+
+
+@query
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("c_custkey")
+    said = F.when(k % 4 == 0, (k % 100).cast("string")).when(k % 4 == 1, F.concat(lit("Thu, 01 Jan 2026 00:"), F.lpad((k % 60).cast("string"), 2, "0"), lit(":00 GMT"))).when(k % 4 == 2, "soon")
+    asked = cache.retry_after(said, lit("2026-01-01 00:00:30").cast("timestamp"))
+    return table(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"), cache.backoff(k % 9, 0.5, 60.0, asked).alias("wait"))
+
+
+@query
+def redacted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), F.struct(
+        c("c_name").alias("name"), lit("s3").alias("API_KEY"), F.array(F.struct(lit("x").alias("sessionToken"), c("c_custkey").alias("n"))).alias("calls"), F.create_map(lit("Authorization"), lit("Bearer"), lit("page"), c("c_name")).alias("headers"),
+    ).alias("fields"))
+    shown = metrics.redacted(c("fields"), rows.schema["fields"].dataType)
+    return rows.select("id", shown.alias("f")).select("id", "f.name", c("f.API_KEY").alias("api_key"), c("f.calls")[0]["sessionToken"].alias("token"), c("f.calls")[0]["n"].alias("n"), c("f.headers")["Authorization"].alias("auth"), c("f.headers")["page"].alias("page"))
+
+
+@query
+def classifier_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("event_id")
+    rows = table(spark, sf_dir, "events").select(k.alias("seq"), (k % 1000).alias("batch"), (k % 3 == 0).alias("cached"), F.when(k % 100 == 7, F.concat(lit("refused "), k % 4)).alias("diagnostic"))
+    return metrics.classifier_counters(rows).withColumn("diagnostics", F.array_join("diagnostics", "|"))
+
+
+@query
+def hydrated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("o_orderkey")
+    results = table(spark, sf_dir, "orders").select(k.alias("result_id"), c("o_custkey").alias("company_id"), (k % 100).cast("int").alias("rank"))
+    companies = table(spark, sf_dir, "customer").select(c("c_custkey").alias("company_id"), c("c_name").alias("name"))
+    lines = table(spark, sf_dir, "lineitem")
+    sources = lines.select(c("l_orderkey").alias("result_id"), F.concat(lit("Source "), "l_linenumber").alias("display_name"), c("l_linenumber").cast("string").alias("provider"), lit(None).cast("string").alias("source_url"))
+    evidence = lines.where("l_linenumber = 1").select(c("l_orderkey").alias("result_id"), *[lit(x).alias(n) for n, x in (("contact_type", "whatsapp"), ("evidence_type", "direct_link"), ("source_provider", "site"), ("source_url", "https://a.example.com/"), ("normalized_value", "5511"), ("official_source", True), ("excerpt", ""))])
+    rows = serve.hydrated(results, companies, sources, evidence)
+    return rows.select("result_id", "name", F.array_join(F.transform("sources", lambda s: s["provider"]), ",").alias("providers"), F.size(F.coalesce("evidence", F.array())).alias("evidence"))
+
+
+@query
+def persist_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, _ = results_and_stored(spark, sf_dir)
+    k = c("rank")
+    number = F.concat(lit("55119"), F.lpad(k.cast("string"), 8, "8"))
+    said = r.select("rank", F.when(k % 3 > 0, F.concat(lit("https://site"), k, lit(".example.com/"))).alias("url"), F.explode(F.array(lit("direct_link"), lit("explicit_label"), lit("direct_link"))).alias("evidence_type"), lit("site").alias("source"), number.alias("number"), (k % 2 == 0).alias("official_source"), lit("WhatsApp").alias("context"))
+    phones_seen = r.select("rank", lit("phone").alias("field"), F.when(k % 2 == 0, c("phone")).otherwise(lit("551130001111")).alias("value"), lit("tel_link").alias("evidence_type"), lit("https://a.example.com/").alias("source_url"), lit("x").alias("excerpt"))
+    results = r.select("rank", (k * 10).alias("result_id"), (k * 100).alias("company_id"))
+    return persist.evidence_rows(results, r, said, phones_seen).select("result_id", "company_id", "contact_type", "evidence_type", c("official_source").cast("int").alias("official"))
+
+
+@query
+def finished_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variations = paging.variation_metrics(*paged(spark, sf_dir), 6, 300)
+    failed = spark.createDataFrame([("click", "timeout"), ("nowhere", "refused")], "provider string, error string")
+    return metrics.run_rows(lit(7), variations, failed).select("search_id", "provider", "new", "pages", "variations", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ GENERIC = r"(?iuU)\b(?:resultados? de busca|pesquisa|categoria)\b"
 SEPARATOR = r"(?U)\s+[|\-–—]\s+"
 
 
+#: Most robots.txt answers that are broadcast; more are joined by shuffling.
+BROADCAST_ORIGINS = 20_000
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     fields = ",".join(x.replace(" ", ":", 1) for x in WEB_RESULT.split(", "))
     return spark.read.option("multiLine", True).schema(f"request_id string, results array<struct<{fields}>>").json(path).select("request_id", F.explode("results").alias("r")).select("request_id", "r.*")
@@ -62,10 +69,51 @@ def result_leads(results: DataFrame, request: Request) -> DataFrame:
     )
 
 
-def fetchable(pages: DataFrame, max_bytes: int = 1_000_000) -> DataFrame:
-    """Stored pages that a fetch would have accepted: public address, HTML, within the size bound."""
+def fetchable(pages: DataFrame, max_bytes: int = 512_000, max_redirects: int = 5) -> DataFrame:
+    """Stored pages that a fetch would have accepted: public address, HTML, within the size bound.
+
+    Where there is a column `hops` (urls of redirects, in order), there are max_redirects at most and each is public too;
+    where there is `status`, it is a success.
+    """
+    c = F.col
     html = F.coalesce(F.lower("content_type").rlike(r"^(?:text/html|application/xhtml\+xml)"), F.lit(True)) if "content_type" in pages.columns else F.lit(True)
-    return pages.where(public_url(F.col("url")).isNotNull() & html & (F.octet_length("html") <= max_bytes))
+    hops = (F.coalesce(F.size("hops"), F.lit(0)) <= max_redirects) & F.coalesce(F.forall("hops", lambda u: public_url(u).isNotNull()), F.lit(True)) if "hops" in pages.columns else F.lit(True)
+    status = F.coalesce(c("status").between(200, 299), F.lit(True)) if "status" in pages.columns else F.lit(True)
+    return pages.where(public_url(c("url")).isNotNull() & html & hops & status & (F.octet_length("html") <= max_bytes))
+
+
+def origin_of(url: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)), F.lit(""))
+
+
+@lru_cache(maxsize=1024)
+def _robots(body: str) -> RobotFileParser:
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    return parser
+
+
+def robots_verdicts(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """Pages (url and others) with `robots`: allowed, denied or error, by stored robots.txt answers (origin, status, body).
+
+    401 and 403 deny all, other answers from 400 on but 429 allow all, 429 and from 500 on are errors; so allow origins without an
+    answer. Of a body the group of the agent counts, else that of `*`, and in it the first rule that fits.
+    """
+    c = F.col
+    told = robots.groupBy(F.lower("origin").alias("__origin")).agg(F.min_by(F.struct("status", "body"), F.struct("status", "body")).alias("__r"))
+    told = F.broadcast(told) if told.count() <= BROADCAST_ORIGINS else told
+
+    @F.pandas_udf("boolean")
+    def permits(url: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([_robots(b or "").can_fetch(agent, u or "") for u, b in zip(url, body, strict=True)], dtype=bool)
+
+    rows = pages.withColumn("__page_origin", origin_of(c("url"))).join(told, c("__page_origin") == c("__origin"), "left")
+    status = c("__r.status")
+    verdict = (
+        F.when(status.isNull(), "allowed").when(status.isin(401, 403), "denied").when((status == 429) | (status >= 500), "error").when(status >= 400, "allowed")
+        .when(permits("url", "__r.body"), "allowed").otherwise("denied")
+    )
+    return rows.withColumn("robots", verdict).drop("__page_origin", "__origin", "__r")
 
 
 def allowed_by_robots(pages: DataFrame, denied: DataFrame) -> DataFrame:

@@ -7,14 +7,17 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 import __spark_entry__
 from ledgerloom import queries as record_queries
 from ledgerloom.config import Request, Settings
-from ledgerloom.operators import contacts, metrics, page_evidence, planning, qualify, resolve, serve, storage
+from ledgerloom.operators import cache, contacts, metrics, page_evidence, planning, qualify, resolve, serve, storage
 from ledgerloom.operators.graph import connected_components
+from ledgerloom.plans import search
 from ledgerloom.schemas import EVIDENCE, LEAD, OSM_ELEMENT
 from ledgerloom.sources import base, osm, web
+from ledgerloom.sources.base import Capabilities, as_leads
 from ledgerloom.streaming import states
 
 SF = "/root/testdata/sf0.001"
@@ -123,8 +126,8 @@ def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://loja.example.com/", page), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
     got = {(r.field, r.value, r.evidence_type) for r in page_evidence.page_evidence(pages).collect()}
     assert got == {
-        ("whatsapp", "5511998765432", "whatsapp_link"), ("phone", "551134567890", "tel_link"), ("address", "Rua das Flores, 10", "address_element"), ("phone", "551134567891", "json_ld"),
-        ("instagram", "https://www.instagram.com/loja/", "json_ld"), ("whatsapp", "5511998765433", "explicit_whatsapp_label"), ("phone", "551134567892", "structured_field"), ("cnpj", "04252011000110", "visible_text"),
+        ("whatsapp", "5511998765432", "whatsapp_link"), ("phone", "551134567890", "tel_link"), ("address", "Rua das Flores, 10", "address_element"), ("phone", "551134567891", "structured_data"),
+        ("instagram", "https://www.instagram.com/loja/", "structured_data"), ("whatsapp", "5511998765433", "explicit_whatsapp_label"), ("phone", "551134567892", "html_attribute"), ("cnpj", "04252011000110", "visible_text"),
     }
 
 
@@ -193,7 +196,7 @@ def test_workbook_and_csv(spark, tmp_path):
 
 
 def test_log_fields_are_redacted(spark):
-    got = spark.range(1).select(metrics.redacted(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("step"), F.lit("y"))).alias("m")).first().m
+    got = spark.range(1).select(metrics.redacted(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("step"), F.lit("y")), MapType(StringType(), StringType())).alias("m")).first().m
     assert got == {"api_key": "***", "step": "y"}
 
 
@@ -207,3 +210,72 @@ def test_streams(spark, tmp_path):
     assert sorted((r.kind, r.n, r.value) for r in counts.collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
     newest = states.run_available(states.latest(stream(), "kind", "ts", "1 hour", "event_id"), "newest", str(tmp_path / "c3"), "complete")
     assert sorted((r.kind, r.event_id) for r in newest.collect()) == [("a", 2), ("b", 3)]
+
+
+def test_linked_data_and_attributes(spark):
+    page = """<html><head><meta property="og:phone_number" name="telephone" content="(11) 3456-7890"></head><body><a href="/x" aria-label="Nosso WhatsApp" title="t"><img alt="logo">Fale</a>
+      <span id="whatsapp-box" data-number="11 99876-5432"></span><noscript><a href="https://wa.me/5511911112222">x</a></noscript><script src="a.js">var whatsapp = 1</script>
+      <script type="application/json+ld; charset=utf-8">[{"@type": ["Store"], "contactPhone": ["(11) 3456-7891"], "contact:whatsapp": "https://wa.me/5511998765433", "url": "https://instagram.com/loja",
+        "location": {"@type": "PostalAddress", "streetAddress": "Rua A, 1", "addressRegion": "SP"}, "vatID": "04.252.011/0001-10"}]</script></body></html>"""
+    pages = spark.createDataFrame([(1, "https://loja.example.com/", page)], "page_id long, url string, html string")
+    got = {(r.field, r.value, r.evidence_type) for r in page_evidence.page_evidence(pages).collect()}
+    assert got == {
+        ("phone", "551134567890", "meta_tag"), ("whatsapp", "5511998765432", "explicit_whatsapp_label"), ("phone", "551134567891", "structured_data"), ("whatsapp", "5511998765433", "whatsapp_link"),
+        ("instagram", "https://www.instagram.com/loja/", "structured_data"), ("address", "Rua A, 1, SP", "structured_data"), ("cnpj", "04252011000110", "structured_data"),
+    }
+    assert [(r.label) for r in page_evidence.page_links(pages).collect()] == ["Nosso WhatsApp t logo Fale"]
+
+
+def test_a_cache_keeps_answers_for_a_time(spark, tmp_path):
+    now = [100.0]
+    kept = cache.TableCache(spark, str(tmp_path / "cache"), ttl_seconds=10, max_entries=2, clock=lambda: now[0])
+
+    class Counted:
+        name, reads = "counted", 0
+
+        def read(self, spark, request):
+            self.reads += 1
+            return spark.createDataFrame([(self.reads,)], "n int")
+
+    source, request = Counted(), Request(query="padarias em Recife")
+    value = lambda: cache.remembered(kept, spark, source, request).first()["n"]
+    assert [value(), value()] == [1, 1]
+    now[0] = 111.0
+    assert value() == 2 and kept.get("other") is None
+    for i in range(3):
+        now[0] += 1
+        kept.set(f"k{i}", spark.createDataFrame([(i,)], "n int"))
+    assert kept.get("k0") is None and [kept.get(f"k{i}").first()["n"] for i in (1, 2)] == [1, 2]
+    assert kept.delete("k1") and not kept.delete("k1")
+    kept.clear()
+    assert kept.get("k2") is None
+
+
+def test_a_search_with_pages_and_classifier(spark):
+    class Two:
+        name, capabilities = "registry", Capabilities(query_variations=True)
+        asked = []
+
+        def read(self, spark, request):
+            self.asked.append(request.query)
+            rows = [(1, "Padaria Aurora", "https://aurora.example.com", None), (2, "Casa Lima", "https://casalima.example.com", "(11) 3456-7890")]
+            df = spark.createDataFrame(rows, "obs_id long, name string, website string, phone string").withColumn("external_id", F.col("obs_id").cast("string"))
+            return as_leads(df.withColumns({"source_url": F.col("website"), "city": F.lit("Recife"), "data": F.create_map(F.lit("category_text"), F.lit("pães e doces"))}), "registry")
+
+    pages = spark.createDataFrame(
+        [(1, "https://aurora.example.com", '<a href="/contato">Contato</a>'), (2, "https://aurora.example.com/contato", '<a href="https://wa.me/5511998765432">Fale</a>'), (3, "https://aurora.example.com/far", '<a href="tel:+551134567899">x</a>')],
+        "page_id long, url string, html string",
+    )
+    seen = []
+
+    def classifier(batch):
+        seen.append(batch)
+        return batch.assign(category_match=True, confidence=90, refs=[["Q1", "N1"]] * len(batch))[["ref", "category_match", "confidence", "refs"]]
+
+    source = Two()
+    rows = {r.name: r for r in search.run(spark, Request(category="Restaurante", location="Recife"), [source], pages, Settings(enrichment_pages=2), classifier).collect()}
+    assert len(source.asked) > 1 and source.asked[0].startswith("Restaurante")
+    assert (rows["Padaria Aurora"].whatsapp, rows["Padaria Aurora"].whatsapp_status) == ("5511998765432", "confirmed") and rows["Padaria Aurora"].phone != "551134567899"
+    assert all((r.category_match, r.qualification_confidence, r.qualification_method) == (True, 90, "model") for r in rows.values())
+    without = search.run(spark, Request(category="Restaurante", location="Recife"), [source]).collect()
+    assert {r.qualification_method for r in without} == {"deterministic"} and {r.category_match for r in without} == {None}
