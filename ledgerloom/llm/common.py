@@ -18,16 +18,21 @@ _folders: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one is set, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session asks for other bounds."""
+    """Keep Arrow batches small, unless the session asks for other bounds.
+
+    The session keeps these settings: results are computed only when the caller asks for them.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

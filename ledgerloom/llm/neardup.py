@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ BITS = 240
 #: Most differing bits of two texts worth an exact look: at a similarity of 0.8 the mean is 36, the deviation 5.6.
 LOOK = 60
 WORDS = tuple(f"w{i}" for i in range(-(-BITS // 64)))
+#: Classes from which keys hold a range of sizes too: texts of high similarity are of like size, so buckets shrink and no pair is lost.
+BANDED = 50_000_000
 #: Rows of one key that one task sees at first; fuller buckets are dealt out, and what remains meets again.
 SALT_ROWS = 10_000
 #: Classes of a candidate group that are compared in one block with those of another; small groups share tasks.
@@ -314,12 +317,15 @@ class NearCopies:
 
     def candidates(self) -> DataFrame:
         """node, root: of each class in a candidate group, the least class of the group."""
-        keys = F.explode(
-            F.array(*[
-                F.lit(t << 24) + F.element_at("codes", 2 * t * PROBES + i + 1).cast("int") * F.lit(4096) + F.element_at("codes", (2 * t + 1) * PROBES + j + 1).cast("int")
-                for t in range(TABLES) for i in range(PROBES) for j in range(PROBES)
-            ])
-        )
+        keys = F.array(*[
+            F.lit(t << 24) + F.element_at("codes", 2 * t * PROBES + i + 1).cast("long") * F.lit(4096) + F.element_at("codes", (2 * t + 1) * PROBES + j + 1).cast("long")
+            for t in range(TABLES) for i in range(PROBES) for j in range(PROBES)
+        ])
+        if self.classes.count() > BANDED:
+            # of a pair the larger one is at most 1 / similarity times as large, so one of its two ranges is the smaller one's
+            band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / F.lit(-math.log(self.similarity - 0.001)))
+            keys = F.flatten(F.transform(keys, lambda k: F.array(k + band * F.lit(1 << 32), k + (band + 1) * F.lit(1 << 32))))
+        keys = F.explode(keys)
         words = [F.col("bits")[i].alias(w) for i, w in enumerate(WORDS)]
         rows = self.classes.select(F.struct("c", F.col("shingles").alias("n"), *words).alias("x"), keys.alias("key"))
         full = materialize(rows.groupBy("key").count().where(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).alias("parts")), "near-full")

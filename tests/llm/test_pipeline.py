@@ -44,3 +44,43 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(mine.columns) == sorted(columns)
     plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
     assert sorted(map(plain, mine.select(*columns).collect()), key=repr) == sorted(map(plain, other.fetchall()), key=repr)
+
+
+NAMES = ("document", "quality", "skey", "dealt", "rep", "content", "digest", "extra", "epochs", "salt", "__size", "key", "c", "root", "kind", "start")
+
+
+def case(spark, rows):
+    """Documents of these rows (doc_id, text, source) with columns named as the operators' own."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return df.withColumn("n_chars", F.char_length("text")).withColumns({n: F.lit(n) for n in NAMES})
+
+
+@pytest.mark.parametrize("name", ["mixed", "empty", "null"])
+def test_stages_on_unusual_tables(spark, name):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, an empty table, clashing names."""
+    import random
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    long, one, two = prose(60_000), prose(80), prose(90)
+    rows = {
+        "mixed": [(1, one, "a"), (1, one, "a"), (2, one.upper(), "b"), (None, two, None), (None, two, None), (3, None, "a"), (4, "", None), (5, long, "b"), (6, prose(70) + " mail me@site.example.org", "a"), (1, prose(75), "a")],
+        "empty": [],
+        "null": [(None, None, None), (None, None, None), (7, None, None)],
+    }[name]
+    docs = case(spark, rows)
+    stages = dict(pipeline.STAGES)
+    good = stages["quality rules"](spark, docs, "")
+    assert good.columns == docs.columns and sorted((r.doc_id, r.text) for r in good.collect() if r.doc_id) == sorted((i, t) for i, t, _ in rows if i and t and len(t.split()) >= 20)
+    kept = stages["SimHash near-dedup"](spark, docs, "").select("doc_id", "text").collect()
+    texts = {(t or "").lower() for _, t, _ in rows}
+    assert len(kept) == len(texts) and {(r.text or "").lower() for r in kept} == texts
+    clean = stages["PII"](spark, docs, "")
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted(((i, t and t.replace("me@site.example.org", "[EMAIL]")) for i, t, _ in rows), key=repr)
+    mixed = stages["mixing"](spark, docs, "")
+    taken = mixed.collect()
+    assert mixed.columns == docs.columns and all(r.text for r in taken) and {r.n_chars for r in taken} <= {len(t) for _, t, _ in rows if t}
+    packed = stages["best-fit packing"](spark, docs, "").collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows) and all(r.offset + r.length <= 1024 for r in packed)
