@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word definition used by every operator here: bytes 0x20 and 0x09-0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold at most this many rows, and about so many bytes: whole texts travel in them.
-ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 _folders: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +43,13 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the machine: workers live on after a task, and what they hold adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared root, removed when the driver's Python ends."""
     path = f"{shared_root(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, prepare
+from .common import components, give_back, materialize, prepare
 from .golay import likeliest_codewords, nearby_codewords
 
 SEED = 42
@@ -34,7 +34,7 @@ BANDED = 50_000_000
 #: Rows of one key that one task sees at first; fuller buckets are dealt out, and what remains meets again.
 SALT_ROWS = 10_000
 #: Classes of a candidate group that are compared in one block with those of another; small groups share tasks.
-BLOCK, TASK_ROWS = 256, 2048
+BLOCK, TASK_ROWS = 256, 1024
 #: Most rows of a table of document numbers that is broadcast (16 bytes each); larger ones are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 
@@ -179,6 +179,7 @@ def sketch(text: Column, width: int) -> Column:
             bits = np.packbits(packed, axis=1, bitorder="little").view(np.int64)
             codes = np.concatenate([likeliest_codewords(margins[:, s : s + 24], PROBES) for s in range(0, TABLES * 48, 24)], 1).astype(np.int16)
             yield pd.DataFrame({"content": [content_of(t) for t in texts], "bits": list(bits), "codes": list(codes), "shingles": np.array(sizes, np.int32)})
+        give_back()
 
     return run.asNondeterministic()(text)
 
@@ -194,6 +195,7 @@ def _sets(text: Column, width: int) -> Column:
         for texts in batches:
             members = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in texts]
             yield pd.DataFrame({"content": [content_of(t) for t in texts], "members": members})
+        give_back()
 
     return run.asNondeterministic()(text)
 
@@ -205,7 +207,7 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float,
     """
     sizes = [np.array([len(x) for x in side]) for side in (left, right)]
     heads = [np.concatenate(side) for side in (left, right)]
-    owners = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes, strict=True)]
+    owners = [np.repeat(np.arange(len(side), dtype=np.int32), n) for side, n in zip((left, right), sizes, strict=True)]
     shared = np.unique(heads[0]) if same else np.intersect1d(heads[0], heads[1])
     places = []
     for head in heads:
@@ -379,6 +381,7 @@ class NearCopies:
                 if sets[0] and sets[1]:
                     a, b = first["c"].to_numpy(), second["c"].to_numpy()
                     out += _stars([(int(a[i]), int(b[j])) for i, j in _similar(*sets, similarity, same)])
+            give_back()
             return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
         links = dealt.groupBy("large", "part", "i", "j").applyInPandas(verify, "a long, b long")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import give_back, materialize, prepare
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,10 +33,9 @@ def encoder(path: str):
     """A tiktoken encoder of a byte-level BPE in the JSON form of `tokenizers`; ids are the same, at four times the speed.
 
     Strings of the file's special tokens become their ids, as `tokenizers` does by default. A file that splits or
-    normalises texts in another way is refused. Also the encoder of `tokenizers`, for texts with LONG_RUN.
+    normalises texts in another way is refused.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -48,15 +47,23 @@ def encoder(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     stand_in = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(stand_in[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("json", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special), tuple(special), Tokenizer.from_file(path)
+    return tiktoken.Encoding("json", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
+
+
+@cache
+def plain_encoder(path: str):
+    """The encoder of `tokenizers` itself, loaded where a text with LONG_RUN comes up."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def encode(text: str | None, path: str, end_id: int = END_ID) -> np.ndarray:
     """Ids of a text and the end id; of a null text only the end id."""
-    bpe, special, plain = encoder(path)
+    bpe, special = encoder(path)
     text = text or ""
     if len(text) >= 10_000 and LONG_RUN.search(text):
-        ids = plain.encode(text, add_special_tokens=False).ids
+        ids = plain_encoder(path).encode(text, add_special_tokens=False).ids
     else:
         ids = bpe.encode(text, allowed_special="all") if any(s in text for s in special) else bpe.encode_ordinary(text)
     out = np.empty(len(ids) + 1, "<u4")
@@ -82,6 +89,7 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
                 ids = encode(t, path, end_id)
                 rows.append([{"piece": i, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[s : s + n].tobytes())} for i, (s, n) in enumerate(cut(len(ids), capacity))])
             yield pd.Series(rows)
+        give_back()
 
     return run(text)
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import give_back, materialize, prepare
 
 #: Kinds of spans in their order; from the fifth on they are the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "removed", "secret")
@@ -29,7 +29,7 @@ EVIDENCE = 12.0
 #: Share of the value's information that a term must reveal to be generalised, or removed.
 GENERALISE, REMOVE = 0.9, 0.98
 #: Distinct terms that a task counts before it passes them on.
-FLUSH_TERMS = 200_000
+FLUSH_TERMS = 100_000
 BROADCAST_ROWS = 2_000_000
 
 # possessive, so that no text makes them scan a run of digits twice
@@ -208,6 +208,7 @@ def scan(text: Column) -> Column:
                 values = sorted({_hash(x) for s, k, e in base + secrets for x in entities(t[s:e], k)})
                 rows.append((*(kinds.count(k) for k in range(4)), len(secrets), *([{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in (base, secrets)), values))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_secret", "base", "secrets", "values"])
+        give_back()
 
     return run.asNondeterministic()(text)
 
@@ -232,6 +233,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                     yield passed()
         if counts:
             yield passed()
+        give_back()
 
     return texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
 
@@ -262,6 +264,7 @@ def places(text: Column, telling) -> Column:
                 if len(kinds) > FLUSH_TERMS:
                     kinds.clear()
             yield pd.Series(rows, dtype=object)
+        give_back()
 
     return run.asNondeterministic()(text)
 
@@ -302,6 +305,7 @@ class Sanitiser:
                 for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for value, found, around in surroundings(text or "", set(wanted)):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), value)), pa.array(found), pa.array(around)], ["value", "term", "around"])
+            give_back()
 
         return texts.mapInArrow(run, "value long, term long, around long")
 
@@ -377,6 +381,7 @@ def cleaned(text: Column, extra: Column) -> Column:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, extras in batches:
             yield pd.Series([t if t is None else replace(t, [*protected_spans(t), *((s["start"], s["kind"], s["end"]) for s in (() if x is None else x))]) for t, x in zip(texts, extras, strict=True)], dtype=object)
+        give_back()
 
     return run.asNondeterministic()(text, extra)
 

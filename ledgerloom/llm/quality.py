@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, prepare
+from .common import WORD_PATTERN, give_back, prepare
 
 WORD = re.compile(WORD_PATTERN)
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -104,6 +104,7 @@ def repetition(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([measure(t) for t in texts], columns=names)
+        give_back()
 
     # asNondeterministic: a filter on the result must not run it a second time
     return run.asNondeterministic()(text)
