@@ -14,8 +14,9 @@ AREA_CODES = (
     "41", "42", "43", "44", "45", "46", "47", "48", "49", "51", "53", "54", "55", "61", "62", "63", "64", "65", "66", "67", "68", "69",
     "71", "73", "74", "75", "77", "79", "81", "82", "83", "84", "85", "86", "87", "88", "89", "91", "92", "93", "94", "95", "96", "97", "98", "99",
 )
-EXTENSION = r"(?iu)\s*(?:ramal|r\.?|ext(?:ens(?:a|ã)o)?|x)\s*[:.\-]?\s*[0-9]+\s*$"
-PHONE_LIKE = r"(?U)((?<![0-9])(?:\+|00)?[0-9][0-9\s().\-/]{6,25}[0-9](?![0-9]))"
+# fixed values: patterns of an extension and of what looks like a number; digits are those of any script, as of Unicode
+EXTENSION = r"(?iU)\s*(?:ramal|r\.?|ext(?:ens(?:a|ã)o)?|x)\s*[:.\-]?\s*\d+\s*$"
+PHONE_LIKE = r"(?U)((?<!\d)(?:\+|00)?\d[\d\s().\-/]{6,25}\d(?!\d))"
 
 
 def area_code(c: Column) -> Column:

@@ -104,9 +104,17 @@ def recovered(searches: DataFrame, heartbeats: DataFrame) -> DataFrame:
 
 
 def request_gaps(requests: DataFrame, least_seconds: float) -> DataFrame:
-    """Requests to a host that came sooner than least_seconds after the one before."""
-    before = F.lag("ts").over(Window.partitionBy("host").orderBy("ts", "request_id"))
-    return requests.withColumn("gap", F.col("ts").cast("double") - before.cast("double")).where(F.col("gap") < least_seconds)
+    """Requests to a host that came sooner than least_seconds after the one before, with that gap.
+
+    A task holds a slot of time of a host, never all of its requests: an hour, or least_seconds if longer. What came before a slot's
+    first request is the last one of the slot before; one of an earlier slot is too far back.
+    """
+    c = F.col
+    slots = requests.withColumns({"__slot": F.floor(c("ts").cast("double") / max(3600.0, least_seconds)), "__own": F.lit(1)})
+    last = slots.where(c("ts").isNotNull()).groupBy("host", "__slot").agg(F.max("ts").alias("ts")).select("host", (c("__slot") + 1).alias("__slot"), "ts", F.lit(0).alias("__own"))
+    before = F.lag("ts").over(Window.partitionBy("host", "__slot").orderBy("__own", "ts", "request_id"))
+    gaps = slots.unionByName(last, allowMissingColumns=True).withColumn("gap", c("ts").cast("double") - before.cast("double"))
+    return gaps.where((c("__own") == 1) & (c("gap") < least_seconds)).drop("__slot", "__own")
 
 
 def fresh(entries: DataFrame, now: DataFrame, ttl_seconds: int) -> DataFrame:

@@ -24,8 +24,8 @@ CONTACT_TERMS = (
     ("contato", 0), ("contact", 0), ("fale conosco", 0), ("entre em contato", 0), ("atendimento", 1), ("telefone", 1), ("whatsapp", 1), ("localizacao", 2), ("onde estamos", 2),
     ("unidades", 2), ("escritorios", 2), ("sobre", 3), ("quem somos", 3), ("institucional", 3), ("nossa equipe", 4), ("corretores", 4),
 )
-ASSET_ENDINGS = ("7z", "avi", "css", "csv", "doc", "docx", "gif", "gz", "ico", "jpeg", "jpg", "js", "json", "mov", "mp3", "mp4", "pdf", "png", "rar", "svg", "webp", "xls", "xlsx", "xml", "zip")
-BLOCKS = frozenset("address article aside br div footer h1 h2 h3 h4 header li main p section td tr".split())
+ASSET_ENDINGS = (".7z", ".avi", ".css", ".csv", ".doc", ".docx", ".gif", ".gz", ".ico", ".jpeg", ".jpg", ".js", ".json", ".mov", ".mp3", ".mp4", ".pdf", ".png", ".rar", ".svg", ".webp", ".xls", ".xlsx", ".xml", ".zip")
+BLOCKS = ("address", "article", "br", "div", "footer", "h1", "h2", "h3", "h4", "header", "li", "main", "p", "section", "td", "tr")
 HIDDEN = frozenset(("noscript", "style", "svg", "template"))
 MAX_NODES, MAX_DEPTH = 1000, 10
 DATA_TYPES = ("application/ld+json", "application/json+ld")
@@ -335,7 +335,7 @@ def ranked_contact_links(links: DataFrame) -> DataFrame:
     """page_id, target, rank and place of the links to contact pages of the same site, best first, each target once."""
     c = F.col
     path = F.regexp_extract("target", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    usable = ~F.coalesce("nofollow", F.lit(False)) & c("target").rlike("^https?://") & (website_host(c("target")) == website_host(c("url"))) & ~F.lower(path).rlike(rf"\.(?:{'|'.join(ASSET_ENDINGS)})$")
+    usable = ~F.coalesce("nofollow", F.lit(False)) & c("target").rlike("^https?://") & (website_host(c("target")) == website_host(c("url"))) & ~F.lower(path).rlike(f"(?:{'|'.join(map(re.escape, ASSET_ENDINGS))})$")
     rows = links.where(usable).withColumn("rank", contact_rank(path, c("label"))).where("rank is not null").groupBy("page_id", "target").agg(F.min_by("rank", "position").alias("rank"))
     order = Window.partitionBy("page_id").orderBy("rank", F.length(F.regexp_extract("target", r"^[a-z]+://[^/?#]*([^?#]*)", 1)), "target")
     return rows.withColumn("place", F.row_number().over(order).cast("int"))

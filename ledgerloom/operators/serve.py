@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable
-from io import BytesIO
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -79,10 +79,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_xlsx(rows: DataFrame, sheet_rows: int = SHEET_ROWS) -> bytes:
-    """A workbook of the rows in their order, streamed from the executors partition by partition; new sheets when one is full.
+def write_xlsx(rows: DataFrame, target: str | BinaryIO, sheet_rows: int = SHEET_ROWS) -> None:
+    """A workbook of the rows in their order, written to a path or an open file; new sheets when one is full.
 
-    For result pages and exports that a spreadsheet can hold; larger ones go by write_csv().
+    The driver holds one partition at a time and what is being compressed, never the workbook. For result pages and exports that a
+    spreadsheet can hold; larger ones go by write_csv().
     """
     headers = rows.columns
 
@@ -96,12 +97,12 @@ def write_xlsx(rows: DataFrame, sheet_rows: int = SHEET_ROWS) -> bytes:
     def line(values: Iterable[object]) -> str:
         return "<row>" + "".join(map(cell, values)) + "</row>"
 
-    out, sheets = BytesIO(), 0
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    sheets = 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         it, more = iter(rows.toLocalIterator()), True
         while more:
             sheets += 1
-            with z.open(f"xl/worksheets/sheet{sheets}.xml", "w") as f:
+            with z.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True) as f:
                 f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>')
                 f.write(line(headers).encode())
                 more = False
@@ -118,7 +119,6 @@ def write_xlsx(rows: DataFrame, sheet_rows: int = SHEET_ROWS) -> bytes:
         z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="Resultados {i}" sheetId="{i}" r:id="r{i}"/>' for i in ids) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in ids) + "</Relationships>")
-    return out.getvalue()
 
 
 def hydrated(results: DataFrame, companies: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,22 +41,42 @@ def match_scores(resolved: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.where(~yes(c("r_cnpj") != c("s_cnpj"))).select("rank", "company_id", score.cast("int").alias("score")).where("score > 0")
 
 
-def assign(scores: DataFrame) -> DataFrame:
+#: A block of so many pairs is settled by one task; greater ones in rounds.
+BLOCK_PAIRS = 20_000
+
+
+def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The choices within one block."""
+    taken, out, last = set(), [], None
+    for rank, company, score in pairs.sort_values(["rank", "score", "company_id"], ascending=[True, False, False])[["rank", "company_id", "score"]].itertuples(index=False):
+        if rank != last and company not in taken:
+            taken.add(company)
+            out.append((rank, company, score))
+            last = rank
+    return pd.DataFrame(out, columns=["rank", "company_id", "score"])
+
+
+def assign(scores: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """rank, company_id, score: each rank in turn takes the best company that none before it has; ties to the greater id.
 
-    Ranks only compete within a connected block of candidates. Rounds settle, in every block at once, each rank whose choice
-    no earlier rank of the block can still want; a block's least open rank always settles, so it ends.
+    Ranks only compete within a connected block of candidates. Blocks of up to block_pairs pairs are settled in one pass. In greater
+    ones rounds settle, in all at once, each rank whose choice no earlier rank of the block can still want; a block's least open
+    rank always settles, so it ends. Both give the same choices.
     """
-    open_pairs, settled = cut(scores), None
+    scores = cut(scores.select("rank", "company_id", "score"))
+    told = cut(scores.join(blocks(scores), "rank"))
+    great = told.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_pairs).select("block")
+    settled = cut(told.join(great, "block", "left_anti").groupBy("block").applyInPandas(_in_turn, scores.schema))
+    open_pairs = cut(told.join(great, "block", "left_semi").select("rank", "company_id", "score"))
     while not open_pairs.isEmpty():
         # a rank may choose when no earlier open rank has any of its candidates
         first = open_pairs.groupBy("company_id").agg(F.min("rank").alias("least"))
         told = open_pairs.join(first, "company_id")
         free = told.groupBy("rank").agg(F.bool_and(F.col("rank") == F.col("least")).alias("free"), F.max(F.struct("score", "company_id")).alias("best")).where("free")
         done = cut(free.select("rank", "best.company_id", "best.score"))
-        settled = done if settled is None else settled.union(done)
+        settled = settled.union(done)
         open_pairs = cut(open_pairs.join(done.select("rank"), "rank", "left_anti").join(done.select("company_id"), "company_id", "left_anti"))
-    return scores.limit(0) if settled is None else settled
+    return settled
 
 
 def new_companies(resolved: DataFrame) -> DataFrame:
@@ -114,9 +135,22 @@ def duplicates(df: DataFrame, *key: str) -> DataFrame:
 
 
 def within_budget(entries: DataFrame, max_entries: int, max_bytes: int, by: list[str]) -> DataFrame:
-    """Cache entries (last_access, bytes) that stay: the most recent ones within both bounds."""
-    w = Window.partitionBy(*by).orderBy(F.desc("last_access"), "key")
-    return entries.withColumns({"__n": F.row_number().over(w), "__b": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("__n") <= max_entries) & (F.col("__b") <= max_bytes)).drop("__n", "__b")
+    """Cache entries (last_access, bytes of 0 or more) that stay: the most recent ones within both bounds, ties by key.
+
+    Entries of a minute are summed first; only minutes in which the bounds aren't used up yet are sorted, each by itself.
+    """
+    c = F.col
+    slot = F.date_trunc("minute", "last_access")
+    rows = lambda to: Window.partitionBy(*by).orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, to)
+    sums = entries.groupBy(*by, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    before = sums.select(*[c(x).alias(f"__k{i}") for i, x in enumerate(by)], "__slot", *[F.coalesce(F.sum(x).over(rows(-1)), F.lit(0)).alias(f"__{x}0") for x in "nb"])
+    same = c("__at").eqNullSafe(c("__slot"))
+    for i, x in enumerate(by):
+        same = same & c(x).eqNullSafe(c(f"__k{i}"))
+    left = entries.withColumn("__at", slot).join(before.where((c("__n0") < max_entries) & (c("__b0") <= max_bytes)), same)
+    w = Window.partitionBy(*by, "__at").orderBy(F.desc("last_access"), "key")
+    told = left.withColumns({"__n": c("__n0") + F.row_number().over(w), "__b": c("__b0") + F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))})
+    return told.where((c("__n") <= max_entries) & (c("__b") <= max_bytes)).select(*entries.columns)
 
 
 def blocks(scores: DataFrame) -> DataFrame:

@@ -187,6 +187,22 @@ counted AS (SELECT s.provider, s.variation, count(*) FILTER (first) AS fresh, co
 """
 
 
+#: Scores of results and stored companies that may be the same; then each rank in turn takes the best one that is left.
+MATCHES = f"""r AS ({duck(RESULTS)}), s AS ({duck(STORED)}),
+x AS (SELECT rank, company_id,
+  CASE WHEN r.cnpj = s.cnpj THEN 100 ELSE 0 END + CASE WHEN r.phone IN (s.phone, s.whatsapp) THEN 50 ELSE 0 END + CASE WHEN {url('r.website')} = {url('s.website')} THEN 30 ELSE 0 END
+  + CASE WHEN {company('r.name')} = {company('s.name')} AND (({norm('r.city')} = {norm('s.city')} AND (s.state IS NULL OR r.state IS NULL OR {norm('r.state')} = {norm('s.state')})) OR {norm('r.address')} = {norm('s.address')}) THEN 20 ELSE 0 END AS score
+  FROM r JOIN s ON ({company('r.name')} = {company('s.name')} OR r.cnpj = s.cnpj OR r.phone IN (s.phone, s.whatsapp) OR {url('r.website')} = {url('s.website')}) WHERE coalesce(r.cnpj = s.cnpj, true))"""
+IN_TURN = """
+y AS MATERIALIZED (SELECT * FROM x WHERE score > 0),
+ranks AS MATERIALIZED (SELECT rank, row_number() OVER (ORDER BY rank) AS i FROM (SELECT DISTINCT rank FROM y)),
+turn AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS company_id, CAST(NULL AS BIGINT) AS score
+  UNION ALL
+  SELECT i + 1, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.c) END, rank, b.c, b.s
+  FROM (SELECT t.i, any_value(t.taken) AS taken, k.rank, max({'s': CAST(y.score AS BIGINT), 'c': CAST(y.company_id AS BIGINT)}) FILTER (NOT list_contains(t.taken, y.company_id)) AS b
+        FROM turn t JOIN ranks k ON k.i = t.i + 1 JOIN y ON y.rank = k.rank GROUP BY t.i, k.rank) g)"""
+
 ORACLES: dict[str, str] = {
     "norm_text": f"SELECT doc_id, {norm('text')} AS text_norm FROM documents",
     "norm_fingerprint": f"SELECT doc_id, sha256({norm('text')}) AS fp FROM documents",
@@ -229,14 +245,24 @@ FROM k""",
     "cache_budget": "WITH e AS (SELECT event_type, CAST(event_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS n, sum(CAST(length(props) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS b FROM events) SELECT event_type, key FROM e WHERE n <= 100 AND b <= 800",
     "ttl_fresh": "WITH e AS (SELECT user_id AS key, max(ts) AS ts FROM events GROUP BY user_id), m AS (SELECT max(ts) AS now FROM events) SELECT key, ts FROM e, m WHERE ts + INTERVAL 7 DAY > now",
     "request_gaps": "WITH r AS (SELECT event_id AS request_id, event_type AS host, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) SELECT request_id, host FROM r WHERE gap < 60",
-    "best_match_existing": f"""
-WITH r AS ({duck(RESULTS)}), s AS ({duck(STORED)}),
-x AS (SELECT rank, company_id,
-  CASE WHEN r.cnpj = s.cnpj THEN 100 ELSE 0 END + CASE WHEN r.phone IN (s.phone, s.whatsapp) THEN 50 ELSE 0 END + CASE WHEN {url('r.website')} = {url('s.website')} THEN 30 ELSE 0 END
-  + CASE WHEN {company('r.name')} = {company('s.name')} AND (({norm('r.city')} = {norm('s.city')} AND (s.state IS NULL OR r.state IS NULL OR {norm('r.state')} = {norm('s.state')})) OR {norm('r.address')} = {norm('s.address')}) THEN 20 ELSE 0 END AS score
-  FROM r JOIN s ON ({company('r.name')} = {company('s.name')} OR r.cnpj = s.cnpj OR r.phone IN (s.phone, s.whatsapp) OR {url('r.website')} = {url('s.website')}) WHERE coalesce(r.cnpj = s.cnpj, true)),
-b AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY score DESC, company_id DESC) AS nth FROM x WHERE score > 0)
-SELECT rank, company_id, CAST(score AS INTEGER) AS score FROM b WHERE nth = 1""",
+    "best_match_existing": f"WITH {MATCHES}, b AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY score DESC, company_id DESC) AS nth FROM x WHERE score > 0) SELECT rank, company_id, CAST(score AS INTEGER) AS score FROM b WHERE nth = 1",
+    "assigned_matches": f"WITH RECURSIVE {MATCHES}, {IN_TURN} SELECT rank, company_id, CAST(score AS INTEGER) AS score FROM turn WHERE company_id IS NOT NULL",
+    "persist_companies": f"""
+WITH RECURSIVE {MATCHES}, {IN_TURN},
+t AS (SELECT * FROM turn WHERE company_id IS NOT NULL),
+rows AS (
+  SELECT coalesce(nullif(s.cnpj, ''), r.cnpj) AS cnpj FROM s LEFT JOIN t USING (company_id) LEFT JOIN r ON r.rank = t.rank
+  UNION ALL SELECT cnpj FROM r WHERE rank NOT IN (SELECT rank FROM t))
+SELECT count(*) AS companies, count(cnpj) AS with_tax_id FROM rows""",
+    "contact_predicates": """
+SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS same_number, CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE 0 END AS supported,
+       CASE WHEN c_custkey % 6 = 0 THEN 'even; third' WHEN c_custkey % 2 = 0 THEN 'even' WHEN c_custkey % 3 = 0 THEN 'third' END AS reasons,
+       CASE WHEN c_custkey % 5 = 2 THEN 0 WHEN c_custkey % 5 = 1 OR c_custkey % 2 = 1 THEN 1 ELSE 0 END AS refs_valid FROM customer""",
+    "first_evidence": "SELECT user_id % 40 AS page_id, event_type AS value, CAST(event_id % 2 AS VARCHAR) AS url, min(event_id) AS seq FROM events GROUP BY ALL",
+    "result_page_json": """
+WITH p AS (SELECT CAST(o_custkey AS INTEGER) AS rank, o_orderdate AS created_at, o_orderkey AS result_id FROM orders ORDER BY 1, 2, 3 LIMIT 50)
+SELECT '[' || string_agg('{"rank":' || rank || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || '","result_id":' || result_id || '}', ',' ORDER BY rank, created_at, result_id) || ']' AS items,
+       (SELECT count(*) FROM orders) AS total, 50 AS "limit", 0 AS "offset" FROM p""",
     "upsert_enrich": f"""
 WITH r AS ({duck(RESULTS)}), s AS ({duck(STORED)})
 SELECT s.company_id, coalesce(s.phone, r.phone) AS phone, coalesce(s.address, r.address) AS address, coalesce(s.city, r.city) AS city, coalesce(s.state, r.state) AS state, coalesce(s.cnpj, r.cnpj) AS cnpj,

@@ -545,6 +545,27 @@ def persist_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persisted(spark, sf_dir)["companies"].agg(F.count(lit(1)).alias("companies"), F.count("cnpj").alias("with_tax_id"))
 
 
+@query
+def contact_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("c_custkey")
+    number = F.concat(lit("9"), F.lpad(k.cast("string"), 8, "8"))
+    spelt = F.when(k % 3 == 0, F.concat(lit("+55 (11) "), number)).when(k % 3 == 1, F.concat(lit("011"), number)).otherwise(F.concat(lit("21"), number))
+    full = F.concat(lit("5511"), number)
+    title, tag = F.when(k % 4 == 0, F.concat(lit("Fale: (11) "), number)).otherwise("Fale"), F.when(k % 4 == 1, F.concat(lit("11 "), number)).when(k % 4 == 2, "none")
+    refs = F.when(k % 5 == 0, F.array(lit("Q1"))).when(k % 5 == 1, F.array(lit("C1"))).when(k % 5 == 2, F.array(lit("Q1"), lit("S9"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", phones.equivalent(full, spelt).cast("int").alias("same_number"), contacts.source_supports(full, title, lit(None).cast("string"), tag).cast("int").alias("supported"),
+        text.joined_reasons(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third")).alias("reasons"), qualify.refs_valid(refs, F.array(lit("Q1"), lit("C1")), k % 2 == 0).cast("int").alias("refs_valid"),
+    )
+
+
+@query
+def first_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    seen = e.select((c("user_id") % 40).alias("page_id"), lit("phone").alias("field"), c("event_type").alias("value"), lit("tel_link").alias("evidence_type"), (c("event_id") % 2).cast("string").alias("url"), c("event_id").alias("seq"))
+    return contacts.first_evidence(seen).select("page_id", "value", "url", "seq")
+
+
 # --- answers of sources
 
 

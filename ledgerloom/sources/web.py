@@ -17,9 +17,9 @@ from ..schemas import WEB_RESULT
 from .base import Capabilities, as_leads
 
 # fixed values: patterns of numbers, of titles that list companies, and of pages that are no company's
-PHONE = r"(?U)((?<![0-9])(?:(?:\+?55)\s*)?(?:\(?[0-9]{2}\)?[\s.-]*)?(?:9\s*)?[0-9]{4}[\s.-]*[0-9]{4}(?![0-9]))"
-TAX_ID = r"(?U)((?<![0-9])[0-9]{2}[.\s]?[0-9]{3}[.\s]?[0-9]{3}[/\s-]?(?:[0-9]{4})[-.\s]?[0-9]{2}(?![0-9]))"
-WHATSAPP = r"(?i)(?:wa\.me/|api\.whatsapp\.com/send\?phone=)([0-9]{10,15})"
+PHONE = r"(?U)((?<!\d)(?:(?:\+?55)\s*)?(?:\(?\d{2}\)?[\s.-]*)?(?:9\s*)?\d{4}[\s.-]*\d{4}(?!\d))"
+TAX_ID = r"(?U)((?<!\d)\d{2}[.\s]?\d{3}[.\s]?\d{3}[/\s-]?(?:\d{4})[-.\s]?\d{2}(?!\d))"
+WHATSAPP = r"(?iU)(?:wa\.me/|api\.whatsapp\.com/send\?phone=)(\d{10,15})"
 LISTING = r"(?iuU)(?:^\s*(?:top\s+)?\d+\s+(?:das?\s+|dos?\s+|de\s+)?(?:melhores|empresas)\b|\b(?:lista|listagem|guia|ranking|diret[oó]rio)\s+(?:de|das?|dos?)\b)"
 GENERIC = r"(?iuU)\b(?:resultados? de busca|pesquisa|categoria)\b"
 SEPARATOR = r"(?U)\s+[|\-–—]\s+"

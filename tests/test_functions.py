@@ -38,6 +38,8 @@ def test_whatsapp_links(spark):
 
 def test_numbers_in_a_text(spark):
     assert values(spark, phones.extract_phones, ["Fixo (11) 3456-7890, celular 11 99876-5432; de novo (11) 3456 7890. CEP 01310-100"]) == [["551134567890", "5511998765432"]]
+    # digits of other scripts are digits around a number, but no part of one
+    assert values(spark, phones.extract_phones, ["٣11 99876-5432", "(11) 99876-5432 e ٣", "11 99876-543٣"]) == [["5511998765432"], ["5511998765432"], []]
 
 
 def test_urls(spark):

@@ -101,8 +101,32 @@ def test_assignment_is_that_of_ranks_in_turn(spark):
         if best:
             taken.add(best[1])
             want.append((rank, best[1], best[0]))
-    got = storage.assign(spark.createDataFrame([(r, c, s) for (r, c), s in scores.items()], "rank long, company_id long, score int"))
-    assert rows(got) == sorted(want, key=repr)
+    pairs = spark.createDataFrame([(r, c, s) for (r, c), s in scores.items()], "rank long, company_id long, score int")
+    assert rows(storage.assign(pairs)) == rows(storage.assign(pairs, block_pairs=0)) == sorted(want, key=repr)
+    assert rows(storage.assign(pairs.limit(0))) == []
+
+
+def test_gaps_and_budgets_by_slots_of_time(spark):
+    rnd = random.Random(9)
+    asked = [(i, rnd.choice(["a", "a", "b", None]), None if i % 50 == 0 else 3600 * rnd.randrange(3) + rnd.randrange(3600) + rnd.choice([0.0, 0.5]), rnd.randrange(40)) for i in range(600)]
+    df = spark.createDataFrame(asked, "request_id long, host string, at double, bytes long").withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    for least in (5.0, 9000.0):
+        want, last = [], {}
+        for i, host, at, _ in sorted((x for x in asked if x[2] is not None), key=lambda x: (x[2], x[0])):
+            if host in last and at - last[host] < least:
+                want.append((i, at - last[host]))
+            last[host] = at
+        assert rows(metrics.request_gaps(df, least).select("request_id", "gap")) == sorted(want, key=repr)
+    for entries, size in ((7, 10**6), (10**6, 900), (200, 2500), (0, 10)):
+        want = []
+        for host in ("a", "b", None):
+            used = 0
+            for n, (i, _, _, b) in enumerate(sorted((x for x in asked if x[1] == host), key=lambda x: (x[2] is None, -(x[2] or 0), x[0])), 1):
+                used += b
+                if n <= entries and used <= size:
+                    want.append((i,))
+        got = storage.within_budget(df.withColumnsRenamed({"request_id": "key", "ts": "last_access"}), entries, size, ["host"])
+        assert got.columns == ["key", "host", "at", "bytes", "last_access"] and rows(got.select("key")) == sorted(want, key=repr)
 
 
 def test_contact_decisions(spark):
@@ -184,10 +208,10 @@ def test_variations_and_requests(spark):
 
 def test_workbook_and_csv(spark, tmp_path):
     import zipfile
-    from io import BytesIO
 
     df = spark.createDataFrame([(i, f"<{i}>") for i in range(5)], "n int, x string")
-    book = zipfile.ZipFile(BytesIO(serve.write_xlsx(df, sheet_rows=2)))
+    serve.write_xlsx(df, str(tmp_path / "book.xlsx"), sheet_rows=2)
+    book = zipfile.ZipFile(tmp_path / "book.xlsx")
     assert sum(n.startswith("xl/worksheets/") for n in book.namelist()) == 3 and b"&lt;4&gt;" in book.read("xl/worksheets/sheet3.xml")
     serve.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
