@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +27,16 @@ BUCKET = 256
 TABLES, PROBES = 5, 4
 #: Bits of their fingerprints, of which the first TABLES * 48 make keys.
 BITS = 240
-#: Most differing bits of two texts worth an exact look: at a similarity of 0.8 the mean is 36, the deviation 5.6.
-LOOK = 60
-WORDS = tuple(f"w{i}" for i in range(-(-BITS // 64)))
+#: Words of 64 of these bits that travel with keys, and the most of them that differ in two texts worth an exact look: at a similarity
+#: of 0.8 the mean is 19.4, the deviation 4.1, and 2 pairs in 100,000 differ in more.
+WORDS = ("w0", "w1")
+LOOK = 37
 #: Classes from which keys hold a range of sizes too: texts of high similarity are of like size, so buckets shrink and no pair is lost.
 BANDED = 50_000_000
 #: Rows of one key that one task sees at first; fuller buckets are dealt out, and what remains meets again.
 SALT_ROWS = 10_000
+#: Keyed rows that one task compares, and rows of a key up to which each is compared with those of like size, all keys of a task at once.
+MEET_ROWS, FEW = 250_000, 64
 #: Classes of a candidate group that are compared in one block with those of another; small groups share tasks.
 BLOCK, TASK_ROWS = 256, 1024
 #: Most rows of a table of document numbers that is broadcast (16 bytes each); larger ones are joined by shuffling.
@@ -174,9 +178,7 @@ def sketch(text: Column, width: int) -> Column:
                 if len(hashes):
                     counts = bit_counts(np.stack([_spread(hashes, w) for w in range(n_words)], 1))[:BITS]
                     margins[row] = 2.0 * counts - len(hashes)
-            packed = np.zeros((len(texts), n_words * 64), bool)
-            packed[:, :BITS] = margins > 0
-            bits = np.packbits(packed, axis=1, bitorder="little").view(np.int64)
+            bits = np.packbits(margins[:, : 64 * len(WORDS)] > 0, axis=1, bitorder="little").view(np.int64)
             codes = np.concatenate([likeliest_codewords(margins[:, s : s + 24], PROBES) for s in range(0, TABLES * 48, 24)], 1).astype(np.int16)
             yield pd.DataFrame({"content": [content_of(t) for t in texts], "bits": list(bits), "codes": list(codes), "shingles": np.array(sizes, np.int32)})
         give_back()
@@ -230,7 +232,7 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float,
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(hit), strict=True)]
 
 
-def _close_groups(c: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> list[dict]:
+def _close_groups(c: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Edges from the least class of each group that pairs of close fingerprints connect to its others; all rows are compared, one with many at a time."""
     words = words.view(np.uint64)
     group = np.arange(len(c))
@@ -240,7 +242,39 @@ def _close_groups(c: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: f
         close = others[(apart <= LOOK) & (np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]))]
         group[np.isin(group, group[close])] = group[i]
     least = {g: int(c[group == g].min()) for g in np.unique(group)}
-    return [{"a": least[g], "b": int(x)} for g, x in zip(group, c, strict=True) if x != least[g]]
+    return [(least[g], int(x)) for g, x in zip(group, c, strict=True) if x != least[g]]
+
+
+def _close_pairs(key: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one key whose sizes and fingerprints are close; rows are sorted by key, then size.
+
+    Each row is compared with the one 1, 2, ... places on, all rows at once, for as long as that one has its key and isn't too large.
+    """
+    words = words.view(np.uint64)
+    at, ahead, found = np.arange(len(key)), 1, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(at := at[at + ahead < len(key)]):
+        at = at[(key[at] == key[at + ahead]) & (n[at] >= similarity * n[at + ahead])]
+        close = at[np.bitwise_count(words[at] ^ words[at + ahead]).sum(1, dtype=np.int64) <= LOOK]
+        found.append((close, close + ahead))
+        ahead += 1
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _candidate_edges(key: np.ndarray, c: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect the classes c which pairs of close fingerprints under one key connect, over all keys given; rows in any order."""
+    order = np.lexsort((c, n, key))
+    key, c, n, words = key[order], c[order], n[order], words[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = np.repeat(sizes <= FEW, sizes)
+    few = c[small]
+    i, j = _close_pairs(key[small], n[small], words[small], similarity)
+    pairs = np.unique(np.stack([np.minimum(few[i], few[j]), np.maximum(few[i], few[j])], 1), axis=0)
+    edges = [(int(a), int(b)) for a, b in pairs]
+    for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+        rows = slice(start, start + size)
+        edges += _close_groups(c[rows], n[rows], words[rows], similarity)
+    return _stars(edges)
 
 
 def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -268,8 +302,8 @@ class NearCopies:
     """Groups of texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, transitively.
 
     Texts of equal words are one class. Classes get keys by soft Golay decoding (a pair of similarity 0.8 shares one
-    with a probability of 0.998, of 0.85 with 0.9995). Under each key, classes are compared by their fingerprints: all with the
-    first of them, and where some are too far from it, all with all; classes close enough form candidate groups. Within a candidate
+    with a probability of 0.998, of 0.85 with 0.9995). Under each key, classes of like size are compared by their fingerprints, all
+    with all; classes close enough form candidate groups. Within a candidate
     group all pairs are verified on exact sets, block against block, and a block passes on what it
     connects as edges from the least class of each group to the others. So no link between classes of a candidate group is lost, while the rows that move follow
     the number of classes: a group of m meets in (m / BLOCK)^2 / 2 blocks.
@@ -292,30 +326,28 @@ class NearCopies:
         sizes = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= self.similarity * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
         return sizes & (_apart([F.col(f"{x}.{w}") for w in WORDS], [F.col(f"{y}.{w}") for w in WORDS]) <= LOOK)
 
-    def _meet(self, rows: DataFrame, by: list[str], label: str) -> tuple[DataFrame, DataFrame]:
-        """Candidate edges (a, b) among rows (x, and `by`) that share `by`, and the first row of each.
+    def _meet(self, rows: DataFrame, by: list[str], total: int) -> DataFrame:
+        """Candidate edges (a, b) among rows (x, and `by`) that share `by`; total: about how many rows there are.
 
-        Where all are close to the first, edges to it are all it takes. Else the rows of the key, at most SALT_ROWS and few
-        more, are compared with each other in one task, which passes on an edge from the least of each group to each other.
+        A task gets MEET_ROWS rows or somewhat more, with all rows of a key, and passes on what its keys connect as edges from the
+        least class of each group to the others.
         """
-        w = Window.partitionBy(*by)
-        told = rows.withColumn("first", F.min("x").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1")
-        told = told.withColumn("far", ~self._close("x", "first")).withColumn("crowd", (F.col("size") > 2) & F.bool_or("far").over(w))
-        told = told.select(*by, "x", F.col("first.c").alias("first"), "far", "crowd")
-        told = materialize(told.where("crowd or not far or x.c = first"), f"{label}-told")
-        edges = told.where("not far and x.c <> first").select(F.col("first").alias("a"), F.col("x.c").alias("b"))
-        crowds = told.where("crowd").groupBy(*by).agg(F.collect_list("x").alias("xs"))
-        found = crowds.select(F.explode(self._forest()("xs.c", "xs.n", *[f"xs.{word}" for word in WORDS])).alias("e")).select("e.a", "e.b")
-        return edges.union(found), told.where("x.c = first").select("x", *by)
-
-    def _forest(self):
         similarity = self.similarity
 
-        @F.pandas_udf("array<struct<a:long,b:long>>")
-        def run(c: pd.Series, n: pd.Series, *words: pd.Series) -> pd.Series:
-            return pd.Series([_close_groups(np.asarray(ci), np.asarray(ni), np.stack([np.asarray(w) for w in ws], 1), similarity) for ci, ni, *ws in zip(c, n, *words, strict=True)])
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if parts:
+                table = pa.Table.from_batches(parts)
+                columns = {name: table.column(name).to_numpy() for name in table.column_names}
+                keys = columns["key"]
+                if "salt" in columns:  # places of the distinct pairs of key and salt
+                    keys = np.unique(np.stack([keys, columns["salt"]], 1), axis=0, return_inverse=True)[1].reshape(-1)
+                edges = _candidate_edges(keys, columns["c"], columns["n"], np.stack([columns[w] for w in WORDS], 1), similarity)
+                a, b = np.array(edges, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            give_back()
 
-        return run
+        return rows.select(*by, "x.*").repartition(total // MEET_ROWS + 1, *by).mapInArrow(compare, "a long, b long")
 
     def candidates(self) -> DataFrame:
         """node, root: of each class in a candidate group, the least class of the group."""
@@ -323,20 +355,27 @@ class NearCopies:
             F.lit(t << 24) + F.element_at("codes", 2 * t * PROBES + i + 1).cast("long") * F.lit(4096) + F.element_at("codes", (2 * t + 1) * PROBES + j + 1).cast("long")
             for t in range(TABLES) for i in range(PROBES) for j in range(PROBES)
         ])
-        if self.classes.count() > BANDED:
+        total = self.classes.count()
+        if total > BANDED:
             # of a pair the larger one is at most 1 / similarity times as large, so one of its two ranges is the smaller one's
             band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / F.lit(-math.log(self.similarity - 0.001)))
             keys = F.flatten(F.transform(keys, lambda k: F.array(k + band * F.lit(1 << 32), k + (band + 1) * F.lit(1 << 32))))
-        keys = F.explode(keys)
+            total *= 2
+        keys, total = F.explode(keys), total * TABLES * PROBES**2
         words = [F.col("bits")[i].alias(w) for i, w in enumerate(WORDS)]
-        rows = self.classes.select(F.struct("c", F.col("shingles").alias("n"), *words).alias("x"), keys.alias("key"))
-        full = materialize(rows.groupBy("key").count().where(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).alias("parts")), "near-full")
+        of = lambda classes: classes.select(F.struct("c", F.col("shingles").alias("n"), *words).alias("x"), keys.alias("key"))
+        rows = of(self.classes)
+        # full keys are told by a share of the classes that holds hundreds of rows of each; a key that is missed takes its task longer
+        share = max(1, SALT_ROWS // 500)
+        count = of(self.classes.where(F.pmod(F.xxhash64("c"), F.lit(share)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * share).alias("count"))
+        full = materialize(count.where(F.col("count") > SALT_ROWS).select("key", F.ceil(F.col("count") / SALT_ROWS).alias("parts")), "near-full")
         if full.isEmpty():
-            edges, _ = self._meet(rows, ["key"], "near")
+            edges = self._meet(rows, ["key"], total)
         else:
-            dealt = rows.join(_bounded(full), "key", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("x.c"), F.col("parts"))).otherwise(F.lit(0)))
-            edges, firsts = self._meet(dealt.select("x", "key", "salt"), ["key", "salt"], "near")
-            firsts = firsts.join(_bounded(full), "key", "left_semi").select("key", "x")
+            dealt = rows.join(_bounded(full), "key", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("x.c"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+            edges = materialize(self._meet(dealt, ["key", "salt"], total), "near-meet")
+            firsts = dealt.where(F.col("parts").isNotNull()).groupBy("key", "salt").agg(F.min("x").alias("x"))
+            firsts = materialize(firsts.select("key", "x"), "near-firsts")
             met = firsts.join(firsts.select("key", F.col("x").alias("y")), "key").where((F.col("x.c") < F.col("y.c")) & self._close("x", "y"))
             edges = materialize(edges.union(met.select("x.c", "y.c")), "near-parts")
             # a full key is mostly one group by now; where it isn't, rows of different groups are compared one by one
@@ -358,7 +397,7 @@ class NearCopies:
         wanted = materialize(self.classes.select("c", "rep", "content").join(found, "c"), "near-wanted")
         texts = self.docs.select("doc_id", "text").join(_bounded(materialize(wanted.select("rep").distinct(), "near-ids")), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = texts.select(_sets(F.col("text"), self.width).alias("s")).select("s.*")
-        sets = materialize(sets.join(wanted.select("c", "root", "content"), "content").dropDuplicates(["c"]).select("c", "root", "members"), "near-sets")
+        sets = materialize(sets.join(wanted.select("c", "root", "content"), "content").dropDuplicates(["content"]).select("c", "root", "members"), "near-sets")
         sizes = materialize(sets.groupBy("root").count(), "near-sizes")
         bins = max(1, sizes.agg(F.sum("count")).first()[0] or 0) // TASK_ROWS + 1
         blocks = F.ceil(F.col("count") / BLOCK)

@@ -263,6 +263,50 @@ def test_near_copies(docs, nothing, monkeypatch, block, salt):
     assert neardup.NearCopies(nothing).keep_one().count() == 0
 
 
+def test_near_copies_under_shared_keys(spark, monkeypatch):
+    """All classes share all keys: no table holds a row for each class and key, and candidates are what close fingerprints connect."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([40, 60, 200]))]
+        texts += [" ".join(words), " ".join([*words[:-2], "other", "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "likeliest_codewords", lambda margins, probes: np.zeros((len(margins), probes), np.int16))
+    rows, real = {}, neardup.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    kept = sorted(x.doc_id for x in neardup.NearCopies(df).keep_one().collect())
+    assert kept == [i for i in range(120) if i % 2 == 0] and max(rows.values()) <= len(texts)
+
+
+@pytest.mark.parametrize("few", [1, 50, 5000])
+def test_candidate_edges(monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = np.random.default_rng(3)
+    m = 3000
+    key, c, n = rng.integers(0, 60, m), rng.permutation(m) + 7, rng.integers(1, 60, m)
+    words = rng.integers(-(2**63), 2**63, (40, 2))[rng.integers(0, 40, m)] ^ (np.int64(1) << rng.integers(0, 63, (m, 2)))
+    root = {int(x): int(x) for x in c}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(m):
+        near = (key == key[i]) & (np.minimum(n, n[i]) >= 0.8 * np.maximum(n, n[i])) & (np.bitwise_count((words ^ words[i]).view(np.uint64)).sum(1) <= neardup.LOOK)
+        for j in np.flatnonzero(near):
+            a, b = find(int(c[i])), find(int(c[j]))
+            root[max(a, b)] = min(a, b)
+    got = neardup._candidate_edges(key, c, n, words, 0.8)
+    assert sorted(got) == sorted((find(x), x) for x in root if find(x) != x) and len(got) > 100
+
+
 def test_html(spark):
     head = "<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=/>no</a><li>no</ul></nav><header>no</header>"
     article = "<article><h1>Ti&amp;tle</h1><p>one <b>bold</b>  two<br>three<p>four&nbsp;five<script>no()</script><aside>no</aside><form><p>no</form><div class='ad banner'>no</div><!-- no --></article>"
