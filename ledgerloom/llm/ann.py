@@ -38,10 +38,11 @@ def _distinct(ids: pd.Series, vectors: pd.Series) -> tuple[np.ndarray, np.ndarra
     return np.array([i for i, _ in ordered], np.int64), np.stack([np.frombuffer(v, np.float64) for _, v in ordered])
 
 
-def scores_of(data: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in one order whatever its row: equal vectors get equal scores, in any block."""
+def scores_of(data: np.ndarray, picked: np.ndarray, query: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Inner products of the picked rows, each summed in one order whatever its row: equal vectors get equal scores, in any block. room: overwritten."""
+    products = np.take(data, picked, axis=0, out=room[: len(picked)], mode="clip")
     with np.errstate(over="ignore", invalid="ignore"):
-        return (data * query).sum(1)
+        return np.multiply(products, query, out=products).sum(1)
 
 
 def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, longest: float, k: int) -> list[tuple]:
@@ -50,7 +51,7 @@ def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queri
     With a further component, sqrt(longest^2 - |x|^2) for vectors and 0 for queries, the nearest in Euclidean distance
     is the one of largest inner product. Each projection has one sorted array of the block. Around a query's own place
     in it a window opens on both sides; widening all windows by a factor is a virtual rehashing. Vectors are
-    counted by the windows that hold them; those that reach the threshold are verified on original vectors. Lengths
+    counted by the windows that hold them, as their places in the sorted arrays tell; those that reach the threshold are verified on original vectors. Lengths
     are taken after division by `largest`, the largest component, so that none is too large to be squared.
     """
     n, dim = data.shape
@@ -65,30 +66,42 @@ def search_block(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queri
     scale = max(float(np.std(np.concatenate([places, at]))), 1e-12)
     need = min(n, k + 1 + int(VERIFIED * n))
     limit = int(np.ceil(THRESHOLD * m))
-    counts = np.zeros((len(queries), n), np.int16)
-    low = np.stack([np.searchsorted(lines[j], at[:, j]) for j in range(m)], 1)
-    high = low.copy()
-    open_queries = list(range(len(queries)))
-    found: dict[int, np.ndarray] = {}
-    width = FIRST * scale
-    while open_queries:
-        new_low = np.stack([np.searchsorted(lines[j], at[:, j] - width, "left") for j in range(m)], 1)
-        new_high = np.stack([np.searchsorted(lines[j], at[:, j] + width, "right") for j in range(m)], 1)
-        still = []
-        for q in open_queries:
-            parts = [order[j, new_low[q, j] : low[q, j]] for j in range(m)] + [order[j, high[q, j] : new_high[q, j]] for j in range(m)]
-            counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-            picked = np.flatnonzero(counts[q] >= limit)
-            if len(picked) >= need:  # at the latest when all windows hold the whole block
-                found[q] = picked
-            else:
-                still.append(q)
-        low, high, open_queries = np.minimum(low, new_low), np.maximum(high, new_high), still
-        width *= GROWTH
-    rows = []
-    for q, picked in found.items():
+    # a vector's place in each sorted array tells whether a window holds it
+    kind = np.uint16 if n < 1 << 16 else np.uint64
+    rank = np.empty((m, n), kind)
+    np.put_along_axis(rank, order, np.arange(n, dtype=kind)[None, :], 1)
+    past, inside, tally = np.empty((m, n), kind), np.empty((m, n), bool), np.uint8 if m < 256 else np.uint16
+    widths, windows = [FIRST * scale], []
+
+    def counted(q: int, step: int) -> np.ndarray:
+        """The vectors that reach the threshold after `step` rehashings."""
+        while len(windows) <= step:  # of all queries at once
+            width = widths[-1]
+            low = np.stack([np.searchsorted(lines[j], at[:, j] - width, "left") for j in range(m)], 1)
+            high = np.stack([np.searchsorted(lines[j], at[:, j] + width, "right") for j in range(m)], 1)
+            windows.append((low, high))
+            widths.append(width * GROWTH)
+        low, high = (side[q][:, None] for side in windows[step])
+        np.subtract(rank, low.astype(kind), out=past)  # places before the window wrap around to large ones
+        np.less(past, (high - low).astype(kind), out=inside)
+        return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally) >= limit)
+
+    rows, step, room = [], 0, np.empty((n, dim))
+    for q in range(len(asked)):
+        # the first rehashing that finds enough, at the latest when all windows hold the whole block; sought from the one of the query before
+        picked = counted(q, step)
+        if len(picked) >= need:
+            while step and len(fewer := counted(q, step - 1)) >= need:
+                picked, step = fewer, step - 1
+        else:
+            while len(picked) < need:
+                step += 1
+                picked = counted(q, step)
         picked = picked[ids[picked] != query_ids[q]]
-        score = scores_of(data[picked], queries[q])
+        score = scores_of(data, picked, queries[q], room)
+        if len(picked) > k:  # none that is worse than the k-th; what isn't a number stays and comes last
+            kept = ~(-score > np.partition(-score, k - 1)[k - 1])
+            picked, score = picked[kept], score[kept]
         for i in np.lexsort((ids[picked], -score))[:k]:
             rows.append((int(query_ids[q]), int(ids[picked[i]]), float(score[i])))
     return rows

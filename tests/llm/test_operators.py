@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -90,6 +91,43 @@ def test_ann_ties_and_extremes(spark):
     assert len(got) == 4 * 5 and {r.query_id for r in got} == {0, 20, 40, 60}
 
 
+def block_case(n, asked, dim, seed):
+    rng = np.random.default_rng(seed)
+    data = rng.standard_normal((n, dim))
+    largest = float(np.abs(data).max())
+    return np.arange(n) * 3, data, np.arange(asked) * 3, data[:asked].copy(), largest, float(np.sqrt(((data / largest) ** 2).sum(1).max()))
+
+
+@pytest.mark.parametrize("n,dim", [(1, 4), (700, 6), (900, 260)])
+def test_ann_windows(n, dim):
+    """What is verified are the vectors that enough windows hold, at the first width at which there are enough of them."""
+    ids, data, query_ids, queries, largest, longest = block_case(n, min(n, 25), dim, 2)
+    small = data / largest
+    basis = ann.projections(dim)
+    places = np.concatenate([small, np.sqrt(np.maximum(longest**2 - (small * small).sum(1), 0))[:, None]], 1) @ basis
+    at = np.concatenate([queries / largest, np.zeros((len(queries), 1))], 1) @ basis
+    want = []
+    for q in range(len(queries)):
+        width, held = ann.FIRST * float(np.std(np.concatenate([places, at]))), np.zeros(0, int)
+        while len(held) < min(n, 8 + int(ann.VERIFIED * n)):
+            held = np.flatnonzero(((places >= at[q] - width) & (places <= at[q] + width)).sum(1) >= math.ceil(ann.THRESHOLD * (dim + 1)))
+            width *= ann.GROWTH
+        score = (data[held] * queries[q]).sum(1)
+        want += [(int(query_ids[q]), *x) for x in sorted(((int(ids[v]), float(s)) for v, s in zip(held, score) if v != q), key=lambda x: (-x[1], x[0]))[:7]]
+    assert sorted(ann.search_block(ids, data, query_ids, queries, largest, longest, 7)) == sorted(want)
+
+
+def test_ann_holds_nothing_per_query_and_vector():
+    args = block_case(3000, 3000, 4, 4)
+    tracemalloc.start()
+    try:
+        rows = ann.search_block(*args, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) == 3000 and peak < 3000 * 3000
+
+
 def test_lm(docs, nothing):
     got = lm.score(docs, lm.held_out(F.col("doc_id"))).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
