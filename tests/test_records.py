@@ -303,3 +303,38 @@ def test_a_search_with_pages_and_classifier(spark):
     assert all((r.category_match, r.qualification_confidence, r.qualification_method) == (True, 90, "model") for r in rows.values())
     without = search.run(spark, Request(category="Restaurante", location="Recife"), [source]).collect()
     assert {r.qualification_method for r in without} == {"deterministic"} and {r.category_match for r in without} == {None}
+
+
+def shuffles(df):
+    """The plan's lines that deal rows by a hash."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+
+
+def test_ranks_are_sorted_by_columns(spark):
+    plans = []
+    kept, resolve.cut = resolve.cut, lambda df, ordered=False: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, ordered)
+    try:
+        one = spark.createDataFrame([(1, 9, "X", None, None, None, None), (2, 9, "Á", "Recife", "PE", None, None)], "cluster long, confidence int, name string, city string, state string, cnpj string, phone string")
+        assert [(r.cluster, r["rank"]) for r in resolve.ranked(one).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+    finally:
+        resolve.cut = kept
+    sort = next(x for x in plans[0].splitlines() if "Sort [" in x)
+    assert "translate" not in sort and "regexp" not in sort
+
+
+def test_observations_are_dealt_to_all_tasks(spark):
+    assert any("obs_id" in x for x in shuffles(resolve.normalised(leads(spark, {}))))
+
+
+def test_web_results_are_dealt_to_all_tasks(spark):
+    df = spark.createDataFrame([("Casa Azul | Recife", "https://a.example.com/", "Casa", 1.0)], "title string, url string, content string, score double")
+    assert any("url" in x for x in shuffles(web.result_leads(df, Request(category="imobiliárias", location="Recife"))))
+
+
+def test_blocks_are_settled_in_one_stream():
+    import pandas as pd
+
+    pairs = [(1, 1, 10, 50), (1, 1, 9, 50), (1, 2, 10, 100), (1, 2, 9, 20), (7, 3, 5, 30), (7, 4, 5, 30)]
+    frames = [pd.DataFrame(pairs[i : i + 1], columns=["block", "rank", "company_id", "score"]) for i in range(len(pairs))]
+    got = [tuple(r) for f in storage._in_turn(iter(frames)) for r in f.itertuples(index=False)]
+    assert got == [(1, 10, 50), (2, 9, 20), (3, 5, 30)]
