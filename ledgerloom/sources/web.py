@@ -43,8 +43,12 @@ def company_from_title(title: Column, request: Request) -> Column:
 
 
 def result_leads(results: DataFrame, request: Request) -> DataFrame:
-    """Search results (schemas.WEB_RESULT) as leads. City and category are kept only where the result's text supports them."""
+    """Search results (schemas.WEB_RESULT) as leads. City and category are kept only where the result's text supports them.
+
+    Results are dealt to all tasks first: a file of few row groups would leave the patterns' work to as many tasks.
+    """
     c = F.col
+    results = results.repartition("url")
     title, url, content = (F.trim(F.coalesce(x, F.lit(""))) for x in ("title", "url", "content"))
     both = F.concat_ws("\n", title, content)
     plain = T.normalize_text(both)
