@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,8 @@ def match_scores(resolved: DataFrame, stored: DataFrame) -> DataFrame:
     def keys(df: DataFrame, row: str) -> DataFrame:
         k = lambda kind, v: F.when(v.isNotNull(), F.concat(F.lit(kind), v))
         every = F.array_distinct(F.array_compact(F.array(k("n:", T.fingerprint(T.company_name(c("name")))), k("c:", c("cnpj")), k("p:", c("phone")), k("p:", c("whatsapp")), k("w:", normalize_url(c("website"))))))
-        return df.select(row, F.explode(every).alias("key"))
+        # dealt to all tasks first: a file of few row groups would leave the work to as many
+        return df.repartition(row).select(row, F.explode(every).alias("key"))
 
     pairs = keys(resolved, "rank").join(keys(stored, "company_id"), "key").select("rank", "company_id").distinct()
     names = ("name", "cnpj", "phone", "whatsapp", "website", "city", "state", "address")
@@ -45,15 +48,19 @@ def match_scores(resolved: DataFrame, stored: DataFrame) -> DataFrame:
 BLOCK_PAIRS = 20_000
 
 
-def _in_turn(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The choices within one block."""
-    taken, out, last = set(), [], None
-    for rank, company, score in pairs.sort_values(["rank", "score", "company_id"], ascending=[True, False, False])[["rank", "company_id", "score"]].itertuples(index=False):
-        if rank != last and company not in taken:
-            taken.add(company)
-            out.append((rank, company, score))
-            last = rank
-    return pd.DataFrame(out, columns=["rank", "company_id", "score"])
+def _in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The choices within blocks, whose pairs come one block after another by rank, score and company."""
+    now, last, taken = None, None, set()
+    for pairs in batches:
+        out = []
+        for block, rank, company, score in zip(*[pairs[x].tolist() for x in ("block", "rank", "company_id", "score")], strict=True):
+            if block != now:
+                now, last, taken = block, None, set()
+            if rank != last and company not in taken:
+                taken.add(company)
+                out.append((rank, company, score))
+                last = rank
+        yield pd.DataFrame(out, columns=["rank", "company_id", "score"])
 
 
 def assign(scores: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
@@ -66,7 +73,8 @@ def assign(scores: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     scores = cut(scores.select("rank", "company_id", "score"))
     told = cut(scores.join(blocks(scores), "rank"))
     great = told.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_pairs).select("block")
-    settled = cut(told.join(great, "block", "left_anti").groupBy("block").applyInPandas(_in_turn, scores.schema))
+    small = told.join(great, "block", "left_anti").select("block", "rank", "company_id", "score")
+    settled = cut(small.repartition("block").sortWithinPartitions("block", "rank", F.desc("score"), F.desc("company_id")).mapInPandas(_in_turn, scores.schema))
     open_pairs = cut(told.join(great, "block", "left_semi").select("rank", "company_id", "score"))
     while not open_pairs.isEmpty():
         # a rank may choose when no earlier open rank has any of its candidates
